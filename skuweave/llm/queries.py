@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, mixing, warc
+from . import decontaminate, exact_dedup, language_id, licenses, mixing, secret_scan, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,27 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("detections", lambda d: d["base"])
+    kept = F.filter("detections", lambda d: d["kept"])
+    named = lambda rows: F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda d: d["label"]))), ",")
+    starts = F.transform(base, lambda d: d["start"].cast("long"))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        named(base).alias("base_labels"), named(kept).alias("labels"),
+        F.coalesce(F.array_max(F.transform(kept, lambda d: d["confidence"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda rows: F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.select("doc_id", *map(count, secret_scan.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc.archived(table(spark, sf_dir, "pages"), min_bytes=0)
     return got.select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -84,5 +105,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op5_warc": op5_warc, "op7_language": op7_language, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op7_language": op7_language, "op9_secrets": op9_secrets, "op10_exact_dedup": op10_exact_dedup}
 SQL = {"op2_decontaminate": OP2_SQL, "op5_warc": OP5_SQL, "op10_exact_dedup": OP10_SQL}
