@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, licenses, mixing, secret_scan, warc
+from . import decontaminate, exact_dedup, language_id, licenses, mixing, secret_scan, set_join, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,10 @@ FROM dig JOIN g USING (digest, n)
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = language_id.learn(docs.filter(~language_id.held_out()))
@@ -105,5 +109,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op7_language": op7_language, "op9_secrets": op9_secrets, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_language": op7_language, "op9_secrets": op9_secrets, "op10_exact_dedup": op10_exact_dedup}
 SQL = {"op2_decontaminate": OP2_SQL, "op5_warc": OP5_SQL, "op10_exact_dedup": OP10_SQL}
