@@ -32,7 +32,7 @@ def knn_join(queries: DataFrame, catalog: DataFrame, k: int, least_cosine: float
     left = a.join(nb, "key").withColumn("c_block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     left = left.select("key", F.col("block").alias("q_block"), "c_block", "id", "embedding")
     right = b.join(na, "key").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
-    right = right.select("key", "q_block", F.col("block").alias("c_block"), F.col("id").alias("c_id"), F.col("embedding").alias("vector"))
+    right = right.select(F.col("key").alias("r_key"), F.col("q_block").alias("r_q"), F.col("block").alias("r_c"), F.col("id").alias("c_id"), F.col("embedding").alias("vector"))
 
     def matrix(t: pa.Table, column: str) -> np.ndarray:
         lists = t[column].combine_chunks()
@@ -59,7 +59,7 @@ def knn_join(queries: DataFrame, catalog: DataFrame, k: int, least_cosine: float
         return pa.table({"q_id": pa.array(cols[0], pa.int64()), "c_id": pa.array(cols[1], pa.int64()), "cosine": pa.array(cols[2], pa.float64())})
 
     key = ["key", "q_block", "c_block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(best, "q_id long, c_id long, cosine double")
+    found = left.groupBy(*key).cogroup(right.groupBy("r_key", "r_q", "r_c")).applyInArrow(best, "q_id long, c_id long, cosine double")
     rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("cosine"), "c_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
