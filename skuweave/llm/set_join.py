@@ -37,7 +37,7 @@ from .common import lookup, written
 
 #: A-Z to a-z, white space to a space.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
-CHUNK = 4_000_000  # bytes of text that are hashed together
+CHUNK = 1 << 19  # bytes of text that are hashed together
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
 
@@ -49,31 +49,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse, modulo 2 ** 64."""
-    inverse = pow(BASE, -1, 2**64)
+def _series(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and its inverse, modulo 2 ** 64, up to n."""
     out = []
-    for b in (BASE, inverse):
+    for b in (BASE, pow(BASE, -1, 2**64)):
         p = np.full(n, b, U)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
 
-def _chunk_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """For each text its distinct shingle hashes, sorted."""
-    joined = b" ".join(texts).translate(TABLE) + b" "
+@functools.cache
+def _usual() -> tuple[np.ndarray, np.ndarray]:
+    return _series(2 * CHUNK)
+
+
+def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all texts, and where in them each text begins (and the last one ends). table maps bytes;
+    what it maps to a space separates words."""
+    joined = b" ".join(texts).translate(table) + b" "
     data = np.frombuffer(joined, np.uint8)
-    size = max(CHUNK, 1 << (len(data) + 1).bit_length())
-    power, inverse = _powers(size)
+    power, inverse = _usual() if len(data) <= 2 * CHUNK else _series(len(data))
     word = data != 32
     edge = np.diff(np.concatenate([[0], word.view(np.int8)]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     sums = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * power[: len(data)], dtype=U)])
     words = mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U))
-    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
-    first = np.searchsorted(start, bounds)
+    return words, np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts]))
+
+
+def _chunk_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """For each text its distinct shingle hashes, sorted."""
+    words, first = word_hashes(texts, TABLE)
     hashes = np.zeros(max(len(words) - k + 1, 0), U)
     for j in range(k):
         hashes = mixed(hashes * U(3) + words[j : j + len(hashes)])
@@ -144,12 +151,12 @@ def entries(classes: DataFrame, percent: int) -> DataFrame:
     """The index: token, rep, n, pos (in the set's order), lo and hi (the sizes that a partner may have)."""
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 40  # smaller sets link with their equals only
     small = classes.filter(F.col("n") >= least)
-    tokens = small.select("rep", "n", "n_first", F.posexplode("tokens").alias("at", "token"))
+    tokens = small.select("rep", F.posexplode("tokens").alias("at", "token"))
     counts = written(small.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
-    shared = tokens.join(counts, "token")
-    first = F.col("at") < F.col("n_first")
-    order = F.struct(F.when(first, 0).otherwise(1).alias("late"), F.when(first, F.floor(F.log2("df"))).otherwise(0).alias("often"), F.col("token"), F.col("at"))
-    rows = shared.groupBy("rep", "n", "n_first").agg(F.sort_array(F.collect_list(order)).alias("rows"))
+    shared = tokens.join(counts, "token").groupBy("rep").agg(F.collect_list(F.struct("token", "at", "df")).alias("rows"))
+    first = lambda r: r["at"] < F.col("n_first")
+    order = lambda r: F.struct(F.when(first(r), 0).otherwise(1).alias("late"), F.when(first(r), F.floor(F.log2(r["df"]))).otherwise(0).alias("often"), r["token"], r["at"])
+    rows = shared.join(small.select("rep", "n", "n_first"), "rep").withColumn("rows", F.array_sort(F.transform("rows", order)))
     early = F.size(F.filter("rows", lambda r: r["late"] == 0))
     place = F.transform("rows", lambda r, i: F.struct(r["token"].alias("token"), F.when(r["late"] == 0, F.col("n_first") - early + i).otherwise(r["at"]).alias("pos")))
     listed = rows.select("rep", "n", F.inline(place))
@@ -222,10 +229,11 @@ def compare(sizes: np.ndarray, parts: np.ndarray, cross: bool, tokens: np.ndarra
     return label
 
 
-def edges(pieces: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(src, dst): links enough to connect what links connect."""
+def edges(pieces: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(src, dst): links enough to connect what links connect. docs: rep and text, a row for each rep; the texts travel with
+    the pieces, as they are smaller than their sets."""
     key = ["pivot", "w", "i", "j"]
-    rows = pieces.join(sets, "rep").select(*key, "part", "rep", "n", "tokens")
+    rows = pieces.join(docs, "rep").select(*key, "part", "rep", "n", "text")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, *key).sortWithinPartitions(*key, "n", "rep")
 
@@ -233,11 +241,11 @@ def edges(pieces: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         table = pa.Table.from_batches(parts).combine_chunks()
         if table.num_rows < 2:
             return
-        reps, sizes = table["rep"].to_numpy(), table["n"].to_numpy()
-        lists = table["tokens"].combine_chunks()
-        flat, lengths = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+        reps = table["rep"].to_numpy()
+        sets = list(sets_of(table["text"].cast(pa.large_binary()).to_pylist(), k))
+        sizes = np.array([len(x) for x in sets])
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        label = compare(sizes, table["part"].to_numpy(), i != j, flat, np.repeat(np.arange(len(reps)), lengths), percent)
+        label = compare(sizes, table["part"].to_numpy(), i != j, np.concatenate(sets), np.repeat(np.arange(len(reps)), sizes), percent)
         at = np.flatnonzero(label != np.arange(len(label)))
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(reps[label[at]])], names=["src", "dst"])
@@ -284,7 +292,17 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, share: float | None = None, most_sets: int = 4096, most_tokens: int = 2_000_000, id: str = "doc_id", text: str = "text") -> DataFrame:
+def likely(docs: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
+    """The rows of docs whose hashed id is among those of wanted (rep), so that few texts are shuffled. The hashes are a bitmap
+    of 2 ** 25 bits, 64 in a row: at most 2 ** 19 rows are broadcast, whatever the input."""
+    place = lambda c: F.xxhash64(F.col(c)).bitwiseAND(F.lit(2**25 - 1))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
+    words = wanted.select(F.shiftright(place("rep"), 6).alias("_word"), bit("rep").alias("b")).groupBy("_word").agg(F.bit_or("b").alias("_bits"))
+    met = docs.withColumns({"_at": F.shiftright(place(id), 6), "_bit": bit(id)}).join(F.broadcast(words), F.col("_at") == F.col("_word"))
+    return met.filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(docs.columns)
+
+
+def join(docs: DataFrame, k: int = 5, percent: int = 80, share: float | None = None, most_sets: int = 1024, most_tokens: int = 500_000, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: the id, n_shingles, component_id. Two documents link when 100 times the intersection is
     at least `percent` times the union. share: of the hash range that is indexed by frequency (one and a half prefixes by
     default); it decides speed, not results."""
@@ -296,15 +314,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, share: float | None = N
     index = written(entries(classes.filter("rep is not null"), percent), "index")
     members = written(memberships(index, percent), "members")
     pieces = written(tasks(members, percent, most_sets, most_tokens), "pieces")
-    wanted = pieces.select("rep").distinct()
-
-    def full(batches):
-        for batch in batches:
-            sets = [s.view(np.int64) for s in sets_of(batch.column(1).cast(pa.large_binary()).to_pylist(), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["rep", "tokens"])
-
-    sets = base.join(wanted, F.col(id) == F.col("rep"), "left_semi").dropDuplicates([id]).mapInArrow(full, "rep long, tokens array<long>")
-    found = components(written(edges(pieces, sets, percent), "edges"))
+    texts = likely(base, pieces.select("rep").distinct(), id).dropDuplicates([id]).select(F.col(id).alias("rep"), F.col(text).alias("text"))
+    found = components(written(edges(pieces, texts, k, percent), "edges"))
     named = classes.select("set_a", "set_b", "rep", "copies").join(found, F.col("rep") == F.col("node"), "left")
     named = named.select(F.struct("set_a", "set_b").alias("set"), F.coalesce("component", "rep").alias("c"), "copies")
     rows = rows.select(id, F.col("n").alias("n_shingles"), F.struct("set_a", "set_b").alias("set"))
