@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, licenses, mixing, secret_scan, set_join, warc
+from . import decontaminate, exact_dedup, language_id, licenses, mixing, quality, secret_scan, set_join, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the documents labelled as good and not toxic."""
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda rows: F.array_join(F.transform(rows, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -71,6 +77,16 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secret_scan.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with its words that lie in passages of 50 words and more that occur elsewhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.repeats(docs, min_len=50)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    found = found.select("doc_id", "n_repeated", F.size("spans").alias("n_spans"), spans.alias("spans"), "partners")
+    out = docs.select("doc_id").join(found, "doc_id", "left")
+    return out.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_repeated", "n_spans")), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("partners", F.array().cast("array<bigint>")).alias("partners"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc.archived(table(spark, sf_dir, "pages"), min_bytes=0)
     return got.select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -109,5 +125,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_licenses": op3_licenses, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_language": op7_language, "op9_secrets": op9_secrets, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_licenses": op3_licenses, "op4_suffix_dedup": op4_suffix_dedup, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_language": op7_language, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_exact_dedup": op10_exact_dedup}
 SQL = {"op2_decontaminate": OP2_SQL, "op5_warc": OP5_SQL, "op10_exact_dedup": OP10_SQL}
