@@ -76,7 +76,7 @@ class Encoder:
         else:
             kinds, at = np.unique(codes, return_inverse=True)
         out = np.zeros((n, self.dims), np.float32)
-        step = max(1, 40_000_000 // max(n, self.dims))  # trigrams whose vectors and counts are held at once
+        step = max(1, 8_000_000 // max(n, self.dims))  # trigrams whose vectors and counts are held at once
         for a in range(0, len(kinds), step):
             part = kinds[a : a + step]
             here = (at >= a) & (at < a + step) if len(kinds) > step else slice(None)
@@ -101,7 +101,8 @@ def _chunks(texts: list[str], encoder: Encoder):
         if n > CHUNK:
             yield at, got
             at, got, n = [], [], 0
-    yield at, got
+    if at:
+        yield at, got
 
 
 def learn(docs: DataFrame, dims: int = 1024, seed: int = 11, max_languages: int = 1000, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
@@ -147,7 +148,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 11,
                 sums = encoder.sums(got, list(range(len(got))), len(got))
                 cosines = sums @ langs.T / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
                 best = cosines.argmax(1)
-                for i, b, c in zip(at, best, cosines.max(1) if len(got) else [], strict=True):
+                for i, b, c in zip(at, best, cosines.max(1), strict=True):
                     pred[i], score[i] = names[b], min(1.0, max(0.0, float(c)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
 

@@ -44,7 +44,7 @@ def segments(knots: Column) -> Column:
 
 def when_reached(segs: Column, area: Column) -> Column:
     """The time at which the integral of the schedule reaches area."""
-    seg = F.element_at(F.filter(segs, lambda s: (s["before"] <= area) & (s["area"] > 0)), -1)
+    seg = F.try_element_at(F.filter(segs, lambda s: (s["before"] <= area) & (s["area"] > 0)), F.lit(-1))
     rest = F.least(F.greatest(area - seg["before"], F.lit(0.0)), seg["area"])
     root = F.sqrt(F.greatest(seg["w0"] * seg["w0"] + 2 * rest * (seg["w1"] - seg["w0"]) / seg["dt"], F.lit(0.0)))
     return seg["t0"] + F.when(rest == 0, F.lit(0.0)).otherwise(F.least(2 * rest / (seg["w0"] + root), seg["dt"]))
@@ -92,7 +92,7 @@ def assign(docs: DataFrame, schedule, max_epochs: int = 3, seed: int = 7, id: st
     copies = F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), lambda e: F.struct(
         e.alias("copy"),
         F.greatest(F.least(F.col("size"), end - start(e)), F.lit(0)).cast("long").alias("words"),
-        when_reached(F.col("segs"), start(e) / F.col("target") * F.col("weight")).alias("position")))
+        when_reached(F.col("segs"), start(e) / F.nullif("target", F.lit(0.0)) * F.col("weight")).alias("position")))
     out = begun.withColumn("copies", F.filter(copies, lambda c: c["words"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
     return out.select(F.col("doc_id").alias(id), F.col("source").alias(source), "size", "source_size", "target", taken.alias("taken"), "copies")
