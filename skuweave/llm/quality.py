@@ -128,14 +128,12 @@ class Scorer:
         self.p, self.w = self._tables(*probabilities), self._tables(*weights)
 
     @staticmethod
-    def _tables(grams, values) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        out, length = {}, np.array([len(g) for g in grams])
-        values = np.asarray(values, np.float32)
-        for k in np.unique(length).tolist():
-            at = np.flatnonzero(length == k)
-            h = hashes(_points("".join(grams[i] for i in at)), k)[k][::k]
-            by = np.argsort(h)
-            out[k] = h[by], values[at][by]
+    def _tables(k: np.ndarray, h: np.ndarray, v: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        out = {}
+        for n in np.unique(k).tolist():
+            at = np.flatnonzero(k == n)
+            by = at[np.argsort(h[at])]
+            out[n] = h[by], v[by]
         return out
 
     def _look(self, table, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,6 +161,22 @@ class Scorer:
         return out
 
 
+def hashed(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths and hashes of n-grams, and their values: tasks make the hashes, so that the driver holds numbers only."""
+
+    def run(batches):
+        for batch in batches:
+            grams = batch.column(0).to_pylist()
+            points, length = _points("".join(grams)), np.array([len(g) for g in grams], np.int32)
+            start, h = np.cumsum(length) - length, np.zeros(len(grams), U)
+            for k, all_ in enumerate(hashes(points, int(length.max(initial=0)))):
+                h[length == k] = all_[start[length == k]]
+            yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(h.view(np.int64)), batch.column(1).cast(pa.float32())], names=["k", "h", "v"])
+
+    got = table.select("gram", "v").mapInArrow(run, "k int, h long, v float").toArrow()
+    return got["k"].to_numpy(), got["h"].to_numpy().view(U), got["v"].to_numpy()
+
+
 def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int = 5, max_entries: int = 1_000_000, text: str = "text") -> DataFrame:
     """docs with nll (the summed negative logarithm) and n_scored (characters, and one for the end), which replace columns of
     those names; 0 for null and empty texts."""
@@ -180,8 +194,7 @@ def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int = 5, m
         if shards > 1:
             p = probabilities.filter((F.char_length("gram") == 1) | of(F.substring("gram", -2, 1)))
             w = weights.filter(of(F.substring("gram", -1, 1)))
-        p, w = p.toPandas(), w.toPandas()
-        scorer = sc.broadcast(Scorer(order, shards, shard, (p["gram"].tolist(), p["v"].to_numpy()), (w["gram"].tolist(), w["v"].to_numpy()), unseen))
+        scorer = sc.broadcast(Scorer(order, shards, shard, hashed(p), hashed(w), unseen))
 
         def run(batches, scorer=scorer):
             s = scorer.value
