@@ -72,7 +72,7 @@ def test_vectors(spark):
     got = pairs(spark, [(left, left), (left, right), (flat, left), ([0.0] * 4, flat)], V.color_similarity, "array<double>")
     assert got == pytest.approx([100, 0, 50, 100])
     assert pairs(spark, [(one, one)], V.shape_similarity, "array<double>") == [100]
-    assert pairs(spark, [(one, one), (one, [-1.0, 0, 0, 0]), (one, [0.0] * 4)], V.embedding_similarity, "array<double>") == [100, 0, 0]
+    assert pairs(spark, [(one, one), (one, [-1.0, 0.0, 0.0, 0.0]), (one, [0.0] * 4)], V.embedding_similarity, "array<double>") == [100, 0, 0]
     errors = column(spark, [None, [], [1.0], [1.0, float("nan")], [1.0, float("inf")], [0.0, 1.0]], lambda c: V.feature_error(c, 2), "array<double>")
     assert errors == ["MISSING_FEATURES", "EMPTY_FEATURES", "FEATURE_DIMENSION_MISMATCH", "NAN_FEATURES", "INF_FEATURES", None]
     with pytest.raises(ValueError, match="add up"):
