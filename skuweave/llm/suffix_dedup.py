@@ -2,16 +2,15 @@
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, lower-cased in A-Z. Of all suffixes of all
 texts only those are kept that begin at a minimiser: the position with the least hash of `gram` words among `window`
-neighbours, so equal passages keep suffixes at equal places. The first place in a passage is less than `window` words from its
-start, so of a passage of min_len words at least min_len - window + 1 words follow it; a suffix is keyed by the hash of so many
-words, and suffixes whose key is unique go. Those left are sorted by key and by the words that follow, each is compared with
-the next few suffixes, and matches are extended to the right and to the left; a match of min_len words and more is a repeat.
-Long passages hold many minimisers, whose matches are united.
+neighbours, so equal passages keep suffixes at equal places. Each run of min_len words belongs to one suffix, the minimiser of
+its first `window` places, which min_len - window + 1 of its words follow; a suffix is keyed by the hash of so many words, and
+suffixes whose key is unique go. Those left carry the hashes of all runs that belong to them. Equal runs belong to suffixes of
+equal keys, at equal distances, so a run occurs again exactly if its key and hash do, whatever surrounds it. Neighbouring runs
+that repeat are united.
 
-A key with more than `most` suffixes is cut: each suffix is sorted once among those with the same min_len words to the right
-and once among those with the same words to the left; a cut that is still too large is
-salted: its suffixes all share one side, so each salt holds many that match, but chance words that only some of them share
-beyond the common passage can be missed.
+Keys with at most `most` suffixes are compared in one task, where their rows are sorted by key. Runs of larger keys are counted
+in tasks, added up by run, and each run looks up its count, so that no task holds all rows of a key. Both ways are exact and
+give the same rows.
 
 Defined cases: null and empty texts have no words and no repeats; rows that share an id are one document (the last of them by
 text counts); rows with a null id have no repeats; an empty table gives no rows; further columns are ignored. A passage that
@@ -59,29 +58,38 @@ def _fold(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(out * U(5) + words[k - 1 : k - 1 + n]) if k % 2 else out
 
 
+def _least(h: np.ndarray, window: int) -> np.ndarray:
+    """For each window of hashes the position of the least; the last of equal ones."""
+    view = np.lib.stride_tricks.sliding_window_view(h, window)
+    return np.arange(len(view)) + window - 1 - view[:, ::-1].argmin(1)
+
+
 def minimisers(words: np.ndarray, gram: int, window: int) -> np.ndarray:
     """Positions with the least hash of a window; the last of equal ones."""
     h = _fold(words, gram)
     if len(h) < window:
         return np.zeros(0, np.int64) if not len(h) else np.array([len(h) - 1 - int(np.argmin(h[::-1]))])
-    view = np.lib.stride_tricks.sliding_window_view(h, window)
-    return np.unique(np.arange(len(view)) + window - 1 - view[:, ::-1].argmin(1))
+    return np.unique(_least(h, window))
 
 
-def _keys(words: np.ndarray, gram: int, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    at = minimisers(words, gram, window)
-    at = at[at + prefix <= len(words)]
-    return at, _fold(words, prefix)[at].view(np.int64)
+def _keys(words: np.ndarray, gram: int, window: int, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each suffix to which runs of min_len words belong: its key, the start of the first run and the number of runs, which
+    start one after the other."""
+    n = len(words) - min_len + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, start, runs = np.unique(_least(_fold(words, gram), window)[:n], return_index=True, return_counts=True)
+    return _fold(words, min_len - window + 1)[at].view(np.int64), start, runs
 
 
-def suffixes(docs: DataFrame, gram: int, window: int, prefix: int, id: str, text: str) -> DataFrame:
+def suffixes(docs: DataFrame, gram: int, window: int, min_len: int, id: str, text: str) -> DataFrame:
     """(doc, key) of the kept suffixes."""
 
     def run(batches):
         for batch in batches:
             ids, keys = [], []
             for i, words in zip(batch.column(0).to_pylist(), _documents(_texts(batch.column(1))), strict=True):
-                got = np.unique(_keys(words, gram, window, prefix)[1], return_counts=True)
+                got = np.unique(_keys(words, gram, window, min_len)[0], return_counts=True)
                 keys.append(np.repeat(got[0], np.minimum(got[1], 2)))  # a key that a text has twice is not unique
                 ids.append(np.full(len(keys[-1]), i, np.int64))
             if keys:
@@ -90,89 +98,129 @@ def suffixes(docs: DataFrame, gram: int, window: int, prefix: int, id: str, text
     return docs.select(F.col(id).cast("long"), text).mapInArrow(run, "doc long, key long")
 
 
-def contexts(docs: DataFrame, gram: int, window: int, prefix: int, min_len: int) -> DataFrame:
-    """doc, pos, key, n, the words after (side r) and before (side l, backwards) as bytes, and how many there are. docs: doc,
-    text, keys (array of key and n)."""
+def contexts(docs: DataFrame, gram: int, window: int, min_len: int) -> DataFrame:
+    """doc, key, n, the start of the first run and the hashes of all runs that belong to the suffix, as bytes. docs: doc, text,
+    keys (array of key and n)."""
 
     def run(batches):
         for batch in batches:
-            columns: list[list] = [[] for _ in range(8)]
+            columns: list[list] = [[] for _ in range(5)]
             for doc, wanted, words in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _documents(_texts(batch.column(1))), strict=True):
-                at, keys = _keys(words, gram, window, prefix)
                 counts = {w["key"]: w["n"] for w in wanted}
-                short = (words >> U(32)).astype(np.uint32)
-                padded = np.concatenate([np.zeros(window, np.uint32), short, np.zeros(min_len, np.uint32)])
-                for p, k in zip(at.tolist(), keys.tolist(), strict=True):
+                hashes = _fold(words, min_len).tobytes()
+                for k, a, m in zip(*(c.tolist() for c in _keys(words, gram, window, min_len)), strict=True):
                     if k in counts:
-                        row = (doc, p, k, counts[k], padded[p + window : p + window + min_len].tobytes(), padded[p : p + window][::-1].tobytes(), min(min_len, len(words) - p), min(window, p))
-                        for c, v in zip(columns, row, strict=True):
+                        for c, v in zip(columns, (doc, k, counts[k], a, hashes[8 * a : 8 * (a + m)]), strict=True):
                             c.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc", "pos", "key", "n", "r", "l", "nr", "nl"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc", "key", "n", "start", "runs"])
 
-    return docs.select("doc", "text", "keys").mapInArrow(run, "doc long, pos int, key long, n long, r binary, l binary, nr int, nl int")
+    return docs.select("doc", "text", "keys").mapInArrow(run, "doc long, key long, n long, start long, runs binary")
 
 
-def _cut(rows: DataFrame, most: int) -> DataFrame:
-    """rows with group: the key, or for large keys the key with one side, salted where that is large as well."""
-    small = rows.filter(F.col("n") <= most).withColumn("group", F.struct(F.lit("").alias("side"), F.col("key"), F.lit(0).alias("salt")))
-    big = rows.filter(F.col("n") > most)
-    sides = F.array(*(F.struct(F.lit(s).alias("side"), F.xxhash64("key", s).alias("key")) for s in "rl"))
-    big = big.withColumn("g", F.explode(sides))
-    counts = big.groupBy("g").agg(F.count("*").alias("m"))
-    big = lookup(big, counts, "g", "m").withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.ceil(F.col("m") / most)).cast("int"))
-    return small.unionByName(big.withColumn("group", F.struct(F.col("g.side").alias("side"), F.col("g.key").alias("key"), "salt")).drop("g", "m", "salt"))
+def _runs(doc, key, start, runs) -> tuple[np.ndarray, ...]:
+    """A place for each run: doc, key, start, hash, and the row that it comes from."""
+    size = np.array([len(r) // 8 for r in runs], np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    return np.asarray(doc)[row], np.asarray(key)[row], np.asarray(start)[row] + step, np.frombuffer(b"".join(runs), np.int64), row
 
 
-def matches(rows: DataFrame, min_len: int, near: int = 3) -> DataFrame:
-    """(doc, start, end, partner) for every suffix and each of the next `near` suffixes in order that match it."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    flat = rows.select("group.side", F.col("group.key").alias("g"), "group.salt", "r", "l", "doc", "pos", "nr", "nl")
-    flat = flat.repartition(n, "side", "g", "salt").sortWithinPartitions("side", "g", "salt", "r", "l", "doc", "pos")
+def _groups(key: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key, hash and doc, and where in it each group of equal runs starts and ends."""
+    order = np.lexsort((doc, h, key))
+    k, x = key[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (x[1:] != x[:-1])])) if len(k) else np.zeros(0, np.int64)
+    return order, first, np.append(first[1:], len(k)) if len(k) else first
+
 
-    def common(a: list, b: list) -> np.ndarray:
-        x, y = (np.frombuffer(b"".join(v), np.uint32).reshape(len(v), -1) for v in (a, b))
-        differ = x != y
-        return np.where(differ.any(1), differ.argmax(1), differ.shape[1])
+FOUND = "doc long, start long, end long, low long, high long"
+
+
+def matches(rows: DataFrame, min_len: int) -> DataFrame:
+    """(doc, start, end, low, high) for neighbouring runs of a suffix that occur again: low and high are the smallest and the
+    largest id of their other occurrences."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat = rows.select("key", "doc", "start", "runs").repartition(n, "key").sortWithinPartitions("key")
+
+    def found(cols: list[list]):
+        doc, key, start, h, row = _runs(cols[1], cols[0], cols[2], cols[3])
+        order, first, last = _groups(key, h, doc)
+        size = last - first
+        docs, a, z = doc[order], np.repeat(first, size), np.repeat(last, size)
+        place, again = np.arange(len(order)), np.repeat(size > 1, size)
+        second, before = np.minimum(a + 1, len(order) - 1), np.maximum(z - 2, 0)
+        low, high = np.empty_like(doc), np.empty_like(doc)
+        low[order], high[order] = docs[np.where(place == a, second, a)], docs[np.where(place == z - 1, before, z - 1)]
+        good = np.empty(len(order), bool)
+        good[order] = again
+        at = np.flatnonzero(good)
+        if not len(at):
+            return None
+        head = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]])]))
+        tail = at[np.append(head[1:], len(at)) - 1]
+        columns = [doc[at[head]], start[at[head]], start[tail] + min_len, np.minimum.reduceat(low[at], head), np.maximum.reduceat(high[at], head)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "start", "end", "low", "high"])
 
     def run(batches):
-        tail: list[list] = [[] for _ in range(9)]
+        held: list[list] = [[] for _ in range(4)]
+        for batch in batches:
+            held = [t + c.to_pylist() for t, c in zip(held, batch.columns, strict=True)]
+            keys = np.array(held[0], np.int64)
+            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on in the next batch
+            if whole and (got := found([c[:whole] for c in held])):
+                yield got
+            held = [c[whole:] for c in held]
+        if held[0] and (got := found(held)):
+            yield got
+
+    return flat.mapInArrow(run, FOUND)
+
+
+def frequent_matches(rows: DataFrame, min_len: int) -> DataFrame:
+    """The same for keys of any size, a row for each run: runs are counted in tasks and then by run."""
+    rows = rows.select("doc", "key", "start", "runs")
+
+    def single(batches):
+        for batch in batches:
+            doc, key, start, h, _ = _runs(*(c.to_pylist() for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc, key, h, start)], names=["doc", "key", "h", "start"])
+
+    def counted(batches):
         for batch in batches:
-            cols = [t + c.to_pylist() for t, c in zip(tail, batch.columns, strict=True)]
-            old, size = len(tail[0]), len(cols[0])
-            doc, pos, nr, nl = (np.array(c, np.int64) for c in cols[5:])
-            found = []
-            for step in range(1, near + 1):
-                second = np.arange(max(step, old), size)
-                second = second[[all(cols[c][i] == cols[c][i - step] for c in range(3)) for i in second.tolist()]] if len(second) else second
-                if not len(second):
-                    continue
-                first = second - step
-                right = np.minimum(common([cols[3][i] for i in first], [cols[3][i] for i in second]), np.minimum(nr[first], nr[second]))
-                left = np.minimum(common([cols[4][i] for i in first], [cols[4][i] for i in second]), np.minimum(nl[first], nl[second]))
-                good = left + right >= min_len
-                for x, y in ((first, second), (second, first)):
-                    found.append((doc[x][good], (pos[x] - left)[good], (pos[x] + right)[good], doc[y][good]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["doc", "start", "end", "partner"])
-            tail = [c[-near:] for c in cols]
-
-    return flat.mapInArrow(run, "doc long, start long, end long, partner long")
+            doc, key, _, h, _ = _runs(*(c.to_pylist() for c in batch.columns))
+            order, first, last = _groups(np.asarray(key, np.int64), h, np.asarray(doc, np.int64))
+            docs = doc[order]
+            ends = [[docs[a : min(a + 2, z)].tolist(), docs[max(a, z - 2) : z].tolist()] for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+            columns = [pa.array(key[order][first], pa.int64()), pa.array(h[order][first], pa.int64()), pa.array(last - first, pa.int64())]
+            columns += [pa.array([e[i] for e in ends], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "m", "lows", "highs"])
+
+    of = F.struct("key", "h").alias("of")
+    lows, highs = (F.flatten(F.collect_list(c)) for c in ("lows", "highs"))  # two for each batch at most
+    parts = rows.mapInArrow(counted, "key long, h long, m long, lows array<long>, highs array<long>").groupBy(of)
+    sums = parts.agg(F.sum("m").alias("m"), F.slice(F.array_sort(lows), 1, 2).alias("lows"), F.slice(F.sort_array(highs, asc=False), 1, 2).alias("highs"))
+    sums = written(sums.filter("m > 1"), "runs")
+    found = lookup(rows.mapInArrow(single, "doc long, key long, h long, start long").select("doc", "start", of), sums, "of", "m")
+    other = lambda ends: F.when(F.get(ends, F.lit(0)) == F.col("doc"), F.get(ends, F.lit(1))).otherwise(F.get(ends, F.lit(0)))
+    return found.select("doc", "start", (F.col("start") + min_len).alias("end"), other(F.col("lows")).alias("low"), other(F.col("highs")).alias("high"))
 
 
 def repeats(docs: DataFrame, min_len: int = 50, gram: int = 8, window: int = 24, most: int = 2000, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document with repeats: the id, spans (array of start and end, in words, merged), n_repeated (words in
-    spans), partners (smallest and largest id that a span was matched with)."""
-    prefix = min_len - window + 1
+    spans), partners (smallest and largest id of other occurrences)."""
     base = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null and text is not null")
-    kept = written(suffixes(base, gram, window, prefix, "doc", "text"), "suffixes")
+    kept = written(suffixes(base, gram, window, min_len, "doc", "text"), "suffixes")
     counts = written(kept.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
     wanted = lookup(kept, counts, "key", "n").groupBy("doc").agg(F.collect_set(F.struct("key", "n")).alias("keys"))
     wanted = written(wanted, "wanted")
     texts = likely(base, wanted.select(F.col("doc").alias("rep")), "doc").groupBy("doc").agg(F.max("text").alias("text"))
-    rows = written(contexts(texts.join(wanted, "doc"), gram, window, prefix, min_len), "contexts")
-    found = written(matches(_cut(rows, most), min_len), "matches")
-    spans = found.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("all"), F.min("partner").alias("low"), F.max("partner").alias("high"))
+    rows = written(contexts(texts.join(wanted, "doc"), gram, window, min_len), "contexts")
+    found = matches(rows.filter(F.col("n") <= most), min_len)
+    if not counts.filter(F.col("n") > most).isEmpty():
+        found = found.unionByName(frequent_matches(rows.filter(F.col("n") > most), min_len))
+    found = written(found, "matches")
+    spans = found.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("all"), F.min("low").alias("low"), F.max("high").alias("high"))
     zero = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
     def step(done, s):

@@ -46,6 +46,34 @@ def test_planted_passages(spark):
     assert S.repeats(frame.filter("doc_id < 0")).count() == 0
 
 
+def exact(spark, texts, most):
+    """Compares spans and partners with brute force."""
+    seen = {}
+    for i, t in texts:
+        w = t.split()
+        for a in range(len(w) - 49):
+            seen.setdefault(tuple(w[a : a + 50]), []).append((i, a))
+    want, partners = covered(texts), {}
+    for places in filter(lambda p: len(p) > 1, seen.values()):
+        for k, (i, _) in enumerate(places):
+            partners.setdefault(i, set()).update(j for n, (j, _) in enumerate(places) if n != k)
+    got = {r.doc_id: r for r in S.repeats(spark.createDataFrame(texts, "doc_id long, text string"), most=most).collect()}
+    assert {i: {k for s in r.spans for k in range(s.start, s.end)} for i, r in got.items()} == want
+    assert {i: set(r.partners) for i, r in got.items()} == {i: {min(p), max(p)} for i, p in partners.items()}
+    return want
+
+
+def test_frequent_passages_in_differing_contexts(spark):
+    rnd = random.Random(8)
+    say = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randrange(90_000)}" for _ in range(n)]
+    texts = []
+    for n in (50, 51, 52, 55, 60, 73):
+        for _ in range(4):
+            passage = say(n)
+            texts += [(len(texts) + i, " ".join(say(40) + passage + say(40))) for i in range(30)]
+    assert len(exact(spark, texts, most=20)) == len(texts)
+
+
 def test_minimisers_follow_content():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 2**63, 400, np.uint64)
