@@ -74,6 +74,21 @@ def test_frequent_passages_in_differing_contexts(spark):
     assert len(exact(spark, texts, most=20)) == len(texts)
 
 
+def test_boilerplate_with_varying_prefixes(spark):
+    rnd = random.Random(9)
+    say = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randrange(90_000)}" for _ in range(n)]
+    texts, pairs = [], 0
+    for n in (10, 15, 20, 23):
+        for _ in range(4):
+            boilerplate, prefixes = say(50 - n), [say(n) for _ in range(6)]
+            some = [(prefix, 2) for prefix in prefixes] + [(say(n), 1) for _ in range(25)]
+            for prefix, times in some:
+                texts += [(len(texts) + i, " ".join(say(30) + prefix + boilerplate + say(30))) for i in range(times)]
+            pairs += 12
+    rnd.shuffle(texts)
+    assert len(exact(spark, texts, most=2000)) == pairs
+
+
 def test_minimisers_follow_content():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 2**63, 400, np.uint64)
