@@ -144,8 +144,8 @@ def _resolved(records: DataFrame, headers: DataFrame, min_bytes: int) -> DataFra
 
 def archive(pages: DataFrame, path: str, min_bytes: int = 0, **names) -> None:
     """Writes deduplicated archives of pages."""
-    rows = records_of(pages, **names)
-    write(_resolved(rows, written(rows.drop("payload"), "headers"), min_bytes), path)
+    rows = written(records_of(pages, **names), "records", compression="zstd")  # record ids differ if the pages are read twice
+    write(_resolved(rows, rows.drop("payload"), min_bytes), path)
 
 
 def rewrite(spark: SparkSession, source: str, path: str, min_bytes: int = 0) -> None:

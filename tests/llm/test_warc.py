@@ -1,8 +1,11 @@
 import base64
 import gzip
 import hashlib
+import uuid
 from collections import defaultdict
 
+import pyarrow as pa
+
 from skuweave.llm import queries as Q
 from skuweave.llm import warc as W
 
@@ -55,6 +58,21 @@ def test_round_trip(spark, tmp_path):
     assert raw.startswith(b"WARC/1.1\r\nWARC-Type: ") and raw.endswith(b"\r\n\r\n")
 
 
+def test_pages_in_another_order_at_each_run(spark, tmp_path):
+    runs = tmp_path / "runs"
+    runs.mkdir()
+
+    def shuffled(batches):
+        rows = pa.Table.from_batches(batches)
+        (runs / uuid.uuid4().hex).touch()
+        n = len(list(runs.iterdir()))
+        yield from rows.take([(i + n) % rows.num_rows for i in range(rows.num_rows)]).to_batches()
+
+    df = pages(spark).coalesce(1)
+    want = expected([(r.page_id, r.html) for r in df.collect()])
+    assert result(W.archived(df.mapInArrow(shuffled, df.schema))) == want
+
+
 def test_rewriting_archives(spark, tmp_path):
     raw = W.records_of(pages(spark))
     W.write(raw, f"{tmp_path}/raw")
