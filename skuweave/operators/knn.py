@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
-from ..functions.vectors import cosine, scaled
+from ..functions.vectors import scaled
 from . import match as M
 
 
@@ -24,9 +24,8 @@ def _blocks(df: DataFrame, rows: int) -> DataFrame:
     return df.join(n, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
-def knn_join(queries: DataFrame, catalog: DataFrame, k: int, least_cosine: float = -1.0, block_rows: int = 4096) -> DataFrame:
-    """(q_id, c_id, cosine, rank). queries and catalog: id, key, embedding. Rows meet where their keys are equal; an id does
-    not match itself; zero vectors have cosine 0 with all."""
+def _best(queries: DataFrame, catalog: DataFrame, k: int, least_cosine: float, block_rows: int) -> DataFrame:
+    """(q_id, c_id, cosine): the best k of each query in each block of its key."""
     a, b = _blocks(queries.select("id", "key", "embedding"), block_rows), _blocks(catalog.select("id", "key", "embedding"), block_rows)
     na, nb = a.select("key", F.col("blocks").alias("na")).distinct(), b.select("key", F.col("blocks").alias("nb")).distinct()
     left = a.join(nb, "key").withColumn("c_block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -59,7 +58,13 @@ def knn_join(queries: DataFrame, catalog: DataFrame, k: int, least_cosine: float
         return pa.table({"q_id": pa.array(cols[0], pa.int64()), "c_id": pa.array(cols[1], pa.int64()), "cosine": pa.array(cols[2], pa.float64())})
 
     key = ["key", "q_block", "c_block"]
-    found = left.groupBy(*key).cogroup(right.groupBy("r_key", "r_q", "r_c")).applyInArrow(best, "q_id long, c_id long, cosine double")
+    return left.groupBy(*key).cogroup(right.groupBy("r_key", "r_q", "r_c")).applyInArrow(best, "q_id long, c_id long, cosine double")
+
+
+def knn_join(queries: DataFrame, catalog: DataFrame, k: int, least_cosine: float = -1.0, block_rows: int = 4096) -> DataFrame:
+    """(q_id, c_id, cosine, rank). queries and catalog: id, key, embedding. Rows meet where their keys are equal; an id does
+    not match itself; zero vectors have cosine 0 with all."""
+    found = _best(queries, catalog, k, least_cosine, block_rows)
     rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("cosine"), "c_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -77,9 +82,10 @@ def index_statistics(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("category").agg(F.count("embedding").alias("vectors"), F.round(F.sum(F.size("embedding") * 4) / 1e6, 3).alias("mb"))
 
 
-def approximate_knn(queries: DataFrame, catalog: DataFrame, k: int, bits: int = 6, tables: int = 12, seed: int = 5) -> DataFrame:
+def approximate_knn(queries: DataFrame, catalog: DataFrame, k: int, bits: int = 4, tables: int = 20, seed: int = 5, block_rows: int = 4096) -> DataFrame:
     """(q_id, c_id, cosine, rank) among rows that share the signs of `bits` random projections in one of `tables` tables, with
-    exact cosines. Every row is in the index; recall against knn_join rises with tables and falls with bits."""
+    exact cosines. Every row is in the index; recall against knn_join rises with tables and falls with bits. Rows with equal
+    signs are multiplied in blocks, like those of a key in knn_join."""
     dim = catalog.selectExpr("size(embedding) as d").filter("d > 0").first()
     if dim is None:
         return catalog.sparkSession.createDataFrame([], "q_id long, c_id long, cosine double, rank int")
@@ -90,14 +96,15 @@ def approximate_knn(queries: DataFrame, catalog: DataFrame, k: int, bits: int =
             m = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             signs = ((m @ planes) > 0).reshape(batch.num_rows, tables, bits)
             codes = signs @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
-            at = np.repeat(np.arange(batch.num_rows), tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(codes.ravel().astype(np.int64))], names=["id", "key", "code"])
-
-    schema = "id long, key string, code long"
-    cols = ["id", "key", "embedding"]
-    q, c = queries.select(cols).mapInArrow(hashed, schema), catalog.select(cols).mapInArrow(hashed, schema)
-    pairs = q.withColumnRenamed("id", "q_id").join(c.withColumnRenamed("id", "c_id"), ["key", "code"]).filter("q_id <> c_id").select("q_id", "c_id").distinct()
-    left, right = queries.select(F.col("id").alias("q_id"), F.col("embedding").alias("x")), catalog.select(F.col("id").alias("c_id"), F.col("embedding").alias("y"))
-    scored = pairs.join(left, "q_id").join(right, "c_id").select("q_id", "c_id", F.coalesce(cosine(F.col("x"), F.col("y")), F.lit(0.0)).alias("cosine"))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * tables, pa.int32()), pa.array(codes.ravel().astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "key", "embedding", "codes"])
+
+    def coded(df: DataFrame) -> DataFrame:
+        df = df.select("id", "key", "embedding")
+        out = df.mapInArrow(hashed, df.withColumn("codes", F.array().cast("array<bigint>")).schema).withColumn("code", F.explode("codes"))
+        return out.select("id", F.concat_ws(":", "code", "key").alias("key"), "embedding")
+
+    found = _best(coded(queries.filter("key is not null")), coded(catalog.filter("key is not null")), k, -1.0, block_rows)
+    found = found.groupBy("q_id", "c_id").agg(F.max("cosine").alias("cosine"))  # pairs meet in several tables
     rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("cosine"), "c_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -4,8 +4,10 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
+from __spark_entry__ import queries
 from skuweave.config import MatchConfig
 from skuweave.operators import knn, match
+from skuweave.plans.catalog import Catalog
 
 from .plain import metadata
 
@@ -61,6 +63,15 @@ def test_approximate_knn_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_registered_approximate_knn_recall(spark):
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
+        c = Catalog(spark, sf)
+        df = c.features.selectExpr("product_id as id", "'' as key", "embedding")
+        exact = {(r.q_id, r.c_id) for r in knn.knn_join(df, df, 10).collect()}
+        near = {(r.q_id, r.c_id) for r in queries()["approximate_knn_topk"](spark, sf).collect()}
+        assert len(exact & near) / len(exact) >= 0.9
+
+
 def test_hybrid_and_modes(spark):
     catalog, new = vectors(spark, 60, 0, 5), vectors(spark, 40, 1000, 6)
     cfg = MatchConfig(overfetch=None, limit=3)
