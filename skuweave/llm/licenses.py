@@ -1,8 +1,8 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 A text is reduced to its words (runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased),
-single spaces between them. A few substrings (KEYWORDS) gate the whole scan; each rule then has a keyword of its own that a
-text must contain before its regex runs. A detection is a range of words. Detections are ordered by start, the longer first,
+single spaces between them. Each rule has a keyword that every text it matches contains, and that a text must contain before
+its regex runs; the shortest of these keywords (gate_keywords) gate the whole scan. A detection is a range of words. Detections are ordered by start, the longer first,
 then by tier (1 is strongest); one that lies inside another of the same or a stronger tier is suppressed. Base phrases are
 rules too, and are never suppressed. The scan needs no shuffle.
 
@@ -91,9 +91,6 @@ TEXTS = [
     ("no-warranty", "warranty of any kind", "without warranty of any kind", 3, 0.3),
     ("permission", "with permission", "used with permission", 3, 0.3),
 ]
-#: A text without any of these needs no rule.
-KEYWORDS = ["licen", "cc by", "cc0", "creative", "copyright", "rights reserved", "public domain", "hereby granted", "redistribution and use", "endorse or promote",
-            "free software", " org ", "proprietary", "not be reproduced", "warranty of", "with permission", "released under", "terms of", "gpl", "spdx", "gnu "]
 
 
 def rules() -> list[dict]:
@@ -112,13 +109,13 @@ def rules() -> list[dict]:
         add(label, "creative commons", f"creative commons {name}{tail}(?: (?:international|unported|generic))?(?: public)? licen[cs]e", tier, 0.95 if version else 0.85)
     for short, (name, versions) in GNU.items():
         add(short, "licen", f"(?:gnu )?{name} licen[cs]e", 2, 0.8)
-        for v, (more, extra) in product(versions, {"": "", "-later": " or (?:\\(at your option\\) )?(?:any )?later(?: version)?", "-only": " only"}.items()):
+        for v, (more, extra) in product(versions, {"": "", "-later": " or (?:at your option )?(?:any )?later(?: version)?", "-only": " only"}.items()):
             label = f"{short}-{v.replace(' ', '.')}{more}"
             minor = "" if " " in v else "(?: 0)?"
             add(label, "licen", f"(?:gnu )?{name} licen[cs]e (?:v|version )?{v}{minor}{extra}", 1, 0.97)
             add(label, short, f"(?:gnu )?{short} ?v?{v}{minor}{extra}", 1, 0.9)
     for label, name, short, versions in NAMED:
-        word = "clause" if "clause" in name else "licen"
+        word = "bsd" if label.startswith("bsd") else "licen"
         add(label, word, name, 2, 0.85)
         for v in filter(None, versions):
             add(f"{label}-{v.replace(' ', '.')}", word, f"(?:{name}) (?:v|version )?{v}", 1, 0.97)
@@ -129,6 +126,12 @@ def rules() -> list[dict]:
     return out
 
 
+def gate_keywords() -> list[str]:
+    """A text without any of these needs no rule: the keywords of all rules but those that contain another one."""
+    every = {r["keyword"] for r in rules()}
+    return sorted(k for k in every if not any(x != k and x in k for x in every))
+
+
 def words_text(text: Column) -> Column:
     """The words with single spaces between them."""
     return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
@@ -169,7 +172,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     words = F.col("_words")
     gaps = F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
     gate = F.lit(False)
-    for k in KEYWORDS:
+    for k in gate_keywords():
         gate = gate | words.contains(k)
     tried = F.filter(table, lambda r: words.contains(r["keyword"]) & F.rlike(words, r["regex"]))
     found = _resolved(F.flatten(F.transform(tried, lambda r: _found(words, r))))

@@ -1,3 +1,5 @@
+from re import _parser as sre
+
 from skuweave.llm import licenses, secret_scan
 from skuweave.llm import queries as Q
 
@@ -34,6 +36,47 @@ def test_license_suppression(spark):
     assert {"cc-by-nc-sa-4.0", "cc-by", "gpl-2-later", "gpl"} <= kept and "cc-by-nc-sa" not in kept and "gpl-2" not in kept
 
 
+def samples(parsed):
+    """Texts that a parsed regex matches: all its alternatives, with and without what is optional."""
+    out = [""]
+    for op, x in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(x)]
+        elif name == "NOT_LITERAL":
+            some = ["x"]
+        elif name == "IN":
+            some = [chr(x[0][1][0] if str(x[0][0]) == "RANGE" else x[0][1])]
+        elif name == "BRANCH":
+            some = [s for part in x[1] for s in samples(part)]
+        elif name == "SUBPATTERN":
+            some = samples(x[3])
+        elif name == "MAX_REPEAT":
+            some = [s * n for n in sorted({x[0], max(x[0], 1)}) for s in samples(x[2])]
+        else:
+            assert name == "ASSERT_NOT"
+            some = [""]
+        out = [a + b for a in out for b in dict.fromkeys(some)]
+    return out
+
+
+def test_every_license_rule_finds_its_samples(spark):
+    gate, rows = licenses.gate_keywords(), []
+    for r in licenses.rules():
+        texts = samples(sre.parse(r["regex"]))
+        assert all(r["keyword"] in t and any(k in t for k in gate) for t in texts), r
+        rows += [(r["id"], t) for t in {texts[0], texts[-1]}]
+    for r in licenses.scan(spark.createDataFrame(rows, "want int, text string").repartition(4)).collect():
+        assert r.want in {d.rule for d in r.detections}, r.text
+
+
+def test_license_short_names(spark):
+    want = {"Apache 2.0": "apache-2.0", "MPL 2.0": "mpl-2.0", "EPL-2.0": "epl-2.0", "ODbL 1.0": "odbl-1.0", "FDL 1.3": "fdl-1.3", "BSD 3-Clause": "bsd-3",
+            "Simplified BSD License": "bsd-2", "revised BSD license": "bsd-3", "GPL 2 or (at your option) any later version": "gpl-2-later"}
+    for r in licenses.scan(spark.createDataFrame(list(want.items()), "text string, want string")).collect():
+        assert r.want in {d.label for d in r.detections if d.kept}, r.text
+
+
 def test_license_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "text string, x int")).count() == 0
 
