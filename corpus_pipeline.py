@@ -10,14 +10,27 @@ from skuweave.llm import decontaminate, exact_dedup, language_id, mixing, set_jo
 from skuweave.llm.common import written
 from skuweave.llm.queries import curriculum, table
 
-#: The least cosine with a language's prototype. Only texts that resemble none at all fall below it.
-LEAST_COSINE = 0.02
+#: The least cosine with a language's prototype: four standard deviations of random vectors of 1,024 dimensions. Texts under 32
+#: letters have too few trigrams to be told from noise; they take the second limit.
+LEAST_COSINE, LEAST_OF_SHORT = 4 / 1024**0.5, 0.02
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that resemble no language."""
+    """Drops documents without letters and those that resemble no language: whose cosine is under LEAST_COSINE, or under half of
+    the 1 % quantile of learned documents of that language and about as many letters (of all languages, if under 100 are)."""
     found = language_id.predict(docs, language_id.learn(docs.filter(~language_id.held_out())))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)).select(docs.columns)
+    letters = F.char_length(F.regexp_replace("text", r"\P{L}+", ""))
+    size = F.least(F.floor(F.log2(F.greatest(letters, F.lit(1)))), F.lit(12)).cast("int")
+    found = written(found.withColumn("_size", size), "languages")
+    known = found.filter(~language_id.held_out() & (F.col("lang") == F.col("lang_pred")))
+    low = F.percentile_approx("score", 0.01, 10_000)
+    own = known.groupBy("lang_pred", "_size").agg(low.alias("_own"), F.count("*").alias("_n")).filter("_n >= 100").drop("_n")
+    every = known.groupBy("_size").agg(low.alias("_every"))
+    # at most 13 rows for each language
+    found = found.join(F.broadcast(own), ["lang_pred", "_size"], "left").join(F.broadcast(every), "_size", "left")
+    least = F.when(F.col("_size") >= 5, LEAST_COSINE).otherwise(LEAST_OF_SHORT)
+    limit = F.greatest(least, F.coalesce("_own", "_every", F.lit(0.0)) / 2)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= limit)).select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

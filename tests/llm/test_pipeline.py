@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from skuweave.llm.common import written
 
@@ -42,6 +46,19 @@ def test_each_stage_matches_brute_force(spark):
     assert len({(r.doc_id, r.copy) for r in got}) == len(got)
 
 
+def test_language_rejects_junk_and_unlearned_languages(spark):
+    rnd = random.Random(4)
+    junk = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    finnish = "Kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu jarki ja omatunto."
+    polish = "Wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw, i powinni postepowac w duchu braterstwa."
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bad = [junk(n) for n in (20, 50, 200, 600) for _ in range(5)] + [finnish, polish]
+    clean = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    rows = [(10**9 + i, t, None, "junk", len(t)) for i, t in enumerate(bad)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").select([F.col(f.name).cast(f.dataType) for f in docs.schema])
+    assert {r.doc_id for r in P.language(spark, docs.unionByName(more), SF).collect()} == clean
+
+
 def test_run(spark):
     out = P.run(spark, SF)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy", "words", "position"]
