@@ -49,8 +49,12 @@ def _edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 0.0).otherwise((1 - F.levenshtein(a, b) / longest) * 100)
 
 
-def sku_similarity(a: Column, b: Column) -> Column:
-    a, b = F.upper(strip(a)), F.upper(strip(b))
+def comparable_sku(c: Column) -> Column:
+    return F.upper(strip(c))
+
+
+def comparable_sku_similarity(a: Column, b: Column) -> Column:
+    """Of two SKUs as comparable_sku() gives them."""
     return (
         F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), 0.0)
         .when(a == b, 100.0)
@@ -59,6 +63,10 @@ def sku_similarity(a: Column, b: Column) -> Column:
     )
 
 
+def sku_similarity(a: Column, b: Column) -> Column:
+    return comparable_sku_similarity(comparable_sku(a), comparable_sku(b))
+
+
 def clean_name(c: Column) -> Column:
     """Lower case, punctuation to spaces, common words gone; null when there is no name at all."""
     low = F.lower(strip(c))
@@ -86,8 +94,8 @@ def name_similarity(a: Column, b: Column) -> Column:
     return cleaned_name_similarity(clean_name(a), clean_name(b))
 
 
-def category_similarity(a: Column, b: Column) -> Column:
-    a, b = normalize_category(a), normalize_category(b)
+def normalized_category_similarity(a: Column, b: Column) -> Column:
+    """Of two categories as normalize_category() gives them."""
     return (
         F.when(a.isNull() & b.isNull(), 50.0)
         .when(a.isNull() | b.isNull(), 0.0)
@@ -97,6 +105,10 @@ def category_similarity(a: Column, b: Column) -> Column:
     )
 
 
+def category_similarity(a: Column, b: Column) -> Column:
+    return normalized_category_similarity(normalize_category(a), normalize_category(b))
+
+
 def price_similarity(a: Column, b: Column) -> Column:
     a, b = a.cast("double"), b.cast("double")
     return (

@@ -7,6 +7,8 @@ A block holds about block_rows vectors, so memory is bounded; a large category b
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,8 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
-from ..functions.vectors import scaled
-from . import match as M
+from ..functions.vectors import feature_error, scaled
+from .candidates import keyed_catalog, keyed_queries
 
 
 def _blocks(df: DataFrame, rows: int) -> DataFrame:
@@ -24,28 +26,36 @@ def _blocks(df: DataFrame, rows: int) -> DataFrame:
     return df.join(n, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
-def _best(queries: DataFrame, catalog: DataFrame, k: int, least_cosine: float, block_rows: int) -> DataFrame:
-    """(q_id, c_id, cosine): the best k of each query in each block of its key."""
-    a, b = _blocks(queries.select("id", "key", "embedding"), block_rows), _blocks(catalog.select("id", "key", "embedding"), block_rows)
+def usable(df: DataFrame) -> DataFrame:
+    """The rows whose vectors are numbers throughout; null, empty, NaN and infinite ones are no candidates."""
+    return df.filter(feature_error(F.col("embedding")).isNull())
+
+
+def best(queries: DataFrame, catalog: DataFrame, k: int, least_cosine: float = -1.0, block_rows: int = 4096) -> DataFrame:
+    """(q_id, c_id, cosine, usable): the best k of each query in each block of its key. Vectors meet only those of the same
+    length. usable: whether neither vector is zero; a zero vector has cosine 0 with all."""
+    long = lambda df: usable(df).select("id", F.struct("key", F.size("embedding").alias("dims")).alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
+    a, b = _blocks(long(queries), block_rows), _blocks(long(catalog), block_rows)
     na, nb = a.select("key", F.col("blocks").alias("na")).distinct(), b.select("key", F.col("blocks").alias("nb")).distinct()
     left = a.join(nb, "key").withColumn("c_block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     left = left.select("key", F.col("block").alias("q_block"), "c_block", "id", "embedding")
     right = b.join(na, "key").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
     right = right.select(F.col("key").alias("r_key"), F.col("q_block").alias("r_q"), F.col("block").alias("r_c"), F.col("id").alias("c_id"), F.col("embedding").alias("vector"))
 
-    def matrix(t: pa.Table, column: str) -> np.ndarray:
+    def matrix(t: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
         lists = t[column].combine_chunks()
         m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
         size = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(size > 0, size, 1)
+        return m / np.where(size > 0, size, 1), size[:, 0] > 0
 
-    def best(q: pa.Table, c: pa.Table) -> pa.Table:
+    def found(q: pa.Table, c: pa.Table) -> pa.Table:
         out = []
         if q.num_rows and c.num_rows:
-            qi, ci, cm = q["id"].to_numpy(), c["c_id"].to_numpy(), matrix(c, "vector")
+            qi, ci = q["id"].to_numpy(), c["c_id"].to_numpy()
             order = np.argsort(ci)
-            ci, cm = ci[order], cm[order]
-            scores = matrix(q, "embedding") @ cm.T
+            (qm, q_fine), (cm, c_fine) = matrix(q, "embedding"), matrix(c, "vector")
+            ci, cm, c_fine = ci[order], cm[order], c_fine[order]
+            scores = np.clip(np.round(qm @ cm.T, 12), -1, 1)  # equal vectors get equal scores wherever they stand
             scores[qi[:, None] == ci[None, :]] = -np.inf
             scores[scores < least_cosine] = -np.inf
             for i in range(len(qi)):
@@ -53,18 +63,20 @@ def _best(queries: DataFrame, catalog: DataFrame, k: int, least_cosine: float, b
                 edge = np.partition(row, -k)[-k] if k < len(row) else -np.inf
                 at = np.flatnonzero((row >= edge) & (row > -np.inf))
                 at = at[np.argsort(-row[at], kind="stable")][:k]
-                out.append((np.full(len(at), qi[i]), ci[at], row[at]))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"q_id": pa.array(cols[0], pa.int64()), "c_id": pa.array(cols[1], pa.int64()), "cosine": pa.array(cols[2], pa.float64())})
+                out.append((np.full(len(at), qi[i]), ci[at], row[at], c_fine[at] & q_fine[i]))
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[]] * 4
+        kinds = {"q_id": pa.int64(), "c_id": pa.int64(), "cosine": pa.float64(), "usable": pa.bool_()}
+        return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), cols, strict=True)})
 
     key = ["key", "q_block", "c_block"]
-    return left.groupBy(*key).cogroup(right.groupBy("r_key", "r_q", "r_c")).applyInArrow(best, "q_id long, c_id long, cosine double")
+    return left.groupBy(*key).cogroup(right.groupBy("r_key", "r_q", "r_c")).applyInArrow(found, "q_id long, c_id long, cosine double, usable boolean")
 
 
 def knn_join(queries: DataFrame, catalog: DataFrame, k: int, least_cosine: float = -1.0, block_rows: int = 4096) -> DataFrame:
-    """(q_id, c_id, cosine, rank). queries and catalog: id, key, embedding. Rows meet where their keys are equal; an id does
-    not match itself; zero vectors have cosine 0 with all."""
-    found = _best(queries, catalog, k, least_cosine, block_rows)
+    """(q_id, c_id, cosine, rank). queries and catalog: id, key, embedding. Rows meet where their keys and the lengths of their
+    vectors are equal; an id does not match itself; zero vectors have cosine 0 with all; rows whose vectors are null, empty,
+    NaN or infinite are left out (functions.vectors.feature_error names them)."""
+    found = best(queries, catalog, k, least_cosine, block_rows).drop("usable")
     rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("cosine"), "c_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -72,7 +84,7 @@ def knn_join(queries: DataFrame, catalog: DataFrame, k: int, least_cosine: float
 def catalog_knn(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig(), block_rows: int = 4096) -> DataFrame:
     """The index search of the visual mode: the nearest catalog rows of each query among its categories, by the keys of
     operators.match; scaled to a score."""
-    q, c = M.keyed_queries(queries, catalog, cfg), M.keyed_catalog(catalog)
+    q, c = keyed_queries(queries, catalog, cfg), keyed_catalog(catalog)
     found = knn_join(q, c, cfg.limit, block_rows=block_rows)
     return found.withColumn("score", scaled(F.col("cosine"), cfg.score_scale))
 
@@ -82,29 +94,34 @@ def index_statistics(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("category").agg(F.count("embedding").alias("vectors"), F.round(F.sum(F.size("embedding") * 4) / 1e6, 3).alias("mb"))
 
 
+@functools.cache
+def _planes(dims: int, n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dims, n))
+
+
 def approximate_knn(queries: DataFrame, catalog: DataFrame, k: int, bits: int = 4, tables: int = 20, seed: int = 5, block_rows: int = 4096) -> DataFrame:
     """(q_id, c_id, cosine, rank) among rows that share the signs of `bits` random projections in one of `tables` tables, with
     exact cosines. Every row is in the index; recall against knn_join rises with tables and falls with bits. Rows with equal
     signs are multiplied in blocks, like those of a key in knn_join."""
-    dim = catalog.selectExpr("size(embedding) as d").filter("d > 0").first()
-    if dim is None:
-        return catalog.sparkSession.createDataFrame([], "q_id long, c_id long, cosine double, rank int")
-    planes = np.random.default_rng(seed).standard_normal((dim.d, bits * tables))
 
     def hashed(batches):
         for batch in batches:
-            m = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            signs = ((m @ planes) > 0).reshape(batch.num_rows, tables, bits)
-            codes = signs @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * tables, pa.int32()), pa.array(codes.ravel().astype(np.int64)))
+            vectors, codes = batch.column(2), np.zeros((batch.num_rows, tables), np.int64)
+            size = np.diff(vectors.offsets.to_numpy())
+            for d in np.unique(size):
+                at = np.flatnonzero(size == d)
+                m = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+                signs = ((m @ _planes(int(d), bits * tables, seed)) > 0).reshape(len(at), tables, bits)
+                codes[at] = signs @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * tables, pa.int32()), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "key", "embedding", "codes"])
 
     def coded(df: DataFrame) -> DataFrame:
-        df = df.select("id", "key", "embedding")
+        df = usable(df).select("id", "key", "embedding")
         out = df.mapInArrow(hashed, df.withColumn("codes", F.array().cast("array<bigint>")).schema).withColumn("code", F.explode("codes"))
         return out.select("id", F.concat_ws(":", "code", "key").alias("key"), "embedding")
 
-    found = _best(coded(queries.filter("key is not null")), coded(catalog.filter("key is not null")), k, -1.0, block_rows)
+    found = best(coded(queries.filter("key is not null")), coded(catalog.filter("key is not null")), k, -1.0, block_rows)
     found = found.groupBy("q_id", "c_id").agg(F.max("cosine").alias("cosine"))  # pairs meet in several tables
     rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("cosine"), "c_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -17,28 +17,12 @@ from pyspark.sql import functions as F
 from ..config import MatchConfig
 from ..functions import text as T
 from ..functions import vectors as V
+from ..shared import written
+from . import knn
+from .candidates import keyed_catalog, keyed_queries, prefixed
 
-NONE = "\x00"  # the key of what has no category
 CANDIDATE = ["image_path", "category", "product_name", "sku", "created_at"]
-
-
-def keyed_queries(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """queries with a row and `key` for each key of the catalog that they are matched with."""
-    category = T.normalize_category(F.col("category"))
-    every = catalog.select(F.coalesce(T.normalize_category(F.col("category")), F.lit(NONE)).alias("key")).distinct()
-    own = F.array(category, F.lit(NONE)) if cfg.include_uncategorized else F.array(category)
-    if cfg.match_against_all:
-        return queries.crossJoin(every)
-    some = queries.filter(category.isNotNull()).withColumn("key", F.explode(own))
-    return some.unionByName(queries.filter(category.isNull()).crossJoin(every))
-
-
-def keyed_catalog(catalog: DataFrame) -> DataFrame:
-    return catalog.withColumn("key", F.coalesce(T.normalize_category(F.col("category")), F.lit(NONE)))
-
-
-def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("key",)) -> DataFrame:
-    return df.select(*[F.col(c) if c in keep else F.col(c).alias(f"{prefix}{c}") for c in df.columns])
+PAIRS_PER_TASK = 400_000  # about; decides the partitions of the queries, not results
 
 
 def candidate_pairs(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig) -> DataFrame:
@@ -47,29 +31,41 @@ def candidate_pairs(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig) ->
     return left.join(right, "key").filter("q_id <> c_id")
 
 
-def _few_names(left: DataFrame, right: DataFrame) -> bool:
-    """Whether the pairs of distinct names are under a tenth of the pairs of products."""
+def _work(left: DataFrame, right: DataFrame) -> tuple[int, bool]:
+    """The number of pairs of products, and whether the pairs of distinct names are under a tenth of them."""
     a = left.groupBy("key").agg(F.count("*").alias("n"), F.approx_count_distinct("q_clean").alias("d"))
     b = right.groupBy("key").agg(F.count("*").alias("m"), F.approx_count_distinct("c_clean").alias("e"))
     row = a.join(b, "key").agg(F.sum(F.col("n") * F.col("m")).alias("pairs"), F.sum(F.col("d") * F.col("e")).alias("names")).first()
-    return bool(row.pairs) and row.names < row.pairs / 10
-
-
-def metadata_pairs(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """Candidate pairs with name_score. Both sides need price and sales (operators.histories.with_latest)."""
-    clean = T.clean_name(F.col("product_name"))
-    left = prefixed(keyed_queries(queries.withColumn("clean", clean), catalog, cfg), "q_")
-    right = prefixed(keyed_catalog(catalog.withColumn("clean", clean)), "c_")
-    few = _few_names(left, right) if cfg.distinct_names is None else cfg.distinct_names
-    score = T.cleaned_name_similarity(F.col("q_clean"), F.col("c_clean"))
+    return row.pairs or 0, bool(row.pairs) and row.names < row.pairs / 10
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """rows (products with price and sales, see operators.histories.with_latest), written once: id, the columns that a match
+    shows, and what scores need, cleaned for each row instead of each pair."""
+    cleaned = {"clean": T.clean_name(F.col("product_name")), "nsku": T.comparable_sku(F.col("sku")), "ncategory": T.normalize_category(F.col("category"))}
+    return written(rows.select("id", *CANDIDATE, *(F.col(c).cast("double").alias(c) for c in ("price", "sales")), *(x.alias(c) for c, x in cleaned.items())), "products")
+
+
+def metadata_pairs(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Candidate pairs of prepared() products with name_score, in narrow rows: ids and what scores need. keep: further catalog
+    columns to carry. Queries are dealt by id into so many partitions that a task scores about PAIRS_PER_TASK pairs, also
+    where the catalog is small enough to be broadcast."""
+    need = ["id", "category", "clean", "nsku", "ncategory", "price", "sales"]
+    left = prefixed(keyed_queries(queries.select(need), catalog, cfg).drop("category"), "q_")
+    right = prefixed(keyed_catalog(catalog).select("key", *need, *(c for c in keep if c not in need)), "c_")
+    right = right if "category" in keep else right.drop("c_category")
+    pairs, few = _work(left, right)
+    few = few if cfg.distinct_names is None else cfg.distinct_names
+    left = left.repartition(max(1, -(-pairs // PAIRS_PER_TASK)), "q_id")
     if not few:
-        return left.join(right, "key").filter("q_id <> c_id").withColumn("name_score", score)
+        score = T.cleaned_name_similarity(F.col("q_clean"), F.col("c_clean"))
+        return left.join(right, "key").filter("q_id <> c_id").withColumn("name_score", score).drop("q_clean", "c_clean")
     blank = F.lit("\x00")
     left, right = left.withColumn("q_clean", F.coalesce("q_clean", blank)), right.withColumn("c_clean", F.coalesce("c_clean", blank))
     names = left.select("key", "q_clean").distinct().join(right.select("key", "c_clean").distinct(), "key")
     bare = lambda c: F.when(F.col(c) != blank, F.col(c))
-    names = names.withColumn("name_score", T.cleaned_name_similarity(bare("q_clean"), bare("c_clean")))
-    return left.join(names, ["key", "q_clean"]).join(right, ["key", "c_clean"]).filter("q_id <> c_id")
+    names = written(names.withColumn("name_score", T.cleaned_name_similarity(bare("q_clean"), bare("c_clean"))), "names")
+    return left.join(names, ["key", "q_clean"]).join(right, ["key", "c_clean"]).filter("q_id <> c_id").drop("q_clean", "c_clean")
 
 
 def metadata_scored(pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
@@ -77,14 +73,14 @@ def metadata_scored(pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
     even with the best SKU and name is dropped before its SKUs are compared."""
     w, starts = cfg.metadata_weights, T.WEIGHT_STARTS
     out = pairs.withColumns({
-        "category_score": T.category_similarity(F.col("q_category"), F.col("c_category")),
+        "category_score": T.normalized_category_similarity(F.col("q_ncategory"), F.col("c_ncategory")),
         "price_score": T.price_similarity(F.col("q_price"), F.col("c_price")),
         "performance_score": T.performance_similarity(F.col("q_sales"), F.col("c_sales")),
     })
     part = lambda name: T.asymmetric(F.col(f"{name}_score"), w[name], starts[name])
     if cfg.threshold > 0:
         out = out.filter(part("category") + part("price") + part("performance") + part("name") + 100 * w["sku"] >= cfg.threshold)
-    out = out.withColumn("sku_score", T.sku_similarity(F.col("q_sku"), F.col("c_sku")))
+    out = out.withColumn("sku_score", T.comparable_sku_similarity(F.col("q_nsku"), F.col("c_nsku")))
     return out.withColumn("similarity_score", part("sku") + part("name") + part("category") + part("price") + part("performance"))
 
 
@@ -96,15 +92,15 @@ def top(scored: DataFrame, threshold: float, limit: int, score: str = "similarit
     return out.filter(F.col("rank") <= limit) if limit else out
 
 
-def record(matched: DataFrame, scores: list[str], mode: str) -> DataFrame:
-    """Match rows: new_product_id, matched_product_id, rank, scores, the candidate's columns and flags."""
+def record(matched: DataFrame, scores: list[str], mode: str, *more: str) -> DataFrame:
+    """Match rows: new_product_id, matched_product_id, rank, scores, the candidate's columns and flags, and more columns."""
     text = lambda c: F.coalesce(F.col(f"c_{c}").cast("string"), F.lit("")).alias(c)
     gone = T.missing_fields(F.col("c_image_path"), F.col("c_product_name"), F.col("c_sku"))
     return matched.select(
         F.col("q_id").alias("new_product_id"), F.col("c_id").alias("matched_product_id"), "rank", "similarity_score", *scores,
         text("image_path"), F.col("c_category").alias("category"), F.col("c_product_name").alias("product_name"), F.col("c_sku").alias("sku"), text("created_at"),
         T.is_duplicate(F.col("similarity_score")).alias("is_potential_duplicate"), (F.coalesce("c_category", F.lit("")) == "").alias("is_uncategorized"),
-        gone.alias("missing_fields"), (F.size(gone) > 0).alias("has_missing_metadata"), F.lit(mode).alias("mode"),
+        gone.alias("missing_fields"), (F.size(gone) > 0).alias("has_missing_metadata"), F.lit(mode).alias("mode"), *more,
     )
 
 
@@ -113,13 +109,15 @@ VISUAL_SCORES = ["color_score", "shape_score", "texture_score"]
 
 
 def metadata_matches(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """The metadata mode, for any number of queries at once."""
-    scored = top(metadata_scored(metadata_pairs(queries, catalog, cfg), cfg), cfg.threshold, cfg.limit)
-    out = record(scored.withColumns({c: F.lit(0.0) for c in VISUAL_SCORES}), [*METADATA_SCORES, *VISUAL_SCORES], "metadata")
-    missing = F.coalesce("sku", F.lit("")) == ""
-    missing = missing | (F.coalesce("product_name", F.lit("")) == "") | (F.coalesce("category", F.lit("")) == "")
-    extra = scored.select(F.col("q_id").alias("new_product_id"), F.col("c_id").alias("matched_product_id"), ((F.coalesce("c_price", F.lit(0.0)) == 0) | F.col("c_sales").isNull()).alias("_more"))
-    return out.join(extra, ["new_product_id", "matched_product_id"]).withColumn("has_missing_data", missing | F.col("_more")).drop("_more")
+    """The metadata mode, for any number of queries at once. Pairs are scored once, in narrow rows; the candidates' columns
+    join what the ranking leaves."""
+    catalog = prepared(catalog)
+    best = top(metadata_scored(metadata_pairs(prepared(queries), catalog, cfg), cfg), cfg.threshold, cfg.limit)
+    best = best.select("q_id", "c_id", "rank", "similarity_score", *METADATA_SCORES, *(F.lit(0.0).alias(c) for c in VISUAL_SCORES))
+    shown = prefixed(catalog.select("id", *CANDIDATE, "price", "sales"), "c_")
+    out = record(best.join(shown, "c_id"), [*METADATA_SCORES, *VISUAL_SCORES], "metadata", "c_price", "c_sales")
+    missing = (F.coalesce("sku", F.lit("")) == "") | (F.coalesce("product_name", F.lit("")) == "") | (F.coalesce("category", F.lit("")) == "")
+    return out.withColumn("has_missing_data", missing | (F.coalesce("c_price", F.lit(0.0)) == 0) | F.col("c_sales").isNull()).drop("c_price", "c_sales")
 
 
 def visual_scored(pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
@@ -148,9 +146,15 @@ def penalized(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
 
 
 def visual_matches(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig(), embeddings: bool = True) -> DataFrame:
-    """The visual mode over columns embedding, or color, shape and texture; rows with bad vectors are not candidates."""
-    pairs = candidate_pairs(queries, catalog, cfg)
-    scored = (embedding_scored if embeddings else visual_scored)(pairs, cfg).filter("error_code is null")
+    """The visual mode over columns embedding, or color, shape and texture; rows with bad vectors are not candidates. With a
+    limit, embeddings are multiplied in blocks: candidates of one key lose the same part of their score, so the best of each
+    key hold the best of all."""
+    if not embeddings or not cfg.limit:
+        scored = (embedding_scored if embeddings else visual_scored)(candidate_pairs(queries, catalog, cfg), cfg).filter("error_code is null")
+        return record(top(penalized(scored, cfg), cfg.floor, cfg.limit), VISUAL_SCORES, "visual")
+    near = knn.best(keyed_queries(queries, catalog, cfg), keyed_catalog(catalog), cfg.limit)
+    pairs = near.join(prefixed(catalog.select("id", *CANDIDATE), "c_"), "c_id").withColumn("raw_score", V.scaled(F.when(F.col("usable"), F.col("cosine")), cfg.score_scale))
+    scored = pairs.withColumns({c: F.col("raw_score") for c in VISUAL_SCORES})
     return record(top(penalized(scored, cfg), cfg.floor, cfg.limit), VISUAL_SCORES, "visual")
 
 

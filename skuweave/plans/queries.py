@@ -55,7 +55,7 @@ def metadata_match_topk(c: Catalog) -> DataFrame:
 
 @query(v("SELECT q_id, c_id, round(sku_score, 6) AS sku_score, round(name_score, 6) AS name_score, round(category_score, 6) AS category_score, round(price_score, 6) AS price_score, round(performance_score, 6) AS performance_score, round(similarity_score, 6) AS similarity_score FROM metadata_all", S.METADATA))
 def metadata_scores_all_pairs(c: Catalog) -> DataFrame:
-    scored = match.metadata_scored(match.metadata_pairs(c.with_latest(c.new), c.with_latest(c.historical), ALL), ALL)
+    scored = match.metadata_scored(match.metadata_pairs(match.prepared(c.with_latest(c.new)), match.prepared(c.with_latest(c.historical)), ALL), ALL)
     return scored.select("q_id", "c_id", *(F.round(x, 6).alias(x) for x in ("sku_score", "name_score", "category_score", "price_score", "performance_score", "similarity_score")))
 
 
@@ -227,7 +227,7 @@ def match_statistics(c: Catalog) -> DataFrame:
 count(*) FILTER (coalesce(c_category, '') = '') AS missing_category, count(*) FILTER (coalesce(c_price, 0) = 0) AS missing_price, count(*) FILTER (c_sales IS NULL) AS missing_performance,
 count(*) FILTER (coalesce(c_sku, '') = '') + count(*) FILTER (coalesce(c_name, '') = '') + count(*) FILTER (coalesce(c_category, '') = '') + count(*) FILTER (coalesce(c_price, 0) = 0) + count(*) FILTER (c_sales IS NULL) AS total_issues FROM metadata_all GROUP BY 1""", S.METADATA))
 def match_run_counters(c: Catalog) -> DataFrame:
-    scored = match.metadata_scored(match.metadata_pairs(c.with_latest(c.new), c.with_latest(c.historical), ALL), ALL)
+    scored = match.metadata_scored(match.metadata_pairs(match.prepared(c.with_latest(c.new)), match.prepared(c.with_latest(c.historical)), ALL, keep=("sku", "product_name", "category")), ALL)
     return match.run_counters(scored, 50)
 
 

@@ -95,3 +95,19 @@ def test_config_checks():
     for bad in ({"threshold": 101}, {"limit": -1}, {"visual_weight": 0.9}):
         with pytest.raises(ValueError, match="must"):
             MatchConfig(**bad)
+
+
+def test_knn_leaves_out_unusable_vectors(spark):
+    kind = "id long, key string, embedding array<double>"
+    odd = [(1, "a", [1.0, 0.0]), (2, "a", None), (3, "a", []), (4, "a", [float("nan"), 1.0]), (5, "a", [1.0, 0.0, 0.0]), (6, "a", [0.0, 0.0]), (7, "a", [1.0, 1.0]), (8, None, [1.0, 0.0]), (9, "a", [1.0, None])]
+    df = spark.createDataFrame(odd, kind)
+    got = {(r.q_id, r.c_id): r.cosine for r in knn.knn_join(df, df, 10).collect()}
+    assert got == pytest.approx({(1, 6): 0, (6, 1): 0, (1, 7): 0.5**0.5, (7, 1): 0.5**0.5, (6, 7): 0, (7, 6): 0})
+    near = {(r.q_id, r.c_id): r.cosine for r in knn.approximate_knn(df, df, 10, bits=1, tables=30).collect()}
+    assert near[(1, 7)] == pytest.approx(0.5**0.5) and near.keys() <= got.keys()
+
+
+def test_candidate_pairs_are_joined_once(spark):
+    catalog, new = spark.createDataFrame(rows(60, 1), SCHEMA), spark.createDataFrame(rows(40, 2, 1000), SCHEMA)
+    plan = match.metadata_matches(new, catalog)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1
