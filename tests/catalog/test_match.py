@@ -110,4 +110,4 @@ def test_knn_leaves_out_unusable_vectors(spark):
 def test_candidate_pairs_are_joined_once(spark):
     catalog, new = spark.createDataFrame(rows(60, 1), SCHEMA), spark.createDataFrame(rows(40, 2, 1000), SCHEMA)
     plan = match.metadata_matches(new, catalog)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("row_number()") == 1
+    assert plan.count("Window [") == 1
