@@ -1,4 +1,4 @@
-"""Helpers that several operators share: shared folders, word rules, joins on skewed keys."""
+"""Helpers that several operators share: shared folders, word rules, joins on skewed keys, scans over arrays."""
 
 from __future__ import annotations
 
@@ -12,29 +12,45 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _own_folder: list[str] = []
 
 
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or on one machine a temporary folder."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder on a
+    single machine; on a cluster an error, as no other folder is known to be shared."""
     conf = spark.sparkContext.getConf()
     if base := conf.get("spark.checkpoint.dir"):
         return base
-    if conf.get("spark.master", "local").split("[")[0] == "local":
-        if not _own_folder:
-            _own_folder.append(tempfile.mkdtemp(prefix="skuweave-"))
-        return f"file://{_own_folder[0]}"
-    return spark.conf.get("spark.sql.warehouse.dir")
+    if conf.get("spark.master", "local").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="skuweave-"))
+    return f"file://{_own_folder[0]}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage and survives a lost executor."""
+    """df, written to the shared folder and read again: cuts the lineage and survives a lost executor. Results read these
+    tables, so they stay until remove_written()."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Deletes what this process has written to the shared folder; for the time when results have been used. The number of
+    folders."""
+    hadoop, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(hadoop).delete(path, True))
+    return n
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. Spark's lower() does the same, faster, to texts of ASCII only."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -56,3 +72,45 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, n: str, most: int = 2048
     few = marked.filter("_heavy").drop("_heavy").join(F.broadcast(heavy), key)
     rest = marked.filter("_heavy is null").drop("_heavy").join(table, key)
     return few.unionByName(rest)
+
+
+def _marked(docs: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
+    """docs with _there: whether the hash of the id is among those of wanted (rep). The hashes are a bitmap of 2 ** 25 bits,
+    64 in a row: at most 2 ** 19 rows are broadcast, whatever the input."""
+    place = lambda c: F.xxhash64(F.col(c)).bitwiseAND(F.lit(2**25 - 1))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
+    words = wanted.select(F.shiftright(place("rep"), 6).alias("_word"), bit("rep").alias("b")).groupBy("_word").agg(F.bit_or("b").alias("_bits"))
+    met = docs.withColumns({"_at": F.shiftright(place(id), 6), "_bit": bit(id)}).join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")
+    there = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return met.select(*docs.columns, there.alias("_there"))
+
+
+def likely(docs: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
+    """The rows of docs whose hashed id is among those of wanted (rep): all of those wanted and few others, so that few texts
+    are shuffled."""
+    return _marked(docs, wanted, id).filter("_there").drop("_there")
+
+
+def unlikely(docs: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
+    """The other rows: surely none of those wanted."""
+    return _marked(docs, wanted, id).filter("not _there").drop("_there")
+
+
+def without(docs: DataFrame, gone: DataFrame, id: str) -> DataFrame:
+    """The rows of docs whose id is not among those of gone (rep). Only rows that may be among them are shuffled."""
+    rest = likely(docs, gone, id).join(gone.select("rep").distinct(), F.col(id).eqNullSafe(F.col("rep")), "left_anti")
+    return unlikely(docs, gone, id).unionByName(rest)
+
+
+def running(values: Column, highest: bool = False) -> Column:
+    """For each place of an array of numbers (bigint) the sum of the values before it (or the highest of them, at least 0).
+    Arrays are cut into about sqrt(n) pieces, so that the time for n values is about n * sqrt(n)."""
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+    add = (lambda a, b: F.greatest(a, b)) if highest else (lambda a, b: a + b)
+    state = F.struct(zero.alias("at"), none.alias("out"))
+    scan = lambda xs: F.aggregate(xs, state, lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+    step = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / step) - 1, F.lit(0)).cast("int")), lambda i: scan(F.slice(values, i * step + 1, step)))
+    starts = scan(F.transform(pieces, lambda p: p["at"]))["out"]
+    moved = F.transform(F.arrays_zip(pieces.alias("piece"), starts.alias("start")), lambda p: F.transform(p["piece"]["out"], lambda v: add(v, p["start"])))
+    return F.when(F.size(values) > 0, F.flatten(moved)).otherwise(none)

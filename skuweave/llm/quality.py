@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .set_join import U, likely, mixed
+from .common import likely, written
+from .set_join import U, mixed
 
 START, END = "\x02", "\x03"
 DIGITS = str.maketrans("123456789", "000000000")

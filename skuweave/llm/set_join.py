@@ -19,8 +19,10 @@ edge for each member.
 Components are found by Spark joins over those edges, with pointer jumping, in a few rounds.
 
 Defined cases: null and empty texts have no shingles, link with nothing and are their own component; a text with fewer than k
-words has one shingle, its whole sequence; rows that share an id are one document; rows with a null id get a null component
-and connect nothing; repeated rows are one class; an empty table gives no rows; further columns are ignored.
+words has one shingle, its whole sequence; a long text is one set, of whatever size, and is hashed and compared whole; rows
+that share an id are one document, the last of them by text, which each of those rows reports; rows with a null id get a null
+component and connect nothing; documents with equal sets are one class; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, written
+from .common import likely, lookup, without, written
 
 #: A-Z to a-z, white space to a space.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
@@ -292,29 +294,31 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def likely(docs: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
-    """The rows of docs whose hashed id is among those of wanted (rep), so that few texts are shuffled. The hashes are a bitmap
-    of 2 ** 25 bits, 64 in a row: at most 2 ** 19 rows are broadcast, whatever the input."""
-    place = lambda c: F.xxhash64(F.col(c)).bitwiseAND(F.lit(2**25 - 1))
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
-    words = wanted.select(F.shiftright(place("rep"), 6).alias("_word"), bit("rep").alias("b")).groupBy("_word").agg(F.bit_or("b").alias("_bits"))
-    met = docs.withColumns({"_at": F.shiftright(place(id), 6), "_bit": bit(id)}).join(F.broadcast(words), F.col("_at") == F.col("_word"))
-    return met.filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(docs.columns)
-
-
 def join(docs: DataFrame, k: int = 5, percent: int = 80, share: float | None = None, most_sets: int = 1024, most_tokens: int = 500_000, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: the id, n_shingles, component_id. Two documents link when 100 times the intersection is
     at least `percent` times the union. share: of the hash range that is indexed by frequency (one and a half prefixes by
     default); it decides speed, not results."""
     share = min(1.0, 1.5 * (100 - percent) / 100 + 0.02) if share is None else share
     base = docs.select(F.col(id).cast("long").alias(id), text)
+    again = written(base.groupBy(id).agg(F.count("*").alias("rows")).filter(f"rows > 1 and `{id}` is not null"), "again")
+    if not again.isEmpty():
+        ones = again.select(F.col(id).alias("rep"))
+        last = likely(base, ones, id).join(again.select(id), id).groupBy(id).agg(F.max(text).alias(text))
+        out = _joined(without(base, ones, id).unionByName(last), k, percent, share, most_sets, most_tokens, id, text)
+        out = out.join(again, id, "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("rows", F.lit(1)).cast("int"))))
+        return out.drop("rows", "_copy")
+    return _joined(base, k, percent, share, most_sets, most_tokens, id, text)
+
+
+def _joined(base: DataFrame, k: int, percent: int, share: float, most_sets: int, most_tokens: int, id: str, text: str) -> DataFrame:
+    """join() of documents whose ids differ."""
     rows = written(profiles(base, k, percent, share, id, text), "profiles")
     grouped = rows.filter("n > 0").groupBy("set_a", "set_b").agg(F.min(id).alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("n_first").alias("n_first"), F.any_value("tokens").alias("tokens"))
     classes = written(grouped, "classes")
     index = written(entries(classes.filter("rep is not null"), percent), "index")
     members = written(memberships(index, percent), "members")
     pieces = written(tasks(members, percent, most_sets, most_tokens), "pieces")
-    texts = likely(base, pieces.select("rep").distinct(), id).dropDuplicates([id]).select(F.col(id).alias("rep"), F.col(text).alias("text"))
+    texts = likely(base, pieces.select("rep").distinct(), id).select(F.col(id).alias("rep"), F.col(text).alias("text"))
     found = components(written(edges(pieces, texts, k, percent), "edges"))
     named = classes.select("set_a", "set_b", "rep", "copies").join(found, F.col("rep") == F.col("node"), "left")
     named = named.select(F.struct("set_a", "set_b").alias("set"), F.coalesce("component", "rep").alias("c"), "copies")

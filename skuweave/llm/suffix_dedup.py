@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, written
+from .common import likely, lookup, written
 from .decontaminate import TABLE
-from .set_join import CHUNK, U, likely, mixed, word_hashes
+from .set_join import CHUNK, U, mixed, word_hashes
 
 
 def _texts(column) -> list[bytes]:
