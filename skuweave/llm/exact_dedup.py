@@ -1,11 +1,13 @@
 """Exact dedup against a persistent digest index.
 
 The index is a Spark table, bucketed and sorted by digest, with one row for each distinct text. A batch of documents is
-hashed, grouped by digest, and the groups that the index lacks (a sort-merge anti-join, for which the index needs neither
-a shuffle nor a sort) are appended. Texts are equal when they are identical after lower-casing A-Z.
+hashed, grouped by digest, and the groups that the index lacks (a sort-merge anti-join, for which the buckets save the index
+its shuffle) are appended. Each batch adds a file to each bucket; compact() makes one sorted file of them again. Texts are
+equal when they are identical after lower-casing A-Z.
 
-Defined cases: a null text counts as empty; a null id is less than any other; of rows with equal texts and equal ids one
-stays; an empty batch appends nothing; further columns are ignored by `dedup` and kept by `kept_rows`.
+Defined cases: a null text counts as empty; a text of any length is hashed whole, and only its digest is shuffled; a null id
+is less than any other; of rows with equal texts and equal ids one stays; an empty batch appends nothing; further columns,
+whatever their names, are ignored by `dedup` and kept by `kept_rows`.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, lookup, written
+from .common import ascii_lower, likely, lookup, unlikely, written
 
 
 def digest_column(text: str):
@@ -33,12 +35,25 @@ class DigestIndex:
     def rows(self) -> DataFrame | None:
         return self.spark.table(self.table) if self.spark.catalog.tableExists(self.table) else None
 
-    def append(self, groups: DataFrame) -> None:
-        """Adds the groups whose digest the index lacks."""
+    def append(self, groups: DataFrame) -> str:
+        """Adds the groups whose digest the index lacks, and returns the name of the batch."""
+        name = uuid.uuid4().hex
         if (known := self.rows()) is not None:
             groups = groups.join(known.select("digest").hint("merge"), "digest", "left_anti")
-        batch = groups.withColumn("batch", F.lit(uuid.uuid4().hex)).repartition(self.buckets, "digest")
+        batch = groups.withColumn("batch", F.lit(name)).repartition(self.buckets, "digest")
         batch.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        return name
+
+    def compact(self) -> None:
+        """One sorted file for each bucket: the rows are written to a new table, which takes the name of the old one."""
+        rows, new = self.rows(), f"{self.table}_{uuid.uuid4().hex}"
+        if rows is not None:
+            rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(new)
+            self.drop()
+            self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.table}")
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def dedup(docs: DataFrame, index: DigestIndex, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,10 +62,8 @@ def dedup(docs: DataFrame, index: DigestIndex, id: str = "doc_id", text: str = "
     rows = written(docs.select(F.col(id), digest_column(text).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
     groups = rows.groupBy("digest").agg(F.max(F.struct(F.col(id), F.col("row"))).alias("keep"), F.count("*").alias("n"))
     groups = written(groups.select("digest", F.col(f"keep.{id}").alias("keep_id"), F.col("keep.row").alias("keep_row"), "n"), "groups")
-    before = index.rows()
-    batches = [] if before is None else [r.batch for r in before.select("batch").distinct().collect()]
-    index.append(groups)
-    held = index.rows().select("digest", "keep_id", F.when(F.col("batch").isin(batches), None).otherwise(F.col("keep_row")).alias("keep_row"))
+    batch = index.append(groups)
+    held = index.rows().select("digest", "keep_id", F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row"))
     sizes = groups.select("digest", "n").join(held, "digest")
     return lookup(rows, sizes, "digest", "n").select(
         F.col(id), "keep_id", F.col("n").alias("group_size"),
@@ -60,8 +73,14 @@ def dedup(docs: DataFrame, index: DigestIndex, id: str = "doc_id", text: str = "
 
 
 def kept_rows(docs: DataFrame, index: DigestIndex, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    stay = dedup(docs, index, id, text).filter("kept").select(F.col(id).alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    hashed = docs.withColumn("_digest", digest_column(text))
-    out = hashed.join(stay.withColumnRenamed("_digest", "_stay"), (F.col("_digest") == F.col("_stay")) & F.col(id).eqNullSafe(F.col("_id")), "left_semi")
-    return out.dropDuplicates([id, "_digest"]).select(docs.columns)
+    """The rows of docs that stay, with all their columns. Rows whose id is not among those of dropped rows stay where they are;
+    the others are told apart by digest."""
+    found = written(dedup(docs, index, id, text).select(F.col(id).alias("rep"), "kept", F.unhex("text_sha256").alias("digest")), "kept")
+    gone = found.filter("not kept").select("rep")
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    stay = likely(found.filter("kept").withColumnRenamed("rep", "_rep"), gone, "_rep").withColumnRenamed("_rep", "rep")
+    open_ = likely(docs, gone, id)
+    hashed = open_.select(*(F.col(c).alias(n) for c, n in names.items()), digest_column(text).alias("_digest"))
+    key = F.col(names[id]).eqNullSafe(F.col("rep")) & (F.col("_digest") == F.col("digest"))
+    met = hashed.join(stay, key, "left_semi").dropDuplicates([names[id], "_digest"])
+    return unlikely(docs, gone, id).unionByName(met.select(*(F.col(n).alias(c) for c, n in names.items())))
