@@ -9,11 +9,13 @@ integral (a quadratic in each segment). Sorting by time (ranges of it, over part
 
 Prefix sums inside a source run over buckets of the hashed order, about as many in all as four times the shuffle
 partitions, so that a source with a third of all rows is spread; the order itself doesn't depend on the number of buckets.
-The recipe has one row for each source, and is joined as a small table by Spark's own size check.
+The recipe has one row for each source, and is joined as a small table by Spark's own size check. Ranks and targets are windows
+over it, in one task, so sources are meant to be a few millions at most: collections or sites, not single pages.
 
-Defined cases: null or empty texts have size 0 and are not taken; null is a source of its own, after the others; equal
-documents may change places with each other, which changes no result; a schedule that integrates to 0 takes nothing; an
-empty table gives no rows; further columns are ignored by `assign` and kept by `mix`.
+Defined cases: null or empty texts have size 0 and are not taken; a long text is counted whole and keeps one place; null is a
+source of its own, after the others; equal documents may change places with each other, which changes no result; a schedule
+that integrates to 0 takes nothing; an empty table gives no rows; further columns are ignored by `assign` and kept by `mix`,
+but for copy, words and position, which are replaced.
 """
 
 from __future__ import annotations
@@ -98,11 +100,13 @@ def assign(docs: DataFrame, schedule, max_epochs: int = 3, seed: int = 7, id: st
     return out.select(F.col("doc_id").alias(id), F.col("source").alias(source), "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
-def in_training_order(assigned: DataFrame) -> DataFrame:
-    """Range-sorts by the first position; what isn't taken comes last."""
-    first = assigned.withColumn("position", F.coalesce(F.try_element_at(F.col("copies.position"), F.lit(1)), F.lit(2.0)))
+def in_training_order(assigned: DataFrame, id: str = "doc_id") -> DataFrame:
+    """Range-sorts by the first position (null if nothing is taken); what isn't taken comes last, in hashed order, so that it
+    is spread over tasks."""
+    first = F.try_element_at(F.col("copies.position"), F.lit(1))
+    out = assigned.withColumns({"position": first, "_order": F.coalesce(first, 2.5 + F.xxhash64(F.lit(1), F.col(id)).cast("double") / F.lit(2.0**64))})
     n = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return first.repartitionByRange(n, "position").sortWithinPartitions("position")
+    return out.repartitionByRange(n, "_order").sortWithinPartitions("_order").drop("_order")
 
 
 def mix(docs: DataFrame, schedule, max_epochs: int = 3, seed: int = 7, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
