@@ -2,22 +2,28 @@
 
 A record is one row of a text file whose line separator is the blank lines that end a WARC record, so Spark's own writer
 makes the archives, in any store and with its commit protocol (gzip over each file, at most records_per_file records in
-one). Reading parses each file by the records' Content-Length, so payloads may hold any text.
+one). Reading streams each file and parses it by the records' Content-Length, so payloads may hold any text, and archives of
+others are read too: any version, gzip by record or by file; records that are neither responses nor revisits are passed over,
+and digest and length of a payload are computed where the header lacks them. A file is read by one task, which holds the
+compressed file and one record (Spark's reader takes files of up to 2 GB).
 
 Revisits: of all records only headers are shuffled, by payload digest and length. Of records with equal payloads, that with
-the largest id among those with a payload is the response; the others become revisits that name it. Payloads then meet
-their decision by record id. A digest with many records is joined by broadcast (at most 2,048 such digests exist).
+the largest id among those with a payload is the response; the others become revisits that name it. Records are written once,
+each with a number (row), by which payloads then meet their decision. A digest with many records is joined by broadcast (at
+most 2,048 such digests exist).
 
 Defined cases: a null payload counts as empty; a null id is less than any other and is read back as null; of equal ids with
-equal payloads one is the response; payloads shorter than min_bytes are never revisits; a revisit whose response is in no
-archive stays a revisit of what it named; line breaks in URLs are dropped; an empty table gives empty archives.
+equal payloads one is the response; payloads shorter than min_bytes are never revisits; a payload of any length is written
+whole; a revisit whose response is in no archive stays a revisit of what it named; records that share an id are records of
+their own; bytes that are not UTF-8 are read as replacement characters, with intact False only where the digest differs; line
+breaks in URLs are dropped; an empty table gives empty archives; further columns of pages are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,17 +65,17 @@ def records_of(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """For each header: record_id, record_type, refers_to, refers_to_record."""
-    heads = headers.select("record_id", "record_type", "source_id", "refers_to", "refers_to_record", F.struct("payload_digest", "payload_bytes").alias("content"))
-    full = F.when(F.col("record_type") != "revisit", F.struct("source_id", "record_id"))
+    """For each header: row, record_type, refers_to, refers_to_record. headers: SCHEMA without payload, and row."""
+    heads = headers.select("row", "record_id", "record_type", "source_id", "refers_to", "refers_to_record", F.struct("payload_digest", "payload_bytes").alias("content"))
+    full = F.when(F.col("record_type") != "revisit", F.struct("source_id", "record_id", "row"))
     groups = heads.groupBy("content").agg(F.max(full).alias("first"), F.count("*").alias("n"))
     groups = written(groups, "payloads")
     found = lookup(heads, groups, "content", "n")
-    again = (F.col("content.payload_bytes") >= min_bytes) & (F.col("first.record_id") != F.col("record_id")) | (F.col("record_type") == "revisit")
+    again = (F.col("content.payload_bytes") >= min_bytes) & (F.col("first.row") != F.col("row")) | (F.col("record_type") == "revisit")
     again = F.coalesce(again, F.lit(True))
     named = again & F.col("first").isNotNull()
     return found.select(
-        "record_id", F.when(again, "revisit").otherwise("response").alias("record_type"),
+        "row", F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(named, F.col("first.source_id")).when(again, F.col("refers_to")).alias("refers_to"),
         F.when(named, F.col("first.record_id")).when(again, F.col("refers_to_record")).alias("refers_to_record"),
     )
@@ -85,10 +91,10 @@ def write(records: DataFrame, path: str, records_per_file: int = 10_000) -> None
     block = F.concat(F.lit(HTTP), F.when(again, F.lit("")).otherwise(F.coalesce("payload", F.lit(""))))
     optional = lambda name, value: F.coalesce(_line(name, value), F.lit(""))
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), _line("WARC-Type", F.col("record_type")), _line("WARC-Record-ID", F.concat(F.lit("<"), "record_id", F.lit(">"))),
-        optional("WARC-Target-URI", F.col("url")), _line("WARC-Date", F.col("date")),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")), optional("X-Source-Id", F.col("source_id").cast("string")),
-        _line("X-Payload-Length", F.col("payload_bytes").cast("string")),
+        F.lit("WARC/1.1\r\n"), _line("WARC-Type", F.col("record_type")), optional("WARC-Record-ID", F.concat(F.lit("<"), "record_id", F.lit(">"))),
+        optional("WARC-Target-URI", F.col("url")), optional("WARC-Date", F.col("date")),
+        optional("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")), optional("X-Source-Id", F.col("source_id").cast("string")),
+        optional("X-Payload-Length", F.col("payload_bytes").cast("string")),
         F.when(again, F.concat(_line("WARC-Profile", F.lit(PROFILE)), optional("WARC-Refers-To", F.concat(F.lit("<"), "refers_to_record", F.lit(">"))), optional("X-Refers-To-Source-Id", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
         _line("Content-Type", F.lit("application/http; msgtype=response")), _line("Content-Length", F.octet_length(block).cast("string")),
     )
@@ -97,22 +103,69 @@ def write(records: DataFrame, path: str, records_per_file: int = 10_000) -> None
     rows.write.options(**options).text(path)
 
 
+class _Stream:
+    """The bytes of a file, plain or gzip of one or many members, unpacked as they are asked for."""
+
+    def __init__(self, data: bytes, step: int = 1 << 20):
+        self.data, self.at, self.step, self.held = memoryview(data), 0, step, bytearray()
+        self.unzip = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
+
+    def _more(self) -> bool:
+        if self.at >= len(self.data):
+            return False
+        part = self.data[self.at : self.at + self.step]
+        self.at += len(part)
+        while self.unzip and len(part):
+            self.held += self.unzip.decompress(part)
+            part = self.unzip.unused_data
+            if self.unzip.eof:
+                self.unzip = zlib.decompressobj(31)
+        self.held += b"" if self.unzip else part
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before the mark, which is passed over; None at the end of the file."""
+        seen = 0
+        while (k := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark) + 1)
+            if not self._more():
+                return None
+        out = bytes(self.held[:k])
+        del self.held[: k + len(mark)]
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self._more():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+
 def parse(data: bytes, payloads: bool):
-    """The records of one archive, as tuples in the order of SCHEMA."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-        start, stop = end + 4, end + 4 + int(head["Content-Length"])
-        at = stop + 4
-        again, digest = head["WARC-Type"] == "revisit", head["WARC-Payload-Digest"].removeprefix("sha1:")
-        body = None if again else data[data.index(b"\r\n\r\n", start) + 4 : stop]
-        intact = again or base64.b32encode(hashlib.sha1(body).digest()).decode() == digest and len(body) == int(head["X-Payload-Length"])
+    """The responses and revisits of one archive, as tuples in the order of SCHEMA."""
+    stream = _Stream(data)
+    while (top := stream.until(b"\r\n\r\n")) is not None:
+        lines = top.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        block = stream.take(int(head.get("content-length", 0)))
+        kind = head.get("warc-type")
+        if kind not in ("response", "revisit"):
+            continue
+        again = kind == "revisit"
+        http = head.get("content-type", "").startswith("application/http")
+        body = None if again else block.partition(b"\r\n\r\n")[2] if http else block
+        own = None if again else base64.b32encode(hashlib.sha1(body).digest()).decode()
+        said = head.get("warc-payload-digest", "")
+        said = said.removeprefix("sha1:") if said.startswith("sha1:") else None  # of other kinds of digest the SHA-1 takes the place
+        size = head.get("x-payload-length")
+        intact = again or (said is None or own == said) and (size is None or len(body) == int(size))
         number = lambda x: None if x is None else int(x)
+        bare = lambda x: None if x is None else x.strip("<>")
         yield (
-            head["WARC-Record-ID"][1:-1], head["WARC-Type"], number(head.get("X-Source-Id")), head.get("WARC-Target-URI"), head["WARC-Date"], digest,
-            int(head["X-Payload-Length"]), number(head.get("X-Refers-To-Source-Id")), head["WARC-Refers-To"][1:-1] if "WARC-Refers-To" in head else None,
-            intact, body.decode() if payloads and body is not None else None,
+            bare(head.get("warc-record-id")), kind, number(head.get("x-source-id")), bare(head.get("warc-target-uri")), head.get("warc-date"), said or own,
+            number(size) if size is not None or again else len(body), number(head.get("x-refers-to-source-id")), bare(head.get("warc-refers-to")),
+            intact, body.decode("utf-8", "replace") if payloads and body is not None else None,
         )
 
 
@@ -124,7 +177,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for row in parse(gzip.decompress(content.as_py()), payloads):
+                for row in parse(content.as_py(), payloads):
                     rows.append(row)
                     size += len(row[-1] or "") + 500
                     if size > 8_000_000:
@@ -133,24 +186,24 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*{.gz,.warc}").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(run, SCHEMA)
 
 
-def _resolved(records: DataFrame, headers: DataFrame, min_bytes: int) -> DataFrame:
-    decided = resolve(headers, min_bytes)
-    return records.drop("record_type", "refers_to", "refers_to_record").join(decided, "record_id").select(SCHEMA.names)
+def _resolved(records: DataFrame, min_bytes: int) -> DataFrame:
+    rows = written(records.withColumn("row", F.monotonically_increasing_id()), "records", compression="zstd")  # numbers differ if the rows are read twice
+    decided = resolve(rows.drop("payload"), min_bytes)
+    return rows.drop("record_type", "refers_to", "refers_to_record").join(decided, "row").select(SCHEMA.names)
 
 
 def archive(pages: DataFrame, path: str, min_bytes: int = 0, **names) -> None:
     """Writes deduplicated archives of pages."""
-    rows = written(records_of(pages, **names), "records", compression="zstd")  # record ids differ if the pages are read twice
-    write(_resolved(rows, rows.drop("payload"), min_bytes), path)
+    write(_resolved(records_of(pages, **names), min_bytes), path)
 
 
 def rewrite(spark: SparkSession, source: str, path: str, min_bytes: int = 0) -> None:
     """Reads the archives under source and writes deduplicated ones, with fresh headers, to path."""
-    write(_resolved(read(spark, source), written(read(spark, source, payloads=False).drop("payload"), "headers"), min_bytes), path)
+    write(_resolved(read(spark, source), min_bytes), path)
 
 
 def archived(pages: DataFrame, min_bytes: int = 0, path: str | None = None, **names) -> DataFrame:

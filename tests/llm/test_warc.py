@@ -84,3 +84,29 @@ def test_rewriting_archives(spark, tmp_path):
 
 def test_empty_table(spark):
     assert W.archived(pages(spark).limit(0)).count() == 0
+
+
+def test_archives_of_others(spark, tmp_path):
+    def record(version, kind, name, block, **head):
+        lines = [f"WARC/{version}", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"Content-Length: {len(block)}", *(f"{k.replace('_', '-')}: {v}" for k, v in head.items())]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    parts = [
+        record("1.0", "warcinfo", "urn:i", b"software: x"), record("1.0", "request", "urn:q", b"GET / HTTP/1.1\r\n\r\n"),
+        record("1.0", "response", "urn:a", http + b"hello", content_type="application/http", WARC_Target_URI="http://a/"),
+        record("1.1", "response", "urn:b", http + b"hello \xff\r\n\r\nWARC/1.0", Content_Type="application/http; msgtype=response", WARC_Payload_Digest="sha1:WRONG"),
+        record("1.1", "response", "urn:c", http + b"hello", Content_Type="application/http", WARC_Payload_Digest="sha256:00"),
+        record("1.1", "revisit", "urn:r", http, Content_Type="application/http", WARC_Payload_Digest="sha1:VL2MMHO4YXUKFWV63YHTWSBM3GXKSQ2N", WARC_Refers_To="<urn:z>", X_Payload_Length=5),
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/members.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "in/whole.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
+    (tmp_path / "in/plain.warc").write_bytes(b"".join(parts))
+    got = [tuple(r) for r in W.read(spark, str(tmp_path / "in")).select("record_id", "record_type", "payload_bytes", "intact", "payload").collect()]
+    assert sorted(got) == sorted(3 * [("urn:a", "response", 5, True, "hello"), ("urn:b", "response", 19, False, "hello �\r\n\r\nWARC/1.0"), ("urn:c", "response", 5, True, "hello"), ("urn:r", "revisit", 5, True, None)])
+    W.rewrite(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    again = W.read(spark, str(tmp_path / "out")).collect()
+    full = [r for r in again if r.record_type == "response"]
+    assert len(again) == 12 and sorted(r.record_id for r in full) == ["urn:b", "urn:c"]
+    assert {r.refers_to_record for r in again if r.record_type == "revisit"} == {"urn:b", "urn:c"}
