@@ -4,16 +4,19 @@ Words are runs of ASCII letters and digits and of all characters beyond ASCII, l
 words of its documents through the automaton, which gives for every word the longest match that ends there. A match of
 min_len words is one occurrence of a window of an item; an item with fewer words is one window as a whole.
 
-The automaton is broadcast. Items are dealt to shards of about shard_words words by the total of their words, one automaton
-each, so that its size is bounded however large the benchmark is; documents pass one shard after the other.
-
-Defined cases: null and empty texts have no words and no hits; items without words never occur; repeated items count once
-for each item_id; a null item_id is written as an empty string; without items nothing is hit; document columns may have any
-names, ids may be null or repeated.
+Items are dealt to shards of about shard_words words by the total of their words. Tasks build an automaton of each shard, and
+one is broadcast for one pass over the documents, so that memory is bounded however large the benchmark is; between passes the
+documents are written. An item longer than shard_words is a shard of its own at least; it alone may exceed the bound.
+
+Defined cases: null and empty texts have no words and no hits; a long text is streamed whole; items without words never occur;
+repeated items count once for each item_id; a null item_id is written as an empty string; without items nothing is hit;
+document columns may have any names (n_words, spans and item_ids are replaced), ids may be null or repeated; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import pyarrow as pa
@@ -21,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 #: A-Z to a-z; what is neither a word character nor beyond ASCII to a space.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 WORD = re.compile(rb"[^ ]+")
@@ -130,15 +135,19 @@ class Automaton:
         return spans, names.union(*(self.items[x] for x in states))
 
 
-def shards(items: DataFrame, min_len: int, shard_words: int, id: str, text: str):
-    """Broadcast automata, each of the items that hash to one shard."""
-    spark = items.sparkSession
+def automata(items: DataFrame, min_len: int, shard_words: int, id: str, text: str) -> DataFrame:
+    """(shard, automaton), pickled: one of the items that hash to each shard."""
     rows = items.select(F.coalesce(F.col(id).cast("string"), F.lit("")).alias("id"), F.col(text).alias("text")).filter("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // (6 * shard_words)))  # about six bytes a word
-    for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield spark.sparkContext.broadcast(Automaton([(r.id, words_of(r.text.encode())) for r in part.toLocalIterator()], min_len))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).repartition(min(n, 2000), "shard")
+
+    def build(key, table):
+        named = zip(table["id"].to_pylist(), _texts(table["text"]), strict=True)
+        made = pickle.dumps(Automaton([(i, words_of(t)) for i, t in named], min_len), pickle.HIGHEST_PROTOCOL)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "automaton": pa.array([made], pa.binary())})
+
+    return dealt.groupBy("shard").applyInArrow(build, "shard int, automaton binary")
 
 
 def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
@@ -150,10 +159,15 @@ def scan(docs: DataFrame, items: DataFrame, min_len: int = 10, shard_words: int
     replace columns of those names."""
     docs = docs.drop("n_words", "spans", "item_ids")
     out = docs.withColumns({"n_words": F.lit(0), "spans": F.array().cast(SPANS), "item_ids": F.array().cast("array<string>")})
-    names, schema = docs.columns, out.schema
-    for automaton in shards(items, min_len, shard_words, item_id, item_text):
-
-        def run(batches, automaton=automaton):
+    names, schema, sc = docs.columns, out.schema, docs.sparkSession.sparkContext
+    made = written(automata(items, min_len, shard_words, item_id, item_text), "automata")
+    shards = sorted(r.shard for r in made.select("shard").collect())  # a number for each shard
+    held = None
+    for k, shard in enumerate(shards):
+        made_here = made.filter(F.col("shard") == shard).first().automaton
+        held = sc.broadcast(pickle.loads(made_here))
+
+        def run(batches, automaton=held):
             a = automaton.value
             for batch in batches:
                 n_words, spans, ids = [], [], []
@@ -168,7 +182,18 @@ def scan(docs: DataFrame, items: DataFrame, min_len: int = 10, shard_words: int
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), *new], names=[*names, "n_words", "spans", "item_ids"])
 
         out = out.mapInArrow(run, schema)
-    return out
+        if k < len(shards) - 1:
+            out = written(out, "scanned", compression="zstd")
+            held.destroy()
+    if shards:
+        return out
+
+    def counted(batches):
+        for batch in batches:
+            n = pa.array([len(words_of(x)) for x in _texts(batch.column(text))], pa.int32())
+            yield batch.set_column(batch.schema.get_field_index("n_words"), "n_words", n)
+
+    return out.mapInArrow(counted, schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[dict]:
