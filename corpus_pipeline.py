@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuweave.llm import decontaminate, exact_dedup, language_id, mixing, set_join
-from skuweave.llm.common import written
+from skuweave.llm.common import without, written
 from skuweave.llm.queries import curriculum, table
 
 #: The least cosine with a language's prototype: four standard deviations of random vectors of 1,024 dimensions. Texts under 32
@@ -40,8 +40,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of at least 0.8 over five-word shingles connect, that with the smallest doc_id stays."""
-    drop = set_join.join(docs, k=5, percent=80).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    drop = written(set_join.join(docs, k=5, percent=80).filter("doc_id <> component_id").select(F.col("doc_id").alias("rep")), "near")
+    return without(docs, drop, "doc_id").select(docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
