@@ -78,13 +78,13 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, with its words that lie in passages of 50 words and more that occur elsewhere."""
+    """Every document, with its words that lie in passages of 50 words and more that occur elsewhere, and its class."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = suffix_dedup.repeats(docs, min_len=50)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    found = found.select("doc_id", "n_repeated", F.size("spans").alias("n_spans"), spans.alias("spans"), "partners")
+    found = found.select("doc_id", "n_repeated", F.size("spans").alias("n_spans"), spans.alias("spans"), "class_id")
     out = docs.select("doc_id").join(found, "doc_id", "left")
-    return out.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_repeated", "n_spans")), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("partners", F.array().cast("array<bigint>")).alias("partners"))
+    return out.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_repeated", "n_spans")), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

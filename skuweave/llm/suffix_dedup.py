@@ -12,9 +12,13 @@ Keys with at most `most` suffixes are compared in one task, where their rows are
 in tasks, added up by run, and each run looks up its count, so that no task holds all rows of a key. Both ways are exact and
 give the same rows.
 
-Defined cases: null and empty texts have no words and no repeats; rows that share an id are one document (the last of them by
-text counts); rows with a null id have no repeats; an empty table gives no rows; further columns are ignored. A passage that
-repeats inside one document is a repeat too.
+Each run that repeats names the smallest document that holds it (rep), so what shares a run is a star around that document;
+the components of these links are the classes of documents that shared passages connect.
+
+Defined cases: null and empty texts have no words and no repeats; long texts are hashed whole, and a key that one text has many
+times is counted like any other; rows that share an id are one document (the last of them by text counts); rows with a null id
+have no repeats; an empty table gives no rows; further columns are ignored. A passage that repeats inside one document is a
+repeat too, which connects it with nothing.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import likely, lookup, written
 from .decontaminate import TABLE
-from .set_join import CHUNK, U, mixed, word_hashes
+from .set_join import CHUNK, U, components, mixed, word_hashes
 
 
 def _texts(column) -> list[bytes]:
@@ -134,12 +138,11 @@ def _groups(key: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray
     return order, first, np.append(first[1:], len(k)) if len(k) else first
 
 
-FOUND = "doc long, start long, end long, low long, high long"
+FOUND = "doc long, start long, end long, rep long"
 
 
 def matches(rows: DataFrame, min_len: int) -> DataFrame:
-    """(doc, start, end, low, high) for neighbouring runs of a suffix that occur again: low and high are the smallest and the
-    largest id of their other occurrences."""
+    """(doc, start, end, rep) for neighbouring runs of a suffix that occur again and whose smallest document is the same."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     flat = rows.select("key", "doc", "start", "runs").repartition(n, "key").sortWithinPartitions("key")
 
@@ -147,20 +150,17 @@ def matches(rows: DataFrame, min_len: int) -> DataFrame:
         doc, key, start, h, row = _runs(cols[1], cols[0], cols[2], cols[3])
         order, first, last = _groups(key, h, doc)
         size = last - first
-        docs, a, z = doc[order], np.repeat(first, size), np.repeat(last, size)
-        place, again = np.arange(len(order)), np.repeat(size > 1, size)
-        second, before = np.minimum(a + 1, len(order) - 1), np.maximum(z - 2, 0)
-        low, high = np.empty_like(doc), np.empty_like(doc)
-        low[order], high[order] = docs[np.where(place == a, second, a)], docs[np.where(place == z - 1, before, z - 1)]
+        again, rep = np.repeat(size > 1, size), np.empty_like(doc)
+        rep[order] = np.repeat(doc[order][first], size)
         good = np.empty(len(order), bool)
         good[order] = again
         at = np.flatnonzero(good)
         if not len(at):
             return None
-        head = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]])]))
+        head = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]]) | (rep[at[1:]] != rep[at[:-1]])]))
         tail = at[np.append(head[1:], len(at)) - 1]
-        columns = [doc[at[head]], start[at[head]], start[tail] + min_len, np.minimum.reduceat(low[at], head), np.maximum.reduceat(high[at], head)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "start", "end", "low", "high"])
+        columns = [doc[at[head]], start[at[head]], start[tail] + min_len, rep[at[head]]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "start", "end", "rep"])
 
     def run(batches):
         held: list[list] = [[] for _ in range(4)]
@@ -190,25 +190,40 @@ def frequent_matches(rows: DataFrame, min_len: int) -> DataFrame:
         for batch in batches:
             doc, key, _, h, _ = _runs(*(c.to_pylist() for c in batch.columns))
             order, first, last = _groups(np.asarray(key, np.int64), h, np.asarray(doc, np.int64))
-            docs = doc[order]
-            ends = [[docs[a : min(a + 2, z)].tolist(), docs[max(a, z - 2) : z].tolist()] for a, z in zip(first.tolist(), last.tolist(), strict=True)]
-            columns = [pa.array(key[order][first], pa.int64()), pa.array(h[order][first], pa.int64()), pa.array(last - first, pa.int64())]
-            columns += [pa.array([e[i] for e in ends], pa.list_(pa.int64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "h", "m", "lows", "highs"])
+            columns = [key[order][first], h[order][first], last - first, doc[order][first]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "h", "m", "rep"])
 
     of = F.struct("key", "h").alias("of")
-    lows, highs = (F.flatten(F.collect_list(c)) for c in ("lows", "highs"))  # two for each batch at most
-    parts = rows.mapInArrow(counted, "key long, h long, m long, lows array<long>, highs array<long>").groupBy(of)
-    sums = parts.agg(F.sum("m").alias("m"), F.slice(F.array_sort(lows), 1, 2).alias("lows"), F.slice(F.sort_array(highs, asc=False), 1, 2).alias("highs"))
+    sums = rows.mapInArrow(counted, "key long, h long, m long, rep long").groupBy(of).agg(F.sum("m").alias("m"), F.min("rep").alias("rep"))
     sums = written(sums.filter("m > 1"), "runs")
     found = lookup(rows.mapInArrow(single, "doc long, key long, h long, start long").select("doc", "start", of), sums, "of", "m")
-    other = lambda ends: F.when(F.get(ends, F.lit(0)) == F.col("doc"), F.get(ends, F.lit(1))).otherwise(F.get(ends, F.lit(0)))
-    return found.select("doc", "start", (F.col("start") + min_len).alias("end"), other(F.col("lows")).alias("low"), other(F.col("highs")).alias("high"))
+    return found.select("doc", "start", (F.col("start") + min_len).alias("end"), "rep")
+
+
+def united(found: DataFrame) -> DataFrame:
+    """(doc, spans, n_repeated): the spans of each document, those that meet united. A document has no more spans than runs."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+
+    def run(batches):
+        for batch in batches:
+            spans, total = [], []
+            for rows in batch.column(1):
+                flat = rows.values
+                start, end = flat.field("start").to_numpy(), flat.field("end").to_numpy()
+                order = np.argsort(start, kind="stable")
+                start, reach = start[order], np.maximum.accumulate(end[order])
+                head = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+                first, last = start[head], reach[np.append(head[1:], len(start)) - 1]
+                spans.append([{"start": a, "end": z} for a, z in zip(first.tolist(), last.tolist(), strict=True)])
+                total.append(int((last - first).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, batch.schema.field(1).type), pa.array(total, pa.int64())], names=["doc", "spans", "n_repeated"])
+
+    return found.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(run, f"doc long, spans {kind}, n_repeated long")
 
 
 def repeats(docs: DataFrame, min_len: int = 50, gram: int = 8, window: int = 24, most: int = 2000, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document with repeats: the id, spans (array of start and end, in words, merged), n_repeated (words in
-    spans), partners (smallest and largest id of other occurrences)."""
+    spans), class_id (the smallest id of the documents that shared passages connect with it)."""
     base = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null and text is not null")
     kept = written(suffixes(base, gram, window, min_len, "doc", "text"), "suffixes")
     counts = written(kept.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
@@ -220,15 +235,6 @@ def repeats(docs: DataFrame, min_len: int = 50, gram: int = 8, window: int = 24,
     if not counts.filter(F.col("n") > most).isEmpty():
         found = found.unionByName(frequent_matches(rows.filter(F.col("n") > most), min_len))
     found = written(found, "matches")
-    spans = found.groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("all"), F.min("low").alias("low"), F.max("high").alias("high"))
-    zero = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def step(done, s):
-        last = F.try_element_at(done, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (s["start"] <= last["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
-
-    merged = F.aggregate(F.array_sort("all"), zero, step)
-    out = spans.withColumn("spans", merged)
-    total = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return out.select(F.col("doc").alias(id), "spans", total.alias("n_repeated"), F.array_distinct(F.array("low", "high")).alias("partners"))
+    linked = components(found.filter("doc <> rep").select(F.col("doc").alias("src"), F.col("rep").alias("dst")).distinct())
+    out = united(found).join(linked, F.col("doc") == F.col("node"), "left")
+    return out.select(F.col("doc").alias(id), "spans", "n_repeated", F.coalesce("component", "doc").alias("class_id"))

@@ -2,10 +2,13 @@ import random
 
 import numpy as np
 
+from skuweave.llm import queries as Q
 from skuweave.llm import suffix_dedup as S
 
 from .brute import WORDS, low
 
+SF = "/root/testdata/sf0.001"
+
 
 def covered(docs, n=50):
     """For each document the words inside windows of n words that occur more than once."""
@@ -42,27 +45,52 @@ def test_planted_passages(spark):
         assert set(got) == set(want)
         for i, r in got.items():
             mine = {k for s in r.spans for k in range(s.start, s.end)}
-            assert r.n_repeated == len(mine) and len(want[i] - mine) <= (0 if most == 2000 else 2)  # salted groups may miss a chance match beside a passage
+            assert r.n_repeated == len(mine) and mine == want[i]
     assert S.repeats(frame.filter("doc_id < 0")).count() == 0
 
 
+def classes(docs, n=50):
+    """The smallest document that shared windows of n words connect each with."""
+    root, seen = {}, {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, t in docs:
+        w = WORDS.findall(low(t))
+        for a in range(len(w) - n + 1):
+            p, q = find(i), find(seen.setdefault(tuple(w[a : a + n]), i))
+            root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in root}
+
+
 def exact(spark, texts, most):
-    """Compares spans and partners with brute force."""
-    seen = {}
-    for i, t in texts:
-        w = t.split()
-        for a in range(len(w) - 49):
-            seen.setdefault(tuple(w[a : a + 50]), []).append((i, a))
-    want, partners = covered(texts), {}
-    for places in filter(lambda p: len(p) > 1, seen.values()):
-        for k, (i, _) in enumerate(places):
-            partners.setdefault(i, set()).update(j for n, (j, _) in enumerate(places) if n != k)
+    """Compares spans and classes with brute force."""
+    want, of = covered(texts), classes(texts)
     got = {r.doc_id: r for r in S.repeats(spark.createDataFrame(texts, "doc_id long, text string"), most=most).collect()}
     assert {i: {k for s in r.spans for k in range(s.start, s.end)} for i, r in got.items()} == want
-    assert {i: set(r.partners) for i, r in got.items()} == {i: {min(p), max(p)} for i, p in partners.items()}
+    assert {i: r.class_id for i, r in got.items()} == {i: of[i] for i in want}
     return want
 
 
+def test_query_matches_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want, of = covered(docs), classes(docs)
+    for r in Q.op4_suffix_dedup(spark, SF).collect():
+        mine = {k for s in filter(None, r.spans.split(",")) for k in range(*map(int, s.split("-")))}
+        assert mine == want.get(r.doc_id, set()) and r.n_repeated == len(mine) and r.class_id == of.get(r.doc_id, r.doc_id)
+
+
+def test_long_text_repeated_ids_and_clashing_columns(spark):
+    rnd = random.Random(5)
+    line = " ".join(f"w{rnd.randrange(900)}" for _ in range(60))
+    texts = [(1, f"{line} " * 2000, "a"), (2, line, "b"), (3, "aa", "c"), (3, line, "d"), (4, "one two", None)]
+    got = {r.doc_id: r for r in S.repeats(spark.createDataFrame(texts, "doc_id long, text string, key string"), most=50).collect()}
+    assert {i: (r.n_repeated, r.class_id, len(r.spans)) for i, r in got.items()} == {1: (120_000, 1, 1), 2: (60, 1, 1), 3: (60, 1, 1)}
+
+
 def test_frequent_passages_in_differing_contexts(spark):
     rnd = random.Random(8)
     say = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randrange(90_000)}" for _ in range(n)]
