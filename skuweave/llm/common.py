@@ -102,6 +102,11 @@ def without(docs: DataFrame, gone: DataFrame, id: str) -> DataFrame:
     return unlikely(docs, gone, id).unionByName(rest)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), where value is computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def running(values: Column, highest: bool = False) -> Column:
     """For each place of an array of numbers (bigint) the sum of the values before it (or the highest of them, at least 0).
     Arrays are cut into about sqrt(n) pieces, so that the time for n values is about n * sqrt(n)."""
@@ -109,8 +114,14 @@ def running(values: Column, highest: bool = False) -> Column:
     add = (lambda a, b: F.greatest(a, b)) if highest else (lambda a, b: a + b)
     state = F.struct(zero.alias("at"), none.alias("out"))
     scan = lambda xs: F.aggregate(xs, state, lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
-    step = F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(1)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / step) - 1, F.lit(0)).cast("int")), lambda i: scan(F.slice(values, i * step + 1, step)))
-    starts = scan(F.transform(pieces, lambda p: p["at"]))["out"]
-    moved = F.transform(F.arrays_zip(pieces.alias("piece"), starts.alias("start")), lambda p: F.transform(p["piece"]["out"], lambda v: add(v, p["start"])))
-    return F.when(F.size(values) > 0, F.flatten(moved)).otherwise(none)
+
+    def pieces(xs, step):
+        last = F.floor((F.size(xs) - 1) / step).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: scan(F.slice(xs, i * step + 1, step)))
+
+    def moved(ps):
+        starts = scan(F.transform(ps, lambda p: p["at"]))["out"]
+        return F.flatten(F.zip_with(ps, starts, lambda p, start: F.transform(p["out"], lambda v: add(v, start))))
+
+    step = lambda xs: F.ceil(F.sqrt(F.size(xs))).cast("int")
+    return bound(values, lambda xs: F.when(F.size(xs) > 0, bound(step(xs), lambda n: bound(pieces(xs, n), moved))).otherwise(none))

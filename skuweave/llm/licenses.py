@@ -1,134 +1,89 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 A text is reduced to its words (runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased),
-single spaces between them. Each rule has a keyword that every text it matches contains, and that a text must contain before
-its regex runs; the shortest of these keywords (gate_keywords) gate the whole scan. A detection is a range of words. Detections are ordered by start, the longer first,
-then by tier (1 is strongest); one that lies inside another of the same or a stronger tier is suppressed. Base phrases are
-rules too, and are never suppressed. The scan needs no shuffle.
-
-Defined cases: a null or empty text has no words, no labels and score 0; rows may repeat; columns of any names are kept,
-except that n_words and detections are replaced; an empty table gives no rows.
+single spaces between them. Of each rule's regex the keywords are derived of which every match contains one; a text must
+contain one of them before the regex runs, and one of a few words that cover all keywords (gate_keywords) before any rule is
+tried. A detection is a range of words. Detections are ordered by start, the longer first, then by tier (1 is strongest) and
+by the order of the rules; one that lies inside another of the same or a stronger tier is suppressed. Base phrases are rules
+too, and are never suppressed. The scan needs no shuffle. The rules are one constant array of the plan (a column for each of
+hundreds of regexes would take a minute to plan); a regex is compiled for a text only if that holds one of its keywords.
+
+Defined cases: a null or empty text has no words, no labels and score 0; a long text is scanned whole, in time that grows little
+faster than its length and its detections; equal detections of several rules are all reported, and the first of them by the
+order above is kept; rows may repeat; columns of any names are kept, except that n_words and detections are replaced; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import json
-from itertools import product
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, bound, running
+from .license_rules import rules as written_rules
 
 #: Phrases whose places are always reported, and their labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-
-CC = {"by": "attribution", "by sa": "attribution sharealike", "by nc": "attribution noncommercial", "by nd": "attribution noderivatives",
-      "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
-CC_VERSIONS = ["", "1 0", "2 0", "2 5", "3 0", "4 0"]
-GNU = {"gpl": ("general public", ["1", "2", "3"]), "lgpl": ("(?:lesser|library) general public", ["2", "2 1", "3"]), "agpl": ("affero general public", ["1", "3"]), "fdl": ("free documentation", ["1 1", "1 2", "1 3"])}
-#: label, words of the name (a regex), short name, versions.
-NAMED = [
-    ("apache", "apache (?:software )?license", "apache", ["1 0", "1 1", "2 0"]),
-    ("mpl", "mozilla public license", "mpl", ["1 0", "1 1", "2 0"]),
-    ("epl", "eclipse public license", "epl", ["1 0", "2 0"]),
-    ("eupl", "european union public licen[cs]e", "eupl", ["1 0", "1 1", "1 2"]),
-    ("cddl", "common development and distribution license", "cddl", ["1 0", "1 1"]),
-    ("artistic", "artistic license", "artistic", ["1 0", "2 0"]),
-    ("boost", "boost software license", "bsl", ["1 0"]),
-    ("ofl", "(?:sil )?open font license", "ofl", ["1 0", "1 1"]),
-    ("php", "php license", "php", ["3 0", "3 01"]),
-    ("osl", "open software license", "osl", ["1 0", "2 0", "2 1", "3 0"]),
-    ("afl", "academic free license", "afl", ["1 1", "2 0", "2 1", "3 0"]),
-    ("cecill", "cecill (?:free software )?licen[cs]e", "cecill", ["1 0", "2 0", "2 1"]),
-    ("cpl", "common public license", "cpl", ["1 0"]),
-    ("zpl", "zope public license", "zpl", ["1 1", "2 0", "2 1"]),
-    ("odbl", "open (?:data commons open )?database license", "odbl", ["1 0"]),
-    ("odc-by", "open data commons attribution license", "odc by", ["1 0"]),
-    ("pddl", "public domain dedication and license", "pddl", ["1 0"]),
-    ("ncsa", "university of illinois ncsa open source license", "ncsa", [""]),
-    ("ms-pl", "microsoft public license", "ms pl", [""]),
-    ("isc", "isc license", "isc", [""]),
-    ("zlib", "zlib(?: libpng)? license", "zlib", [""]),
-    ("mit", "(?:mit|expat) license", "mit", [""]),
-    ("bsd-2", "(?:simplified|freebsd|2 clause) bsd license|bsd 2 clause(?: license)?", "bsd 2 clause", [""]),
-    ("bsd-3", "(?:new|modified|revised|3 clause) bsd license|bsd 3 clause(?: license)?", "bsd 3 clause", [""]),
-    ("bsd-4", "(?:original|4 clause) bsd license|bsd 4 clause(?: license)?", "bsd 4 clause", [""]),
-    ("bsd", "bsd(?: style)? license", "bsd", [""]),
-    ("wtfpl", "do what the fuck you want to public license", "wtfpl", [""]),
-    ("unlicense", "the unlicense", "unlicense", [""]),
-    ("psf", "python software foundation license", "psf", ["", "2"]),
-    ("ruby", "ruby license", "ruby", [""]),
-    ("vim", "vim license", "vim", [""]),
-    ("postgresql", "postgresql license", "postgresql", [""]),
-]
-#: Sentences of license texts and notices: label, keyword, regex, tier, confidence.
-TEXTS = [
-    ("mit", "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software", 1, 0.99),
-    ("isc", "hereby granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 1, 0.99),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted", 1, 0.95),
-    ("bsd-3", "endorse or promote", "neither the name of (?:[^ ]+ ){1,12}may be used to endorse or promote products", 1, 0.95),
-    ("gpl", "free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 1, 0.99),
-    ("lgpl", "free software", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 1, 0.99),
-    ("apache", "apache org", "apache org licenses license 2 0", 1, 0.95),
-    ("gpl", "gnu org", "gnu org licenses(?: old licenses)?(?: gpl)?", 2, 0.8),
-    ("cc", "creativecommons org", "creativecommons org licenses [^ ]+(?: [^ ]+)?", 2, 0.8),
-    ("mpl", "mozilla org", "mozilla org mpl", 2, 0.8),
-    ("cc0", "cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?", 1, 0.95),
-    ("cc0", "creative commons zero", "creative commons zero", 1, 0.95),
-    ("public-domain", "public domain", "(?:dedicated|released|placed) (?:in|in to|into|to) the public domain", 1, 0.9),
-    ("public-domain", "public domain", "public domain", 3, 0.5),
-    ("cc", "creative commons", "creative commons(?: license)?", 3, 0.5),
-    ("licensed", "licensed under", "licensed under(?: the)? [^ ]+", 3, 0.3),
-    ("licensed", "released under", "released under the [^ ]+ license", 3, 0.3),
-    ("licensed", "terms of", "under the terms of the [^ ]+(?: [^ ]+)? license", 3, 0.3),
-    ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)?[0-9]{2})*", 3, 0.4),
-    ("copyright", "copyrighted", "copyrighted (?:material|work|content)", 3, 0.4),
-    ("proprietary", "proprietary", "proprietary and confidential|confidential and proprietary", 2, 0.8),
-    ("proprietary", "not be reproduced", "(?:may|must) not be reproduced(?: or [^ ]+)?(?: in any form)?", 2, 0.7),
-    ("reserved", "some rights reserved", "some rights reserved", 2, 0.6),
-    ("reserved", "rights reserved", "(?:alle rechte vorbehalten|tous droits réservés|todos los derechos reservados) all rights reserved", 2, 0.7),
-    ("no-warranty", "warranty of any kind", "without warranty of any kind", 3, 0.3),
-    ("permission", "with permission", "used with permission", 3, 0.3),
-]
+#: Words that stand for longer keywords in the gate.
+GATE = ["licen", "public domain", "creative", "cc by", "apache", "gpl", "bsd", "copyright", "copies", "reserv", "warrant", "permission", "permitted", "confidential", "reproduc", "prohibited", "commercial", "source code", "free software"]
+
+
+def alternatives(regex: str) -> list[str]:
+    """The parts between the outermost bars."""
+    out, depth = [""], 0
+    for c in regex:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
 
 
+def mandatory(regex: str) -> list[str]:
+    """Strings of which every match of the regex, with a space before and after it, contains one; of all choices one that GATE
+    covers, then that with the most letters."""
+
+    def worth(choice: set[str]) -> tuple:
+        return all(any(g in k for g in GATE) for k in choice), min(sum(c.isalpha() for c in k) for k in choice), min(map(len, choice)), -len(choice)
+
+    def of(items) -> set[str]:
+        choices, run = [], ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(arg)
+                continue
+            choices.append({run})
+            run = ""
+            if name == "SUBPATTERN":
+                choices.append(of(arg[3]))
+            elif name == "BRANCH":
+                choices.append(set().union(*map(of, arg[1])))
+            elif name == "MAX_REPEAT" and arg[0] > 0:
+                choices.append(of(arg[2]))
+        return max([*choices, {run}], key=worth)
+
+    parser = re._parser  # the standard library has no other parser of regexes
+    found = set().union(*(of(parser.parse(f" {part} ")) for part in alternatives(regex)))
+    return sorted(k for k in found if not any(x != k and x in k for x in found))
+
+
+@functools.cache
 def rules() -> list[dict]:
-    """The rules, strongest tier first within a family. keyword: what a text must contain for the regex to be tried."""
-    out: list[dict] = []
-
-    def add(label: str, keyword: str, regex: str, tier: int, confidence: float, base: bool = False) -> None:
-        out.append({"id": len(out), "label": label, "keyword": keyword, "regex": f"(?<![^ ])(?:{regex})(?![^ ])", "tier": tier, "confidence": confidence, "base": base})
-
-    for phrase, label in BASE.items():
-        add(label, phrase, phrase, 3, 0.6, True)
-    for (short, name), version in product(CC.items(), CC_VERSIONS):
-        label = "-".join(["cc", *short.split(), version.replace(" ", ".")]).rstrip("-")
-        tail, tier = (f" {version}", 1) if version else ("", 2)
-        add(label, f"cc {short}", f"cc {short}{tail}", tier, 0.95 if version else 0.85)
-        add(label, "creative commons", f"creative commons {name}{tail}(?: (?:international|unported|generic))?(?: public)? licen[cs]e", tier, 0.95 if version else 0.85)
-    for short, (name, versions) in GNU.items():
-        add(short, "licen", f"(?:gnu )?{name} licen[cs]e", 2, 0.8)
-        for v, (more, extra) in product(versions, {"": "", "-later": " or (?:at your option )?(?:any )?later(?: version)?", "-only": " only"}.items()):
-            label = f"{short}-{v.replace(' ', '.')}{more}"
-            minor = "" if " " in v else "(?: 0)?"
-            add(label, "licen", f"(?:gnu )?{name} licen[cs]e (?:v|version )?{v}{minor}{extra}", 1, 0.97)
-            add(label, short, f"(?:gnu )?{short} ?v?{v}{minor}{extra}", 1, 0.9)
-    for label, name, short, versions in NAMED:
-        word = "bsd" if label.startswith("bsd") else "licen"
-        add(label, word, name, 2, 0.85)
-        for v in filter(None, versions):
-            add(f"{label}-{v.replace(' ', '.')}", word, f"(?:{name}) (?:v|version )?{v}", 1, 0.97)
-            add(f"{label}-{v.replace(' ', '.')}", short, f"{short} (?:v|license )?{v}", 2, 0.7)
-        add(label, "spdx", f"spdx license identifier {short}(?: {versions[-1]})?", 1, 0.99)
-    for label, keyword, regex, tier, confidence in TEXTS:
-        add(label, keyword, regex, tier, confidence)
-    return out
+    """The rules, base phrases first. keywords: a text must contain one of them for the regex to be tried."""
+    rows = [(3, 0.6, label, phrase, True) for phrase, label in BASE.items()] + [(*r, False) for r in written_rules()]
+    return [{"id": i, "label": label, "keywords": mandatory(regex), "regex": f"(?<![^ ])(?:{regex})(?![^ ])", "tier": tier, "confidence": confidence, "base": base} for i, (tier, confidence, label, regex, base) in enumerate(rows)]
 
 
+@functools.cache
 def gate_keywords() -> list[str]:
-    """A text without any of these needs no rule: the keywords of all rules but those that contain another one."""
-    every = {r["keyword"] for r in rules()}
+    """A text without any of these needs no rule: each keyword, or what GATE has for it, but those that contain another."""
+    every = {next((g for g in GATE if g in k), k) for r in rules() for k in r["keywords"]}
     return sorted(k for k in every if not any(x != k and x in k for x in every))
 
 
@@ -137,48 +92,47 @@ def words_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
+TABLE = "array<struct<id:int,label:string,keywords:array<string>,regex:string,tier:int,confidence:double,base:boolean>>"
+
+
 def _found(words: Column, rule: Column) -> Column:
     """The detections of one rule: a mark before each match tells the word at which it starts."""
     marked = F.split(F.regexp_replace(words, rule["regex"], F.lit("\x01$0")), " ")
     starts = F.filter(F.transform(marked, lambda w, i: F.when(F.substring(w, 1, 1) == "\x01", i)), lambda i: i.isNotNull())
-    matches = F.regexp_extract_all(words, rule["regex"], F.lit(0))
-    return F.transform(F.arrays_zip(starts.alias("start"), matches.alias("match")), lambda x: F.struct(
-        x["start"].alias("start"), (-(x["start"] + F.size(F.split(x["match"], " ")))).alias("minus_end"), rule["tier"].alias("tier"),
-        rule["id"].alias("rule"), rule["label"].alias("label"), rule["confidence"].alias("confidence"), rule["base"].alias("base")))
+    sizes = F.transform(F.regexp_extract_all(words, rule["regex"], F.lit(0)), lambda m: F.size(F.split(m, " ")))
+    return F.zip_with(starts, sizes, lambda start, n: F.struct(start.alias("start"), (-(start + n)).alias("minus_end"), rule["tier"].alias("tier"), rule["id"].alias("rule")))
+
 
+def _resolved(found: Column, table: Column) -> Column:
+    """Marks what is kept: what reaches beyond all detections before it of its tier or a stronger one."""
 
-KIND = "struct<start:int,minus_end:int,tier:int,rule:int,label:string,confidence:double,base:boolean,kept:boolean>"
+    def shown(d, reach, i):
+        end, rule = -d["minus_end"], F.get(table, d["rule"])
+        kept = F.get(F.get(reach, d["tier"] - 1), i) < end
+        return F.struct(d["start"].alias("start"), end.alias("end"), rule["label"].alias("label"), d["rule"].alias("rule"), d["tier"].alias("tier"),
+                        rule["confidence"].alias("confidence"), rule["base"].alias("base"), (kept | rule["base"]).alias("kept"))
 
+    def resolved(rows):
+        ends = lambda tier: F.transform(rows, lambda d: F.when(d["tier"] <= tier, -d["minus_end"]).otherwise(0).cast("long"))
+        reach = F.transform(F.array(*(F.lit(t) for t in (1, 2, 3))), lambda tier: running(ends(tier), highest=True))
+        return bound(reach, lambda r: F.transform(rows, lambda d, i: shown(d, r, i)))
 
-def _resolved(found: Column) -> Column:
-    """Marks what is kept. reach: for each tier the furthest end among detections of that tier or a stronger one."""
-    zero = F.struct(F.array(F.lit(0), F.lit(0), F.lit(0)).alias("reach"), F.array().cast(f"array<{KIND}>").alias("out"))
+    return bound(F.array_sort(found), resolved)
 
-    def step(a, d):
-        end = -d["minus_end"]
-        kept = F.get(a["reach"], d["tier"] - 1) < end
-        reach = F.transform(a["reach"], lambda r, i: F.when(d["tier"] - 1 <= i, F.greatest(r, end)).otherwise(r))
-        row = F.struct(*(d[x].alias(x) for x in ("start", "minus_end", "tier", "rule", "label", "confidence", "base")), (kept | d["base"]).alias("kept"))
-        return F.struct(reach.alias("reach"), F.concat(a["out"], F.array(row)).alias("out"))
 
-    return F.aggregate(F.array_sort(found), zero, step)["out"]
+KIND = "array<struct<start:int,end:int,label:string,rule:int,tier:int,confidence:double,base:boolean,kept:boolean>>"
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words and detections: array of start, end (words, end exclusive), label, rule, tier, confidence, base, kept."""
-    kind = "array<struct<id:int,label:string,keyword:string,regex:string,tier:int,confidence:double,base:boolean>>"
-    table = F.from_json(F.lit(json.dumps(rules())), kind)
-    out = docs.drop("n_words", "detections").withColumn("_words", words_text(F.col(text)))
-    words = F.col("_words")
+    words, padded = F.col("_words"), F.col("_padded")
+    table = F.from_json(F.lit(json.dumps(rules())), TABLE)
+    out = docs.drop("n_words", "detections").withColumn("_words", words_text(F.col(text))).withColumn("_padded", F.concat(F.lit(" "), words, F.lit(" ")))
     gaps = F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
-    gate = F.lit(False)
-    for k in gate_keywords():
-        gate = gate | words.contains(k)
-    tried = F.filter(table, lambda r: words.contains(r["keyword"]) & F.rlike(words, r["regex"]))
-    found = _resolved(F.flatten(F.transform(tried, lambda r: _found(words, r))))
-    shown = F.transform(found, lambda d: F.struct(d["start"], (-d["minus_end"]).alias("end"), d["label"], d["rule"], d["tier"], d["confidence"], d["base"], d["kept"]))
-    empty = F.array().cast("array<struct<start:int,end:int,label:string,rule:int,tier:int,confidence:double,base:boolean,kept:boolean>>")
+    gate = functools.reduce(lambda a, b: a | b, (padded.contains(k) for k in gate_keywords()))
+    tried = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: padded.contains(k)) & F.rlike(words, r["regex"]))
+    found = F.flatten(F.transform(tried, lambda r: _found(words, r)))
     return out.withColumns({
         "n_words": F.when(words == "", 0).otherwise(gaps + 1).cast("long"),
-        "detections": F.when(gate, shown).otherwise(empty),
-    }).drop("_words")
+        "detections": F.when(gate, _resolved(found, table)).otherwise(F.array().cast(KIND)),
+    }).drop("_words", "_padded")
