@@ -1,26 +1,30 @@
 """Secret scan over a trigram inverted index, in DataFrame functions only.
 
 For each rule's regex a Boolean query over trigrams of lower-cased (A-Z) text is derived: all of some groups must hold, a
-group holds if one of its alternatives does, an alternative is a set of trigrams that must all occur. Texts are indexed by
-the trigrams that any query names: postings (trigram, key of the row) in a written table. Grouping the postings by key and
-evaluating the queries gives the candidate rules of each row; candidates meet their texts again by key and are verified by
-the regex. Rules whose regex has no mandatory trigram scan every text.
-
-Defined cases: a null text is empty; rows that repeat with the same id share a key, which changes nothing, as every
-candidate is verified; spans are code points, end exclusive, sorted by start and then by the order of the rules; columns of
-any names are kept, except that a column spans is replaced; an empty table gives no rows.
+group holds if one of its alternatives does, an alternative is a set of trigrams that must all occur.
+
+Index: rows get slots by a hash of id and text, 64 slots are a block, and the posting of a trigram in a block is a bitmap of
+slots: (block, trigram, rows) in a written table, for the trigrams that any query names. A query intersects (and unites) the
+postings of its trigrams, block by block, which gives the candidate slots of each rule; rows that share a slot are all
+candidates. Only texts of candidate slots are shuffled, to be verified by the regex. Rules whose regex has no mandatory trigram
+scan every text where it stands.
+
+Defined cases: a null text is empty; a long text is scanned whole, in time that grows little faster than its length and its
+spans; rows that repeat with the same id and text share their spans; a null id is a value like others; spans are code points,
+end exclusive, sorted by start and then by the order of the rules; columns of any names are kept, except that a column spans is
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import json
+import functools
 import re
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, bound, likely, running, written
 
 #: kind, regex, the group whose length counts, its least length. The first three are the base rules. For `hex` and `access`
 #: a match shorter than the least length is a whole run, so the length may stand in the regex; for `assign` it may not.
@@ -62,7 +66,7 @@ def _rare(trigram: str) -> int:
 def trigram_query(regex: str, most: int = 3) -> list[list[list[str]]]:
     """All of the groups must hold, a group is a list of alternatives, an alternative a list of trigrams (the `most` rarest).
     An empty list: the regex has no mandatory trigram."""
-    parser = re._parser
+    parser = re._parser  # the standard library has no other parser of regexes
     groups: list[list[list[str]]] = []
 
     def cross(a: set[str], b: set[str]) -> set[str]:
@@ -129,54 +133,67 @@ def trigrams(rules=RULES) -> list[str]:
     return sorted({t for r in queries(rules) for group in r["query"] for alternative in group for t in alternative})
 
 
-def row_key(id: str, text: str) -> Column:
-    return F.xxhash64(F.col(id), F.coalesce(F.col(text), F.lit("")))
+def with_slots(docs: DataFrame, slots: int, id: str, text: str) -> DataFrame:
+    """docs with _key and _key2 (hashes of id and text, 128 bits) and _slot."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    out = docs.withColumns({"_key": F.xxhash64(F.col(id), body), "_key2": F.xxhash64(F.lit(1), body, F.col(id))})
+    return out.withColumn("_slot", F.pmod(F.col("_key"), F.lit(slots)))
 
 
-def postings(docs: DataFrame, rules=RULES, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(trigram, key): the index, for the trigrams that queries name."""
-    low = docs.select(row_key(id, text).alias("key"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
+def postings(slotted: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+    """(block, trigram, rows): the index."""
+    low = slotted.select("_slot", ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
     there = F.array(*(F.when(F.col("low").contains(t), F.lit(t)) for t in trigrams(rules)))
-    return low.select("key", F.explode(F.array_compact(there)).alias("trigram"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_slot") % 64).cast("int"))
+    each = low.select(F.floor(F.col("_slot") / 64).alias("block"), bit.alias("bit"), F.explode(F.array_compact(there)).alias("trigram"))
+    return each.groupBy("block", "trigram").agg(F.bit_or("bit").alias("rows"))
 
 
 def candidates(index: DataFrame, rules=RULES) -> DataFrame:
-    """(key, kinds): the rules whose queries hold. A key has no more postings than there are trigrams in queries."""
-    asked = [{"kind": r["kind"], "query": r["query"]} for r in queries(rules) if r["query"]]
-    table = F.from_json(F.lit(json.dumps(asked)), "array<struct<kind:string,query:array<array<array<string>>>>>")
-    got = F.col("trigrams")
-    holds = lambda q: F.forall(q, lambda group: F.exists(group, lambda alternative: F.forall(alternative, lambda t: F.array_contains(got, t))))
-    kinds = F.transform(F.filter(table, lambda r: holds(r["query"])), lambda r: r["kind"])
-    grouped = index.groupBy("key").agg(F.collect_set("trigram").alias("trigrams"))
-    return grouped.select("key", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+    """(slot, kinds): the rules whose queries hold. A block has no more postings than there are trigrams in queries."""
+    blocks = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "rows"))).alias("lists"))
+    posting = lambda t: F.coalesce(F.try_element_at("lists", F.lit(t)), F.lit(0).cast("long"))
+    all_of = lambda xs: functools.reduce(lambda a, b: a.bitwiseAND(b), xs)
+    any_of = lambda xs: functools.reduce(lambda a, b: a.bitwiseOR(b), xs)
+    hits = [F.struct(F.lit(r["kind"]).alias("kind"), all_of(any_of(all_of(map(posting, alternative)) for alternative in group) for group in r["query"]).alias("rows")) for r in queries(rules) if r["query"]]
+    blocks = blocks.select("block", F.filter(F.array(*hits), lambda h: h["rows"] != 0).alias("hits")).filter(F.size("hits") > 0)
+    in_slot = lambda h, i: F.call_function("shiftright", h["rows"], i).bitwiseAND(F.lit(1).cast("long")) == 1
+    kinds = lambda i: F.transform(F.filter("hits", lambda h: in_slot(h, i)), lambda h: h["kind"])
+    slots = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct((F.col("block") * 64 + i).alias("slot"), kinds(i).alias("kinds")))
+    return blocks.select(F.inline(F.filter(slots, lambda s: F.size(s["kinds"]) > 0)))
 
 
-def _spans(text: Column, rule: Column) -> Column:
+SPANS = "array<struct<start:bigint,place:int,end:bigint,kind:string>>"
+
+
+def _spans(text: Column, rule: dict) -> Column:
     """Start and end of each match whose part is long enough: the pieces between matches give the places."""
-    between = F.split(text, rule["regex"], -1)
-    matches = F.regexp_extract_all(text, rule["regex"], F.lit(0))
-    parts = F.regexp_extract_all(text, rule["regex"], rule["part"])
-    kind = "struct<start:int,place:int,end:int,kind:string>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def step(a, x):
-        start = a["at"] + F.char_length(x["between"])
-        end = start + F.char_length(x["match"])
-        row = F.struct(start.alias("start"), rule["place"].alias("place"), end.alias("end"), rule["kind"].alias("kind"))
-        out = F.when(F.char_length(x["part"]) >= rule["least"], F.concat(a["out"], F.array(row))).otherwise(a["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
-
-    zipped = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("between"), matches.alias("match"), parts.alias("part"))
-    return F.aggregate(zipped, zero, step)["out"]
-
-
-def scan(docs: DataFrame, rules=RULES, index: DataFrame | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with spans: array of start, end, kind. index: postings of these docs, made and written here if not given."""
-    index = written(postings(docs, rules, id, text), "postings") if index is None else index
-    table = F.from_json(F.lit(json.dumps([{**r, "full": not r["query"]} for r in queries(rules)])), "array<struct<place:int,kind:string,regex:string,part:int,least:int,full:boolean>>")
-    joined = docs.drop("spans").withColumn("_key", row_key(id, text)).join(candidates(index, rules).withColumnsRenamed({"key": "_key", "kinds": "_kinds"}), "_key", "left")
-    body, kinds = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col("_kinds"), F.array().cast("array<string>"))
-    tried = F.filter(table, lambda r: (r["full"] | F.array_contains(kinds, r["kind"])) & F.rlike(body, r["regex"]))
-    found = F.array_sort(F.flatten(F.transform(tried, lambda r: _spans(body, r))))
-    spans = F.transform(found, lambda s: F.struct(s["start"], s["end"], s["kind"]))
-    return joined.withColumn("spans", spans).drop("_key", "_kinds")
+    regex, none = F.lit(rule["regex"]), F.array().cast(SPANS)
+    matches = F.regexp_extract_all(text, regex, F.lit(0))
+    parts = F.regexp_extract_all(text, regex, F.lit(rule["part"])) if rule["part"] else matches
+    long = lambda c: F.char_length(c).cast("long")
+    sizes = F.zip_with(matches, parts, lambda m, p: F.struct(long(m).alias("match"), long(p).alias("part")))
+    rows = F.zip_with(F.slice(F.split(text, regex, -1), 1, F.size(matches)), sizes, lambda gap, x: F.struct(long(gap).alias("gap"), x["match"].alias("match"), x["part"].alias("part")))
+
+    def placed(xs):
+        span = lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(rule["place"]).alias("place"), (at + x["gap"] + x["match"]).alias("end"), F.lit(rule["kind"]).alias("kind"), x["part"].alias("part"))
+        every = F.zip_with(xs, running(F.transform(xs, lambda x: x["gap"] + x["match"])), span)
+        return F.transform(F.filter(every, lambda s: s["part"] >= rule["least"]), lambda s: F.struct(s["start"], s["place"], s["end"], s["kind"]))
+
+    return F.when(F.rlike(text, regex), bound(rows, placed)).otherwise(none)
+
+
+def scan(docs: DataFrame, rules=RULES, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with spans: array of start, end, kind."""
+    docs, table, body, none = docs.drop("spans"), queries(rules), F.coalesce(F.col(text), F.lit("")), F.array().cast(SPANS)
+    slotted = with_slots(docs, 64 * max(1, -(-docs.count() // 64)), id, text)
+    found = written(candidates(written(postings(slotted, rules, text), "postings"), rules), "candidates")
+    near = likely(slotted.select("_key", "_key2", "_slot", body.alias("_body")), found.select(F.col("slot").alias("rep")), "_slot")
+    some = [F.when(F.array_contains("kinds", r["kind"]), _spans(F.col("_body"), r)).otherwise(none) for r in table if r["query"]]
+    verified = near.join(found, F.col("_slot") == F.col("slot")).select("_key", "_key2", F.flatten(F.array(*some)).alias("_some"))
+    verified = verified.filter(F.size("_some") > 0).groupBy("_key", "_key2").agg(F.any_value("_some").alias("_some"))
+    full = [_spans(body, r) for r in table if not r["query"]] or [none]
+    out = slotted.withColumn("_full", F.flatten(F.array(*full))).join(verified, ["_key", "_key2"], "left")
+    every = F.array_sort(F.concat("_full", F.coalesce("_some", none)))
+    spans = F.transform(every, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["kind"].alias("kind")))
+    return out.withColumn("spans", spans).select(*docs.columns, "spans")
