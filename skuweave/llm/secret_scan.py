@@ -18,6 +18,7 @@ replaced; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import json
 import re
 from itertools import product
 
@@ -166,21 +167,29 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
 SPANS = "array<struct<start:bigint,place:int,end:bigint,kind:string>>"
 
 
-def _spans(text: Column, rule: dict) -> Column:
+TABLE = "array<struct<place:int,kind:string,regex:string,part:int,least:int>>"
+
+
+def _spans(text: Column, rule: Column) -> Column:
     """Start and end of each match whose part is long enough: the pieces between matches give the places."""
-    regex, none = F.lit(rule["regex"]), F.array().cast(SPANS)
-    matches = F.regexp_extract_all(text, regex, F.lit(0))
-    parts = F.regexp_extract_all(text, regex, F.lit(rule["part"])) if rule["part"] else matches
+    matches, parts = F.regexp_extract_all(text, rule["regex"], F.lit(0)), F.regexp_extract_all(text, rule["regex"], rule["part"])
     long = lambda c: F.char_length(c).cast("long")
     sizes = F.zip_with(matches, parts, lambda m, p: F.struct(long(m).alias("match"), long(p).alias("part")))
-    rows = F.zip_with(F.slice(F.split(text, regex, -1), 1, F.size(matches)), sizes, lambda gap, x: F.struct(long(gap).alias("gap"), x["match"].alias("match"), x["part"].alias("part")))
+    rows = F.zip_with(F.slice(F.split(text, rule["regex"], -1), 1, F.size(matches)), sizes, lambda gap, x: F.struct(long(gap).alias("gap"), x["match"].alias("match"), x["part"].alias("part")))
 
     def placed(xs):
-        span = lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(rule["place"]).alias("place"), (at + x["gap"] + x["match"]).alias("end"), F.lit(rule["kind"]).alias("kind"), x["part"].alias("part"))
+        span = lambda x, at: F.struct((at + x["gap"]).alias("start"), rule["place"].alias("place"), (at + x["gap"] + x["match"]).alias("end"), rule["kind"].alias("kind"), x["part"].alias("part"))
         every = F.zip_with(xs, running(F.transform(xs, lambda x: x["gap"] + x["match"])), span)
         return F.transform(F.filter(every, lambda s: s["part"] >= rule["least"]), lambda s: F.struct(s["start"], s["place"], s["end"], s["kind"]))
 
-    return F.when(F.rlike(text, regex), bound(rows, placed)).otherwise(none)
+    return bound(rows, placed)
+
+
+def _found(text: Column, rules: list[dict], chosen=lambda kind: F.lit(True)) -> Column:
+    """The spans of those rules whose kind is chosen. A regex is compiled for a text only if its rule is chosen for it."""
+    table = F.from_json(F.lit(json.dumps(rules)), TABLE)
+    tried = F.filter(table, lambda r: chosen(r["kind"]) & F.rlike(text, r["regex"]))
+    return F.flatten(F.transform(tried, lambda r: _spans(text, r))).cast(SPANS)
 
 
 def scan(docs: DataFrame, rules=RULES, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,11 +198,10 @@ def scan(docs: DataFrame, rules=RULES, id: str = "doc_id", text: str = "text") -
     slotted = with_slots(docs, 64 * max(1, -(-docs.count() // 64)), id, text)
     found = written(candidates(written(postings(slotted, rules, text), "postings"), rules), "candidates")
     near = likely(slotted.select("_key", "_key2", "_slot", body.alias("_body")), found.select(F.col("slot").alias("rep")), "_slot")
-    some = [F.when(F.array_contains("kinds", r["kind"]), _spans(F.col("_body"), r)).otherwise(none) for r in table if r["query"]]
-    verified = near.join(found, F.col("_slot") == F.col("slot")).select("_key", "_key2", F.flatten(F.array(*some)).alias("_some"))
+    some = _found(F.col("_body"), [r for r in table if r["query"]], lambda kind: F.array_contains("kinds", kind))
+    verified = near.join(found, F.col("_slot") == F.col("slot")).select("_key", "_key2", some.alias("_some"))
     verified = verified.filter(F.size("_some") > 0).groupBy("_key", "_key2").agg(F.any_value("_some").alias("_some"))
-    full = [_spans(body, r) for r in table if not r["query"]] or [none]
-    out = slotted.withColumn("_full", F.flatten(F.array(*full))).join(verified, ["_key", "_key2"], "left")
+    out = slotted.withColumn("_full", _found(body, [r for r in table if not r["query"]])).join(verified, ["_key", "_key2"], "left")
     every = F.array_sort(F.concat("_full", F.coalesce("_some", none)))
     spans = F.transform(every, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["kind"].alias("kind")))
     return out.withColumn("spans", spans).select(*docs.columns, "spans")
