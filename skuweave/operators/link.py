@@ -7,9 +7,11 @@ Where several rows fit an image, the first wins.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import written
 
 SKU_PATTERN = r"[A-Z]+-\d+"
 
@@ -33,17 +35,41 @@ def by_folder(images: DataFrame, rows: DataFrame) -> DataFrame:
     return _equi(images, rows, F.lower(F.col("category")))
 
 
+def _fuzzy_pairs(texts: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of distinct texts that can score at least `least` (over 0). Words meet if one lies in the other; distinct words
+    find each other by their rarest pair of characters. A pair scores by its words only if so many words of a meet one of b that
+    one of the rarest few of a does (all but least of them, and one more); if one text lies in the other, each of its words
+    meets one, so its rarest does. So frequent words make no pairs by themselves."""
+    every = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    long = lambda c: F.filter(every(c), lambda w: F.char_length(w) > 1)
+    words = lambda c: F.when(F.size(long(c)) > 0, long(c)).otherwise(every(c))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, 2)))
+    keep = F.size("ws") - F.ceil(least * F.size("ws") - 1e-9) + 1
+    left = texts.withColumn("ws", words(F.col("a"))).withColumn("keep", F.when(F.size("ws") == F.size(F.array_distinct("ws")), F.greatest(keep, F.lit(1))).otherwise(F.size("ws")))
+    left = left.select("a", "keep", F.explode(F.array_distinct("ws")).alias("v"))
+    right = names.select("b", F.explode(F.array_distinct(words(F.col("b")))).alias("w"))
+    known = left.select(F.col("v").alias("x")).union(right.select(F.col("w").alias("x"))).distinct()
+    each = known.select("x", F.explode(grams(F.col("x"))).alias("g"))
+    often = each.groupBy("g").agg(F.count("*").alias("n"))
+    rare = each.join(often, "g").groupBy("x").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    inside = rare.join(each.withColumnRenamed("x", "y"), "g").filter(F.col("y").contains(F.col("x"))).select("x", "y")
+    one = known.filter(F.char_length("x") == 1).select("x")  # at most 36 words of one character, which have no pair
+    inside = inside.union(one.crossJoin(known.withColumnRenamed("x", "y")).filter(F.col("y").contains(F.col("x")))).distinct()
+    met = written(inside.union(inside.select("y", "x")).distinct().toDF("v", "w"), "words")
+    degree = met.join(right.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("v").agg(F.sum("n").alias("n"))
+    ranked = left.join(degree, "v", "left").withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.coalesce("n", F.lit(0)), "v")))
+    back = met.join(left.groupBy("v").agg(F.count("*").alias("n")), "v").groupBy("w").agg(F.sum("n").alias("n"))
+    rarest = right.join(back, "w", "left").groupBy("b").agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"))
+    by_words = ranked.filter("r <= keep").select("a", "v").join(met, "v").join(right, "w").select("a", "b")
+    return by_words.union(rarest.join(met, "w").join(left, "v").select("a", "b")).distinct()
+
+
 def by_fuzzy_name(images: DataFrame, rows: DataFrame, least: float = 0.5) -> DataFrame:
-    """The row with the best fuzzy score, `least` at least. Scores are computed for distinct pairs of texts that share two
-    adjacent characters; only such pairs can score, but for names of a single character."""
+    """The row with the best fuzzy score, `least` at least, of distinct pairs of texts that can reach it."""
     a = images.select("path", T.fuzzy_text(T.without_extension(F.col("filename"))).alias("a")).filter(F.char_length("a") >= 2)
     b = rows.select("row", T.fuzzy_text(F.col("name")).alias("b")).filter("b <> ''").groupBy("b").agg(F.min("row").alias("row"))
     texts = a.select("a").distinct()
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, 2)))
-    left = texts.withColumn("g", F.explode(grams(F.col("a"))))
-    right = b.select("b", F.explode(grams(F.col("b"))).alias("g"))
-    short = texts.crossJoin(F.broadcast(b.filter(F.char_length("b") < 2).select("b").distinct()))  # at most 36 texts of one letter
-    pairs = left.join(right, "g").select("a", "b").union(short).distinct()
+    pairs = _fuzzy_pairs(texts, b.select("b"), least)
     scored = pairs.withColumn("score", T.fuzzy_score(F.col("a"), F.col("b"))).filter((F.col("score") > 0) & (F.col("score") >= least))
     best = scored.join(b, "b").groupBy("a").agg(F.max_by(F.struct("row", "score"), F.struct(F.col("score"), -F.col("row"))).alias("m"))
     return a.join(best, "a").select("path", F.col("m.row").alias("row"), F.col("m.score").alias("score"))

@@ -4,6 +4,7 @@ performance_history; every function returns the new DataFrames and writes nothin
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -134,13 +135,16 @@ def performance_rows(rows: DataFrame) -> DataFrame:
     return rows.filter("date is not null").fillna(0, ["sales", "views", "conversion_rate", "revenue"])
 
 
-def load(products: DataFrame, new: DataFrame, mode: str, is_historical: bool = True, order: tuple[str, ...] = ("created_at", "sku")) -> DataFrame:
-    """use_existing, add_to_existing, or replace one side of the catalog."""
+def load(products: DataFrame, new: DataFrame, mode: str, is_historical: bool = True, order: tuple[str, ...] = ("created_at", "sku"), save: Callable[[], None] | None = None) -> DataFrame:
+    """use_existing, add_to_existing, or replace one side of the catalog. save: called before a replacement, to keep a snapshot
+    of what goes (sources.snapshots.Snapshots.save_before)."""
     if mode == "use_existing":
         return products
     if mode == "add_to_existing":
         return append_products(products, new.withColumn("is_historical", F.lit(is_historical)), list(order))
     if mode == "replace":
+        if save is not None:
+            save()
         return append_products(products.filter(F.col("is_historical") != is_historical), new.withColumn("is_historical", F.lit(is_historical)), list(order))
     raise ValueError(f"unknown mode {mode}")
 

@@ -180,6 +180,19 @@ def hybrid_matches(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig = Ma
     return hybrid_merged(visual, metadata_matches(queries, catalog, arm), cfg, cfg.threshold if batch else cfg.floor)
 
 
+def hybrid_batch(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig(), embeddings: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matches, status, failed) of the batch form of the hybrid mode: a query of which one arm fails has no matches but a row
+    in failed. The visual arm fails without a usable vector, the metadata arm without a SKU, a name and a category."""
+    fine = F.coalesce(_has_vector(queries, embeddings), F.lit(False))
+    bare = F.lit(True)
+    for c in ("sku", "product_name", "category"):
+        bare = bare & T.blank_to_null(F.col(c)).isNull()
+    code = F.when(~fine, "VISUAL_FAILED").when(bare, "METADATA_FAILED")
+    failed = queries.filter(code.isNotNull()).select(F.col("id").alias("new_product_id"), code.alias("error_code"))
+    found = hybrid_matches(queries.filter(code.isNull()), catalog, cfg, embeddings, batch=True)
+    return found, query_status(queries, found, failed), failed
+
+
 def _has_vector(df: DataFrame, embeddings: bool) -> Column:
     return V.feature_error(F.col("embedding")).isNull() if embeddings else F.coalesce(*(V.feature_error(F.col(c)) for c in ("color", "shape", "texture"))).isNull()
 
@@ -255,6 +268,30 @@ def infer_category(products: DataFrame, matches: DataFrame) -> DataFrame:
     return products.join(best, "id", "left").withColumn("category", F.coalesce(T.blank_to_null(F.col("category")), "_matched")).drop("_matched")
 
 
+def _near(asked: DataFrame, stored: DataFrame, most_edits: int) -> DataFrame:
+    """Pairs of c and s within most_edits, with their distance far. A text cut into most_edits + 1 pieces keeps one of them whole
+    through most_edits edits, moved by that many places at most, so pairs meet on a piece; texts too short to be cut meet on
+    their length."""
+    k = most_edits + 1
+    size = lambda c: F.char_length(c)
+    cut = lambda c, i: (F.floor(size(c) * i / k) + 1).cast("int")
+
+    def pieces(row):
+        c, all_ = row["c"], []
+        for i in range(k):
+            all_.append(F.struct(F.substring(c, cut(c, i), cut(c, i + 1) - cut(c, i)).alias("piece")))
+        return F.array(*all_)
+
+    tokens = F.when(size("c") < k, F.array(F.lit("\x00"))).otherwise(F.array_distinct(F.transform(pieces({"c": F.col("c")}), lambda p: p["piece"])))
+    left = asked.withColumn("token", F.explode(tokens)).withColumn("n", F.char_length("token"))
+    sizes = [r.n for r in left.select("n").distinct().collect()]  # lengths of pieces: at most a third of the longest category
+    grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.when(size("s") >= n, F.transform(F.sequence(F.lit(1), size("s") - n + 1), lambda i: F.substring(F.col("s"), i, n))).otherwise(F.array().cast("array<string>")))))
+    short = F.when(size("s") < k + most_edits, F.array(F.lit("\x00"))).otherwise(F.array().cast("array<string>"))
+    right = stored.withColumn("token", F.explode(F.concat(grams if sizes else F.array().cast("array<string>"), short)))
+    pairs = left.join(right, "token").select("category", "c", "stored", "s").distinct()
+    return pairs.withColumn("far", F.levenshtein("c", "s", most_edits)).filter("far >= 0")
+
+
 def resolve_categories(rows: DataFrame, known: DataFrame, most_edits: int = 2) -> DataFrame:
     """rows with category in its stored spelling, and category_warning: exact (but for case) first, then the nearest known
     category within most_edits, else a new one in lower case. known: a DataFrame with a column category, reduced to its
@@ -265,8 +302,7 @@ def resolve_categories(rows: DataFrame, known: DataFrame, most_edits: int = 2) -
     asked = rows.select("category").filter("category is not null").distinct().withColumn("asked", low)
     exact = asked.join(stored, asked["asked"] == stored["low"], "left").select("category", "asked", F.col("stored").alias("exact"))
     open_ = exact.filter("exact is null and asked <> ''").select("category", T.compact(F.col("category")).alias("c"))
-    far = F.levenshtein("c", T.compact(F.col("stored")), most_edits)
-    near = open_.crossJoin(stored.select("stored")).withColumn("far", far).filter("far >= 0")
+    near = _near(open_, stored.select("stored", T.compact(F.col("stored")).alias("s")), most_edits)
     near = near.groupBy("category").agg(F.min_by("stored", F.struct("far", "stored")).alias("near"))
     resolved = exact.join(near, "category", "left").select(
         "category", F.coalesce("exact", "near", F.when(F.col("asked") != "", F.col("asked"))).alias("_category"),

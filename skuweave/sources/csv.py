@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,30 +20,52 @@ def separator(line: str) -> str:
     return max(",\t;", key=lambda s: (plain.count(s), s == ","))
 
 
-def first_line(spark: SparkSession, path: str) -> str:
-    row = spark.read.text(path).filter(F.trim("value") != "").first()
-    return (row.value if row else "").lstrip("﻿")
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a file as text: row (their order), the standard columns that the header names, or by position without a header.
-    Empty rows stay; clean() drops them."""
-    head = first_line(spark, path)
+def layouts(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """(first line, files) for each first line that files under path begin with. The driver holds the files' names, as it does
+    to read them, and one line for each layout."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.filter("at = 0").withColumn("n", F.monotonically_increasing_id())
+    bom = F.regexp_replace("value", "^\ufeff", "")
+    first = lines.groupBy("file").agg(F.min_by(bom, F.when(F.trim(bom) != "", F.col("n"))).alias("line"))
+    rows = first.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line").collect()
+    return [(r.line or "", r.files) for r in rows]
+
+
+def read(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Rows of files as text: row (their order: files by name, then lines), the standard columns that a file's header names, or
+    by position without a header. Each file may have its own separator and header. multi_line: cells may hold line breaks, and
+    a file is one task; without it large files are split. Empty rows stay; clean() drops them."""
+    found = layouts(spark, path)
+    order = {f: i for i, f in enumerate(sorted(f for _, files in found for f in files))}
+    parts = [_read(spark, head, files, multi_line) for head, files in found]
+    if not parts:
+        return spark.createDataFrame([], ", ".join(["row long", *(f"{c} string" for c in COLUMNS)]))
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    places = spark.createDataFrame(list(order.items()), "_file string, _place long")
+    # a whole split is a partition of its own, so the number in a partition is less than where the next split of the file begins
+    row = F.call_function("shiftleft", F.col("_place"), F.lit(42)) + F.col("_at") + F.col("_n")
+    named = [c for c in out.columns if not c.startswith("_")]
+    return out.join(places, "_file").select(row.alias("row"), *named)
+
+
+def _read(spark: SparkSession, head: str, files: list[str], multi_line: bool) -> DataFrame:
+    """The rows of files that begin with one line; _file, _at (where their split begins) and _n (number in the partition)."""
     sep = separator(head)
     cells = [c.strip().strip('"').lower() for c in head.split(sep)]
     has_header = any(k in c for c in cells for k in KNOWN)
     width = max(len(cells), len(COLUMNS)) if not has_header else len(cells)
     schema = ", ".join(f"c{i} string" for i in range(width))
-    raw = spark.read.schema(schema).options(sep=sep, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", encoding="UTF-8", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).csv(path)
-    raw = raw.withColumn("row", F.monotonically_increasing_id())
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE", "encoding": "UTF-8", "header": has_header, "enforceSchema": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    raw = spark.read.schema(schema).options(**options).csv(files)
     if has_header:
         names: dict[str, str] = {}
         for i, c in enumerate(cells):
             names.setdefault(T.header_name(c) or f"column_{i}", f"c{i}")
-        raw = raw.filter(F.col("row") > 0)
     else:
         names = {c: f"c{i}" for i, c in enumerate(COLUMNS)}
-    return raw.select("row", *(F.col(v).alias(k) for k, v in names.items()), *(F.lit(None).cast("string").alias(c) for c in COLUMNS if c not in names))
+    at = F.col("_metadata.file_block_start")
+    n = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    return raw.select(F.col("_metadata.file_path").alias("_file"), at.alias("_at"), n.alias("_n"), *(F.col(v).alias(k) for k, v in names.items()), *(F.lit(None).cast("string").alias(c) for c in COLUMNS if c not in names))
 
 
 def clean(raw: DataFrame) -> DataFrame:

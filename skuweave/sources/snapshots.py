@@ -42,6 +42,10 @@ class Snapshots:
         row = (name, as_of, "1.0", description, is_historical, list(tags), as_of)
         self.spark.createDataFrame([row], META).coalesce(1).write.mode("append").parquet(f"{self.root}/_meta")
 
+    def save_before(self, catalog: dict[str, DataFrame], is_historical: bool, as_of: datetime.datetime) -> None:
+        """The snapshot that a replacement of one side takes first: auto_<time>."""
+        self.create(f"auto_{as_of:%Y%m%d_%H%M%S}", catalog, is_historical, as_of, "Before a replacement")
+
     def load(self, name: str) -> dict[str, DataFrame]:
         out = {"products": self.spark.read.parquet(f"{self.root}/{name}/products")}
         for table in TABLES[1:]:
