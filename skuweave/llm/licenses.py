@@ -2,8 +2,8 @@
 
 A text is reduced to its words (runs of ASCII letters and digits and of all characters beyond ASCII, A-Z lower-cased),
 single spaces between them. Of each rule's regex the keywords are derived of which every match contains one; a text must
-contain one of them before the regex runs, and one of a few words that cover all keywords (gate_keywords) before any rule is
-tried. A detection is a range of words. Detections are ordered by start, the longer first, then by tier (1 is strongest) and
+contain one of them before the regex runs; rules whose keywords hold the same few words are a family, which a text must contain
+one of, and one of all families' words (gate_keywords) before any is tried. A detection is a range of words. Detections are ordered by start, the longer first, then by tier (1 is strongest) and
 by the order of the rules; one that lies inside another of the same or a stronger tier is suppressed. Base phrases are rules
 too, and are never suppressed. The scan needs no shuffle. The rules are one constant array of the plan (a column for each of
 hundreds of regexes would take a minute to plan); a regex is compiled for a text only if that holds one of its keywords.
@@ -80,10 +80,23 @@ def rules() -> list[dict]:
     return [{"id": i, "label": label, "keywords": mandatory(regex), "regex": f"(?<![^ ])(?:{regex})(?![^ ])", "tier": tier, "confidence": confidence, "base": base} for i, (tier, confidence, label, regex, base) in enumerate(rows)]
 
 
+def _gate(keyword: str) -> str:
+    return next((g for g in GATE if g in keyword), keyword)
+
+
+@functools.cache
+def families() -> list[dict]:
+    """The rules by gate: what a text must contain one of for any rule of the family to be tried."""
+    out: dict[tuple, list[dict]] = {}
+    for r in rules():
+        out.setdefault(tuple(sorted({_gate(k) for k in r["keywords"]})), []).append(r)
+    return [{"gate": list(gate), "rules": of} for gate, of in out.items()]
+
+
 @functools.cache
 def gate_keywords() -> list[str]:
-    """A text without any of these needs no rule: each keyword, or what GATE has for it, but those that contain another."""
-    every = {next((g for g in GATE if g in k), k) for r in rules() for k in r["keywords"]}
+    """A text without any of these needs no rule: the gates of all families, but those that contain another."""
+    every = {k for f in families() for k in f["gate"]}
     return sorted(k for k in every if not any(x != k and x in k for x in every))
 
 
@@ -92,7 +105,7 @@ def words_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
-TABLE = "array<struct<id:int,label:string,keywords:array<string>,regex:string,tier:int,confidence:double,base:boolean>>"
+RULE = "struct<id:int,label:string,keywords:array<string>,regex:string,tier:int,confidence:double,base:boolean>"
 
 
 def _found(words: Column, rule: Column) -> Column:
@@ -126,11 +139,14 @@ KIND = "array<struct<start:int,end:int,label:string,rule:int,tier:int,confidence
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words and detections: array of start, end (words, end exclusive), label, rule, tier, confidence, base, kept."""
     words, padded = F.col("_words"), F.col("_padded")
-    table = F.from_json(F.lit(json.dumps(rules())), TABLE)
+    table = F.from_json(F.lit(json.dumps(rules())), f"array<{RULE}>")
+    grouped = F.from_json(F.lit(json.dumps(families())), f"array<struct<gate:array<string>,rules:array<{RULE}>>>")
     out = docs.drop("n_words", "detections").withColumn("_words", words_text(F.col(text))).withColumn("_padded", F.concat(F.lit(" "), words, F.lit(" ")))
     gaps = F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
     gate = functools.reduce(lambda a, b: a | b, (padded.contains(k) for k in gate_keywords()))
-    tried = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: padded.contains(k)) & F.rlike(words, r["regex"]))
+    some = lambda keys: F.exists(keys, lambda k: padded.contains(k))
+    open_ = F.flatten(F.transform(F.filter(grouped, lambda f: some(f["gate"])), lambda f: f["rules"]))
+    tried = F.filter(open_, lambda r: some(r["keywords"]) & F.rlike(words, r["regex"]))
     found = F.flatten(F.transform(tried, lambda r: _found(words, r)))
     return out.withColumns({
         "n_words": F.when(words == "", 0).otherwise(gaps + 1).cast("long"),
