@@ -1,12 +1,15 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model is over characters (white space runs are one space, digits are one symbol), of order 5. Its counts cover four fifths of
-the trusted documents, by a hash of the id; the others set the limits, as a model knows the texts it has counted too well. Tasks count n-grams, Spark adds them up by n-gram, and the lower orders count the distinct characters before an
-n-gram. Discounts come from the counts of counts of each order. Probabilities are joins, sharded by n-gram: of the counts of
+the trusted documents, by a hash of the id; the others set the limits, as a model knows the texts it has counted too well. Tasks
+count n-grams, Spark adds them up by n-gram, and the lower orders count the distinct characters before an n-gram. Discounts come from the counts of counts of each order. Probabilities are joins, sharded by n-gram: of the counts of
 an order with the totals of their contexts and with the probabilities of the order below.
 
-Scoring broadcasts the probabilities and back-off weights in shards of about max_entries entries (by the character before the
-one that is predicted, so that a place is scored by one shard alone); documents pass one shard after the other.
+Scoring joins, too. Documents are written in chunks of about chunk_chars characters, a table bucketed by chunk. Each chunk asks
+once for each distinct n-gram in it, so frequent n-grams are pre-aggregated to one row a chunk. Questions and the model are
+sharded by the character before the one that is predicted, so that all orders of an n-gram and its contexts are in one shard
+(single characters are in all), and meet by shard and block of chunks; the answers return to their chunk, whose documents stand
+where they were written. So neither the driver nor any task holds the model or more than a chunk and a shard.
 
 A document's mean negative logarithm is shrunk towards the mean of its language by `prior` characters, so that short texts are
 not judged by a few characters. It passes if it lies between two quantiles of the trusted documents of its language: the upper
@@ -14,15 +17,18 @@ one of those that were held out, the lower one of all. Both are moved away from
 
 Defined cases: null and empty texts have 0 characters and take the mean of their language; a null language is a language of
 its own; a language without trusted documents takes the quantiles of all of them; without any trusted text every document
-passes; ids that repeat are scored row by row; an empty table gives no rows.
+passes; a long text is scored whole, in a chunk of its own if need be; ids that repeat are scored row by row; nll and n_scored
+replace columns of those names, and no column may be called _chunk; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,104 +127,171 @@ def train(trusted: DataFrame, order: int = 5, text: str = "text") -> tuple[DataF
 
 
 class Scorer:
-    """Tables of one shard, by order: sorted hashes and values."""
-
-    def __init__(self, order: int, shards: int, shard: int, probabilities, weights, unseen: float):
-        self.order, self.shards, self.shard, self.unseen = order, shards, shard, unseen
-        self.p, self.w = self._tables(*probabilities), self._tables(*weights)
-
-    @staticmethod
-    def _tables(k: np.ndarray, h: np.ndarray, v: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        out = {}
-        for n in np.unique(k).tolist():
-            at = np.flatnonzero(k == n)
-            by = at[np.argsort(h[at])]
-            out[n] = h[by], v[by]
-        return out
-
-    def _look(self, table, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if k not in table or not len(h):
+    """Tables of one shard, by order: sorted hashes and values. rows: kind (p or w), k, h, v."""
+
+    def __init__(self, order: int, kind: np.ndarray, k: np.ndarray, h: np.ndarray, v: np.ndarray):
+        self.order, self.tables = order, {}
+        for name in ("p", "w"):
+            for n in range(1, order + 1):
+                at = np.flatnonzero((kind == name) & (k == n))
+                at = at[np.argsort(h[at])]
+                self.tables[name, n] = h[at], v[at]
+
+    def _look(self, kind: str, k: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = self.tables[kind, k]
+        if not len(keys):
             return np.zeros(len(h), bool), np.zeros(len(h), np.float32)
-        keys, values = table[k]
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return keys[at] == h, values[at]
 
-    def places(self, points: np.ndarray) -> np.ndarray:
-        """The logarithm for each character but the first order - 1; 0 for those of other shards."""
-        n, m = self.order, len(points) - self.order + 1
-        out = np.zeros(m, np.float32)
-        todo = np.arange(m) if self.shards == 1 else np.flatnonzero(points[n - 2 : n - 2 + m] % U(self.shards) == U(self.shard))
-        all_ = hashes(points, n)
+    def logs(self, grams: np.ndarray, unseen: float) -> np.ndarray:
+        """The logarithm of the probability of each last character; grams: a row of `order` characters each."""
+        n, out, todo = self.order, np.zeros(len(grams), np.float32), np.arange(len(grams))
         for k in range(n, 0, -1):
-            h = all_[k][n - k :][todo]
-            found, value = self._look(self.p, k, h)
+            found, value = self._look("p", k, hash_rows(grams[todo, n - k :]))
             out[todo[found]] += value[found]
             todo = todo[~found]
             if k > 1:
-                back, weight = self._look(self.w, k - 1, all_[k - 1][n - k : n - k + m][todo])
+                back, weight = self._look("w", k - 1, hash_rows(grams[todo, n - k : n - 1]))
                 out[todo[back]] += weight[back]
-        out[todo] += self.unseen
+        out[todo] += unseen
         return out
 
 
-def hashed(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths and hashes of n-grams, and their values: tasks make the hashes, so that the driver holds numbers only."""
+def hash_rows(points: np.ndarray) -> np.ndarray:
+    """The hash of each row of characters, as hashes() has it for runs."""
+    h = np.zeros(len(points), U)
+    for i in range(points.shape[1] - 1, -1, -1):
+        h = mixed(h * U(3) + points[:, i].astype(U) + U(1))
+    return h
+
+
+def tables(model: tuple[DataFrame, DataFrame], shards: int) -> DataFrame:
+    """(shard, kind, k, h, v): the model with hashed n-grams, sharded by the character before the last in probabilities and by
+    the last of a context; single characters are in every shard."""
 
     def run(batches):
         for batch in batches:
-            grams = batch.column(0).to_pylist()
+            grams = batch.column(1).to_pylist()
             points, length = _points("".join(grams)), np.array([len(g) for g in grams], np.int32)
             start, h = np.cumsum(length) - length, np.zeros(len(grams), U)
             for k, all_ in enumerate(hashes(points, int(length.max(initial=0)))):
                 h[length == k] = all_[start[length == k]]
-            yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(h.view(np.int64)), batch.column(1).cast(pa.float32())], names=["k", "h", "v"])
+            p = np.array(batch.column(0).to_pylist()) == "p" if grams else np.zeros(0, bool)
+            at = np.where(p, start + length - 2, start + length - 1)
+            shard = np.where(p & (length == 1), -1, (points[np.maximum(at, 0)] % U(shards)).astype(np.int64) if len(points) else -1)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch.column(0), pa.array(length), pa.array(h.view(np.int64)), batch.column(2).cast(pa.float32())], names=["shard", "kind", "k", "h", "v"])
 
-    got = table.select("gram", "v").mapInArrow(run, "k int, h long, v float").toArrow()
-    return got["k"].to_numpy(), got["h"].to_numpy().view(U), got["v"].to_numpy()
+    rows = model[0].select(F.lit("p").alias("kind"), "gram", "v").unionByName(model[1].select(F.lit("w").alias("kind"), "gram", "v"))
+    out = rows.mapInArrow(run, "shard int, kind string, k int, h long, v float")
+    every = out.filter("shard < 0").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    return out.filter("shard >= 0").unionByName(every)
 
 
-def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int = 5, max_entries: int = 1_000_000, text: str = "text") -> DataFrame:
-    """docs with nll (the summed negative logarithm) and n_scored (characters, and one for the end), which replace columns of
-    those names; 0 for null and empty texts."""
-    probabilities, weights = model
-    sc = docs.sparkSession.sparkContext
-    entries, unigrams = probabilities.count() + weights.count(), probabilities.filter(F.char_length("gram") == 1)
-    shards = max(1, -(-entries // max_entries))
-    unseen = float(-np.log(unigrams.count() + 1) - 5)
+def chunks(docs: DataFrame, chunk_chars: int, text: str) -> DataFrame:
+    """docs with _chunk: neighbours in a task, of about chunk_chars characters; unique over tasks."""
+
+    def run(batches):
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            ids = []
+            for n in batch.column(0).to_pylist():
+                if size and size + n > chunk_chars:
+                    chunk, size = chunk + 1, 0
+                ids.append(chunk)
+                size += n
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.int64())], names=[*batch.schema.names[1:], "_chunk"])
+
+    sized = docs.select(F.coalesce(F.char_length(text), F.lit(0)).alias("_n"), *docs.columns)
+    return sized.mapInArrow(run, docs.withColumn("_chunk", F.lit(0).cast("long")).schema)
+
+
+def _bodies(texts, order: int):
+    """Yields (rows, places of each, points) of texts that have characters, so many at a time that their number stays bounded."""
+    held, rows, size = [], [], []
+    for i, t in enumerate(texts):
+        if t and (plain := normal(t)):
+            held.append(START * (order - 1) + plain + END)
+            rows.append(i)
+            size.append(len(held[-1]))
+            if sum(size) > CHUNK:
+                yield rows, size, _points("".join(held))
+                held, rows, size = [], [], []
+    if held:
+        yield rows, size, _points("".join(held))
+
+
+def _windows(size: list[int], points: np.ndarray, order: int) -> np.ndarray:
+    """Where in points the n-grams begin that lie inside one text."""
+    ends = np.cumsum(size)
+    return np.concatenate([np.arange(e - n, e - order + 1) for e, n in zip(ends.tolist(), size, strict=True)])
+
+
+def distinct(texts, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct n-grams of texts, by shard and hash: shards, hashes and characters."""
+    h, grams = np.zeros(0, U), np.zeros((0, order), np.uint32)
+    for _, size, points in _bodies(texts, order):
+        at = _windows(size, points, order)
+        new, first = np.unique(hashes(points, order)[order][at], return_index=True)
+        rows = points[at[first][:, None] + np.arange(order)].astype(np.uint32)
+        h, first = np.unique(np.concatenate([h, new]), return_index=True)
+        grams = np.concatenate([grams, rows])[first]
+    shard = grams[:, order - 2] % np.uint32(shards)
+    by = np.argsort(shard, kind="stable")
+    return shard[by].astype(np.int32), h[by], grams[by]
+
+
+def _score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int, shards: int, chunk_chars: int, text: str) -> tuple[DataFrame, str]:
+    """score(), and the name of the table of chunks that it reads."""
+    spark, name, block = docs.sparkSession, f"chunks_{uuid.uuid4().hex}", 32
     docs = docs.drop("nll", "n_scored")
-    out = docs.withColumns({"nll": F.lit(0.0), "n_scored": F.lit(0).cast("long")})
-    names, schema = docs.columns, out.schema
-    for shard in range(shards):
-        of = lambda c: F.pmod(F.ascii(c), F.lit(shards)) == shard  # noqa: B023, E731
-        p, w = probabilities, weights
-        if shards > 1:
-            p = probabilities.filter((F.char_length("gram") == 1) | of(F.substring("gram", -2, 1)))
-            w = weights.filter(of(F.substring("gram", -1, 1)))
-        scorer = sc.broadcast(Scorer(order, shards, shard, hashed(p), hashed(w), unseen))
-
-        def run(batches, scorer=scorer):
-            s = scorer.value
-            for batch in batches:
-                nll, n = batch.column("nll").to_numpy().copy(), np.zeros(batch.num_rows, np.int64)
-                held, spans, size = [], [], 0
-                rows = batch.column(text).to_pylist()
-                for i, t in enumerate(rows):
-                    if t and (plain := normal(t)):
-                        body = START * (order - 1) + plain + END
-                        held.append(body)
-                        spans.append((i, size, size + len(body) - order + 1))
-                        n[i] = len(plain) + 1
-                        size += len(body)
-                    if held and (size > CHUNK or i == len(rows) - 1):
-                        sums = np.concatenate([[0.0], np.cumsum(s.places(_points("".join(held))), dtype=np.float64)])
-                        for j, a, b in spans:
-                            nll[j] -= sums[b] - sums[a]
-                        held, spans, size = [], [], 0
-                rest = [batch.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(nll), pa.array(n)], names=[*names, "nll", "n_scored"])
-
-        out = out.mapInArrow(run, schema)
-    return out
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks(docs, chunk_chars, text).write.option("compression", "zstd").bucketBy(n, "_chunk").sortBy("_chunk").saveAsTable(name)
+    unseen = float(-np.log(model[0].filter(F.char_length("gram") == 1).count() + 1) - 5)
+    rows, columns = spark.table(name), docs.columns
+
+    def ask(key, table):
+        shard, _, grams = distinct(table["_text"].to_pylist(), order, shards)
+        here, first = np.unique(shard, return_index=True)
+        parts = [g.tobytes().decode("utf-32-le", "replace").encode() for g in np.split(grams, first[1:])] if len(here) else []
+        return pa.table({"_chunk": pa.array(np.full(len(here), key[0].as_py()), pa.int64()), "shard": pa.array(here, pa.int32()), "grams": pa.array(parts, pa.binary())})
+
+    def answer(key, asked, part):
+        scorer = Scorer(order, *(part[c].to_numpy() if c != "h" else part[c].to_numpy().view(U) for c in ("kind", "k", "h", "v")))
+        logs = [scorer.logs(_points(g.decode()).reshape(-1, order), unseen).tobytes() for g in asked["grams"].to_pylist()]
+        return pa.table({"_chunk": asked["_chunk"].combine_chunks(), "shard": asked["shard"].combine_chunks(), "logs": pa.array(logs, pa.binary())})
+
+    def add_up(key, table, answers):
+        texts = table[text].to_pylist()
+        nll, scored = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        _, h, _ = distinct(texts, order, shards)
+        got = answers.sort_by("shard")["logs"].to_pylist()
+        by = np.argsort(h)
+        h, logs = h[by], np.frombuffer(b"".join(got), np.float32)[by]
+        for at, size, points in _bodies(texts, order):
+            places = np.array(size) - order + 1
+            values = logs[np.searchsorted(h, hashes(points, order)[order][_windows(size, points, order)])]
+            nll[at], scored[at] = -np.add.reduceat(values.astype(np.float64), np.cumsum(places) - places), places
+        return pa.table([*(table[c] for c in columns), pa.array(nll), pa.array(scored)], names=[*columns, "nll", "n_scored"])
+
+    asked = rows.select("_chunk", F.col(text).alias("_text")).groupBy("_chunk").applyInArrow(ask, "_chunk long, shard int, grams binary")
+    asked = written(asked.withColumn("block", F.pmod(F.xxhash64("_chunk"), F.ceil(F.lit(_count(rows)) / block))), "questions")
+    blocks = asked.select("shard", "block").distinct()
+    parts = tables(model, shards).join(blocks, "shard").withColumnsRenamed({"shard": "of", "block": "at"})
+    answers = asked.groupBy("shard", "block").cogroup(parts.groupBy("of", "at")).applyInArrow(answer, "_chunk long, shard int, logs binary")
+    schema = docs.withColumns({"nll": F.lit(0.0), "n_scored": F.lit(0).cast("long")}).schema
+    return rows.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(add_up, schema), name
+
+
+def _count(rows: DataFrame) -> int:
+    """The number of chunks, 1 at least."""
+    return max(1, rows.select("_chunk").distinct().count())
+
+
+def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int = 5, shards: int = 16, chunk_chars: int = 8_000_000, text: str = "text") -> DataFrame:
+    """docs with nll (the summed negative logarithm) and n_scored (characters, and one for the end), which replace columns of
+    those names; 0 for null and empty texts. shards and chunk_chars bound what a task holds; they change no result."""
+    return _score(docs, model, order, shards, chunk_chars, text)[0]
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, low: float = 0.001, high: float = 0.999, slack: float = 1.0, prior: int = 50, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -228,7 +301,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, low: float
     ids = trusted_ids.select(F.col(id).alias("rep")).filter("rep is not null").distinct().withColumn("held", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(5)) == 0)
     fitted = ids.filter("not held").select("rep")
     trusted = likely(base.select("doc", "text"), fitted, "doc").filter("text is not null").join(fitted, F.col("doc") == F.col("rep"))
-    scored = written(score(base, train(trusted, order), order).drop("text"), "scored")
+    scored, chunk_table = _score(base, train(trusted, order), order, 16, 8_000_000, "text")
+    scored = written(scored.drop("text"), "scored")
+    base.sparkSession.sql(f"DROP TABLE {chunk_table}")
     known = written(scored.join(ids.withColumnRenamed("rep", "doc"), "doc"), "known")
     mean = (F.sum("nll") / F.greatest(F.sum("n_scored"), F.lit(1))).alias("mean")
     x = (F.col("nll") + prior * F.col("mean")) / (F.col("n_scored") + prior)

@@ -47,8 +47,8 @@ class Plain:
         return -sum(math.log(self.p(s[i : i + self.order])) for i in range(len(s) - self.order + 1))
 
 
-@pytest.mark.parametrize("max_entries", [1_000_000, 60])
-def test_scores_match_the_definition(spark, max_entries):
+@pytest.mark.parametrize(("shards", "chunk_chars"), [(1, 1_000_000), (5, 60)])
+def test_scores_match_the_definition(spark, shards, chunk_chars):
     rnd = random.Random(2)
     say = lambda n: "".join(rnd.choice("aabbc d é") for _ in range(n))
     trusted = [say(rnd.randrange(1, 90)) for _ in range(40)]
@@ -56,7 +56,7 @@ def test_scores_match_the_definition(spark, max_entries):
     model = K.train(spark.createDataFrame([(t,) for t in trusted], "text string"), 3)
     plain = Plain(trusted, 3)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, None, " \n", ""])], "doc_id int, text string, nll string")
-    got = {r.doc_id: r for r in K.score(docs, model, 3, max_entries).collect()}
+    got = {r.doc_id: r for r in K.score(docs, model, 3, shards, chunk_chars).collect()}
     for i, t in enumerate(texts):
         assert got[i].nll == pytest.approx(plain.nll(t), rel=1e-4) and got[i].n_scored == len(K.normal(t)) + 1
     assert [(got[i].nll, got[i].n_scored) for i in range(15, 18)] == [(0, 0)] * 3
