@@ -74,32 +74,44 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, n: str, most: int = 2048
     return few.unionByName(rest)
 
 
-def _marked(docs: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
-    """docs with _there: whether the hash of the id is among those of wanted (rep). The hashes are a bitmap of 2 ** 25 bits,
-    64 in a row: at most 2 ** 19 rows are broadcast, whatever the input."""
+def masked(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of other names, which clash with none, and these names by the old ones."""
+    names = {c: f"_column{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def unmasked(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
+def _met(docs: DataFrame, wanted: DataFrame, id: str, there: bool) -> DataFrame:
+    """The rows of docs whose hashed id is (or isn't) among those of wanted (rep). The hashes are a bitmap of 2 ** 25 bits, 64 in
+    a row: at most 2 ** 19 rows are broadcast, whatever the input."""
+    rows, names = masked(docs)
     place = lambda c: F.xxhash64(F.col(c)).bitwiseAND(F.lit(2**25 - 1))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
     words = wanted.select(F.shiftright(place("rep"), 6).alias("_word"), bit("rep").alias("b")).groupBy("_word").agg(F.bit_or("b").alias("_bits"))
-    met = docs.withColumns({"_at": F.shiftright(place(id), 6), "_bit": bit(id)}).join(F.broadcast(words), F.col("_at") == F.col("_word"), "left")
-    there = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
-    return met.select(*docs.columns, there.alias("_there"))
+    met = rows.withColumns({"_at": F.shiftright(place(names[id]), 6), "_bit": bit(names[id])}).join(F.broadcast(words), F.col("_at") == F.col("_word"), "inner" if there else "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return unmasked(met.filter(hit if there else ~hit), names)
 
 
 def likely(docs: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
     """The rows of docs whose hashed id is among those of wanted (rep): all of those wanted and few others, so that few texts
     are shuffled."""
-    return _marked(docs, wanted, id).filter("_there").drop("_there")
+    return _met(docs, wanted, id, True)
 
 
 def unlikely(docs: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
     """The other rows: surely none of those wanted."""
-    return _marked(docs, wanted, id).filter("not _there").drop("_there")
+    return _met(docs, wanted, id, False)
 
 
 def without(docs: DataFrame, gone: DataFrame, id: str) -> DataFrame:
     """The rows of docs whose id is not among those of gone (rep). Only rows that may be among them are shuffled."""
-    rest = likely(docs, gone, id).join(gone.select("rep").distinct(), F.col(id).eqNullSafe(F.col("rep")), "left_anti")
-    return unlikely(docs, gone, id).unionByName(rest)
+    rows, names = masked(likely(docs, gone, id))
+    rest = rows.join(gone.select("rep").distinct(), F.col(names[id]).eqNullSafe(F.col("rep")), "left_anti")
+    return unlikely(docs, gone, id).unionByName(unmasked(rest, names))
 
 
 def bound(value: Column, f) -> Column:

@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, likely, lookup, unlikely, written
+from .common import ascii_lower, likely, lookup, masked, unlikely, unmasked, written
 
 
 def digest_column(text: str):
@@ -77,10 +77,9 @@ def kept_rows(docs: DataFrame, index: DigestIndex, id: str = "doc_id", text: str
     the others are told apart by digest."""
     found = written(dedup(docs, index, id, text).select(F.col(id).alias("rep"), "kept", F.unhex("text_sha256").alias("digest")), "kept")
     gone = found.filter("not kept").select("rep")
-    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
-    stay = likely(found.filter("kept").withColumnRenamed("rep", "_rep"), gone, "_rep").withColumnRenamed("_rep", "rep")
-    open_ = likely(docs, gone, id)
-    hashed = open_.select(*(F.col(c).alias(n) for c, n in names.items()), digest_column(text).alias("_digest"))
-    key = F.col(names[id]).eqNullSafe(F.col("rep")) & (F.col("_digest") == F.col("digest"))
-    met = hashed.join(stay, key, "left_semi").dropDuplicates([names[id], "_digest"])
-    return unlikely(docs, gone, id).unionByName(met.select(*(F.col(n).alias(c) for c, n in names.items())))
+    stay = likely(found.filter("kept"), gone, "rep")
+    rows, names = masked(likely(docs, gone, id))
+    hashed = rows.withColumn("_digest", digest_column(names[text]))
+    same = F.col(names[id]).eqNullSafe(F.col("rep")) & (F.col("_digest") == F.col("digest"))
+    met = hashed.join(stay, same, "left_semi").dropDuplicates([names[id], "_digest"])
+    return unlikely(docs, gone, id).unionByName(unmasked(met, names))
