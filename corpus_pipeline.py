@@ -1,5 +1,12 @@
 """From raw documents to a training sequence, in five stages. Each takes (spark, docs, sf_dir) and returns a DataFrame, which
-is written and read again as the next stage's docs."""
+is written and read again as the next stage's docs.
+
+Defined cases, for every stage: an empty table gives no rows; further columns are kept, but those that a stage makes on its way
+(lang_pred, score, n_words, spans, item_ids; copy, words and position in the last) take the place of columns of these names; long
+texts are handled whole. A null text has no letters, so the first stage drops it; later ones would keep it as an empty text (one
+of all empty ones), and the last takes no words of it. A null id is a value like others for the first, second and fourth stage,
+links with nothing in the third and is mixed like any other in the last. Null languages are not learned from, a null source is
+a source of its own. Equal rows are one after the second stage."""
 
 from __future__ import annotations
 
