@@ -11,15 +11,15 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, a temporary folder on a single machine, the warehouse on a cluster."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder on a single machine, an error on a cluster."""
     conf = spark.sparkContext.getConf()
     if base := conf.get("spark.checkpoint.dir"):
         return base
-    if conf.get("spark.master", "local").split("[")[0] == "local":
-        if not _own_folder:
-            _own_folder.append(tempfile.mkdtemp(prefix="skuweave-"))
-        return f"file://{_own_folder[0]}"
-    return spark.conf.get("spark.sql.warehouse.dir")
+    if conf.get("spark.master", "local").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="skuweave-"))
+    return f"file://{_own_folder[0]}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
