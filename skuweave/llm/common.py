@@ -13,6 +13,7 @@ _own_folder: list[str] = []
 
 
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,13 +42,21 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_table(name: str) -> str:
+    _tables.append(f"{name}_{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
 def remove_written(spark: SparkSession) -> int:
-    """Deletes what this process has written to the shared folder; for the time when results have been used. The number of
-    folders."""
+    """Deletes what this process has written to the shared folder, and its own tables (not an index that a caller has named);
+    for the time when results have been used. The number of folders and tables."""
     hadoop, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
     while _written:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
         n += bool(path.getFileSystem(hadoop).delete(path, True))
+    while _tables:
+        n += spark.catalog.tableExists(_tables[-1])
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     return n
 
 

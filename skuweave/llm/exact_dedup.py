@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, likely, lookup, masked, unlikely, unmasked, written
+from .common import ascii_lower, likely, lookup, masked, new_table, unlikely, unmasked, written
 
 
 def digest_column(text: str):
@@ -29,7 +29,7 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.table = table or f"digest_index_{uuid.uuid4().hex}"
+        self.table = table or new_table("digest_index")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(self) -> DataFrame | None:

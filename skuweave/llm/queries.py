@@ -77,6 +77,21 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secret_scan.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op9_sql() -> str:
+    """The matches of each rule with the pieces before them, whose lengths add up to places."""
+    one = """SELECT doc_id, {place} AS place, '{kind}' AS kind, k, length(ms[k]) AS m, length(ps[k]) AS p, length(gs[k]) AS gap FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k
+  FROM (SELECT doc_id, regexp_extract_all(t, '{regex}') AS ms, regexp_extract_all(t, '{regex}', {part}) AS ps, regexp_split_to_array(t, '{regex}') AS gs FROM d WHERE regexp_matches(t, '{regex}')))"""
+    rows = "\nUNION ALL ".join(one.format(place=i, kind=kind, regex=regex.replace("'", "''"), part=part) for i, (kind, regex, part, _) in enumerate(secret_scan.RULES))
+    least = ", ".join(f"({i}, {least})" for i, (_, _, _, least) in enumerate(secret_scan.RULES))
+    base = ", ".join(f"'{k}'" for k in secret_scan.BASE)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), least(place, n) AS (VALUES {least}), hits AS ({rows}),
+placed AS (SELECT doc_id, place, kind, m, p, sum(gap + m) OVER (PARTITION BY doc_id, place ORDER BY k) - m AS a FROM hits),
+spans AS (SELECT doc_id, place, kind, a, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + m AS BIGINT) AS span FROM placed JOIN least USING (place) WHERE p >= n),
+shown AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY a, place) FILTER (kind IN ({base})), '')) AS base_sha256, string_agg(span, ',' ORDER BY a, place) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN shown USING (doc_id)"""
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, with its words that lie in passages of 50 words and more that occur elsewhere, and its class."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -87,6 +102,22 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_repeated", "n_spans")), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+again AS (SELECT g, min(doc_id) AS rep FROM win GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, rep FROM win JOIN again USING (g)),
+marked AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS head FROM hit),
+numbered AS (SELECT doc_id, i, sum(head) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM marked),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM numbered GROUP BY doc_id, k),
+shown AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_repeated, CAST(count(*) AS INTEGER) AS n_spans, string_agg(a || '-' || z, ',' ORDER BY a) AS spans FROM spans GROUP BY doc_id),
+links AS (SELECT DISTINCT doc_id AS x, rep AS y FROM hit WHERE doc_id <> rep), ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, ways.y FROM reach JOIN ways ON reach.b = ways.x)
+SELECT d.doc_id, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_spans, 0) AS n_spans, coalesce(spans, '') AS spans, c.class_id
+FROM d LEFT JOIN shown USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a) c USING (doc_id)
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc.archived(table(spark, sf_dir, "pages"), min_bytes=0)
     return got.select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -108,6 +139,17 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + least(len(w), 3) - 1], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM met JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)), ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, ways.y FROM reach JOIN ways ON reach.b = ways.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = language_id.learn(docs.filter(~language_id.held_out()))
@@ -126,4 +168,4 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_licenses": op3_licenses, "op4_suffix_dedup": op4_suffix_dedup, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_language": op7_language, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_exact_dedup": op10_exact_dedup}
-SQL = {"op2_decontaminate": OP2_SQL, "op5_warc": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+SQL = {"op2_decontaminate": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op9_secrets": op9_sql(), "op5_warc": OP5_SQL, "op10_exact_dedup": OP10_SQL}
