@@ -23,7 +23,6 @@ replace columns of those names, and no column may be called _chunk; an empty tab
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, written
+from .common import likely, new_table, written
 from .set_join import U, mixed
 
 START, END = "\x02", "\x03"
@@ -207,35 +206,52 @@ def chunks(docs: DataFrame, chunk_chars: int, text: str) -> DataFrame:
 
 
 def _bodies(texts, order: int):
-    """Yields (rows, places of each, points) of texts that have characters, so many at a time that their number stays bounded."""
-    held, rows, size = [], [], []
+    """Yields (rows, characters of each, points) of texts that have characters, so many at a time that their number stays bounded."""
+    held, rows, size, total = [], [], [], 0
+
+    def points():
+        out = _points("".join(held))
+        out[(out > 48) & (out <= 57)] = 48  # as normal() has digits
+        return out
+
     for i, t in enumerate(texts):
-        if t and (plain := normal(t)):
+        if t and (plain := " ".join(t.split())):
             held.append(START * (order - 1) + plain + END)
             rows.append(i)
             size.append(len(held[-1]))
-            if sum(size) > CHUNK:
-                yield rows, size, _points("".join(held))
-                held, rows, size = [], [], []
+            total += size[-1]
+            if total > CHUNK:
+                yield rows, np.array(size), points()
+                held, rows, size, total = [], [], [], 0
     if held:
-        yield rows, size, _points("".join(held))
+        yield rows, np.array(size), points()
 
 
-def _windows(size: list[int], points: np.ndarray, order: int) -> np.ndarray:
-    """Where in points the n-grams begin that lie inside one text."""
-    ends = np.cumsum(size)
-    return np.concatenate([np.arange(e - n, e - order + 1) for e, n in zip(ends.tolist(), size, strict=True)])
+def _pieces(texts, order: int):
+    """Of so many texts at a time: rows, n-grams of each, points, the distinct hashes, where in points each of them begins, and for
+    each n-gram the place of its hash."""
+    for rows, size, points in _bodies(texts, order):
+        ends = np.cumsum(size)
+        at = np.concatenate([np.arange(e - n, e - order + 1) for e, n in zip(ends.tolist(), size.tolist(), strict=True)])
+        h = hashes(points, order)[order][at]
+        by = np.argsort(h)
+        h = h[by]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        place = np.empty(len(h), np.int32)
+        place[by] = np.cumsum(new) - 1
+        yield rows, size - order + 1, points, h[new], at[by[new]], place
 
 
-def distinct(texts, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the distinct n-grams of texts, by shard and hash: shards, hashes and characters."""
+def distinct(pieces, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct n-grams, by shard and hash: shards, hashes and characters."""
     h, grams = np.zeros(0, U), np.zeros((0, order), np.uint32)
-    for _, size, points in _bodies(texts, order):
-        at = _windows(size, points, order)
-        new, first = np.unique(hashes(points, order)[order][at], return_index=True)
-        rows = points[at[first][:, None] + np.arange(order)].astype(np.uint32)
-        h, first = np.unique(np.concatenate([h, new]), return_index=True)
-        grams = np.concatenate([grams, rows])[first]
+    for _, _, points, new, at, _ in pieces:
+        if len(h):
+            fresh = h[np.minimum(np.searchsorted(h, new), len(h) - 1)] != new
+            new, at = new[fresh], at[fresh]
+        h, grams = np.concatenate([h, new]), np.concatenate([grams, points[at[:, None] + np.arange(order)].astype(np.uint32)])
+        by = np.argsort(h)
+        h, grams = h[by], grams[by]
     shard = grams[:, order - 2] % np.uint32(shards)
     by = np.argsort(shard, kind="stable")
     return shard[by].astype(np.int32), h[by], grams[by]
@@ -243,7 +259,7 @@ def distinct(texts, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, np
 
 def _score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int, shards: int, chunk_chars: int, text: str) -> tuple[DataFrame, str]:
     """score(), and the name of the table of chunks that it reads."""
-    spark, name, block = docs.sparkSession, f"chunks_{uuid.uuid4().hex}", 32
+    spark, name, block = docs.sparkSession, new_table("chunks"), 32
     docs = docs.drop("nll", "n_scored")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks(docs, chunk_chars, text).write.option("compression", "zstd").bucketBy(n, "_chunk").sortBy("_chunk").saveAsTable(name)
@@ -251,7 +267,7 @@ def _score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int, shar
     rows, columns = spark.table(name), docs.columns
 
     def ask(key, table):
-        shard, _, grams = distinct(table["_text"].to_pylist(), order, shards)
+        shard, _, grams = distinct(_pieces(table["_text"].to_pylist(), order), order, shards)
         here, first = np.unique(shard, return_index=True)
         parts = [g.tobytes().decode("utf-32-le", "replace").encode() for g in np.split(grams, first[1:])] if len(here) else []
         return pa.table({"_chunk": pa.array(np.full(len(here), key[0].as_py()), pa.int64()), "shard": pa.array(here, pa.int32()), "grams": pa.array(parts, pa.binary())})
@@ -262,35 +278,34 @@ def _score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int, shar
         return pa.table({"_chunk": asked["_chunk"].combine_chunks(), "shard": asked["shard"].combine_chunks(), "logs": pa.array(logs, pa.binary())})
 
     def add_up(key, table, answers):
-        texts = table[text].to_pylist()
-        nll, scored = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        _, h, _ = distinct(texts, order, shards)
-        got = answers.sort_by("shard")["logs"].to_pylist()
+        kept, nll, scored = [], np.zeros(table.num_rows), np.zeros(table.num_rows, np.int64)
+
+        def seen():
+            for rows, n, points, hashed, at, place in _pieces(table[text].to_pylist(), order):
+                kept.append((rows, n, hashed, place))
+                yield rows, n, points, hashed, at, place
+
+        _, h, _ = distinct(seen(), order, shards)
         by = np.argsort(h)
-        h, logs = h[by], np.frombuffer(b"".join(got), np.float32)[by]
-        for at, size, points in _bodies(texts, order):
-            places = np.array(size) - order + 1
-            values = logs[np.searchsorted(h, hashes(points, order)[order][_windows(size, points, order)])]
-            nll[at], scored[at] = -np.add.reduceat(values.astype(np.float64), np.cumsum(places) - places), places
+        h, logs = h[by], np.frombuffer(b"".join(answers.sort_by("shard")["logs"].to_pylist()), np.float32)[by]
+        for rows, n, hashed, place in kept:
+            values = logs[np.searchsorted(h, hashed)].astype(np.float64)[place]
+            nll[rows], scored[rows] = -np.add.reduceat(values, np.cumsum(n) - n), n
         return pa.table([*(table[c] for c in columns), pa.array(nll), pa.array(scored)], names=[*columns, "nll", "n_scored"])
 
+    blocks = -(-rows.select("_chunk").distinct().count() // block) or 1
     asked = rows.select("_chunk", F.col(text).alias("_text")).groupBy("_chunk").applyInArrow(ask, "_chunk long, shard int, grams binary")
-    asked = written(asked.withColumn("block", F.pmod(F.xxhash64("_chunk"), F.ceil(F.lit(_count(rows)) / block))), "questions")
-    blocks = asked.select("shard", "block").distinct()
-    parts = tables(model, shards).join(blocks, "shard").withColumnsRenamed({"shard": "of", "block": "at"})
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("_chunk"), F.lit(blocks)))
+    parts = tables(model, shards).withColumnRenamed("shard", "of").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     answers = asked.groupBy("shard", "block").cogroup(parts.groupBy("of", "at")).applyInArrow(answer, "_chunk long, shard int, logs binary")
     schema = docs.withColumns({"nll": F.lit(0.0), "n_scored": F.lit(0).cast("long")}).schema
     return rows.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(add_up, schema), name
 
 
-def _count(rows: DataFrame) -> int:
-    """The number of chunks, 1 at least."""
-    return max(1, rows.select("_chunk").distinct().count())
-
-
 def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int = 5, shards: int = 16, chunk_chars: int = 8_000_000, text: str = "text") -> DataFrame:
     """docs with nll (the summed negative logarithm) and n_scored (characters, and one for the end), which replace columns of
-    those names; 0 for null and empty texts. shards and chunk_chars bound what a task holds; they change no result."""
+    those names; 0 for null and empty texts. shards and chunk_chars bound what a task holds; they change no result. The rows read
+    a table of chunks, which common.remove_written() drops when they have been used."""
     return _score(docs, model, order, shards, chunk_chars, text)[0]
 
 
@@ -303,7 +318,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, low: float
     trusted = likely(base.select("doc", "text"), fitted, "doc").filter("text is not null").join(fitted, F.col("doc") == F.col("rep"))
     scored, chunk_table = _score(base, train(trusted, order), order, 16, 8_000_000, "text")
     scored = written(scored.drop("text"), "scored")
-    base.sparkSession.sql(f"DROP TABLE {chunk_table}")
+    base.sparkSession.sql(f"DROP TABLE IF EXISTS {chunk_table}")
     known = written(scored.join(ids.withColumnRenamed("rep", "doc"), "doc"), "known")
     mean = (F.sum("nll") / F.greatest(F.sum("n_scored"), F.lit(1))).alias("mean")
     x = (F.col("nll") + prior * F.col("mean")) / (F.col("n_scored") + prior)
