@@ -13,7 +13,8 @@ where they were written. So neither the driver nor any task holds the model or m
 
 A document's mean negative logarithm is shrunk towards the mean of its language by `prior` characters, so that short texts are
 not judged by a few characters. It passes if it lies between two quantiles of the trusted documents of its language: the upper
-one of those that were held out, the lower one of all. Both are moved away from the mean by `slack` of their distance.
+one of those that were held out, the lower one of all. Both are moved away from the mean by `slack` of their distance, which was
+chosen so that no held-out trusted document of the sample tables is lost.
 
 Defined cases: null and empty texts have 0 characters and take the mean of their language; a null language is a language of
 its own; a language without trusted documents takes the quantiles of all of them; without any trusted text every document
@@ -309,7 +310,7 @@ def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int = 5, s
     return _score(docs, model, order, shards, chunk_chars, text)[0]
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, low: float = 0.001, high: float = 0.999, slack: float = 1.0, prior: int = 50, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, low: float = 0.001, high: float = 0.999, slack: float = 0.25, prior: int = 50, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row for each row of docs: id, lang, n_scored, perplexity (a character), least and most (of its language), passes.
     trusted_ids: a DataFrame with the id of trusted documents."""
     base = docs.select(F.col(id).alias("doc"), F.col(text).alias("text"), F.col(lang).alias("lang"))
