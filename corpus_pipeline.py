@@ -25,11 +25,11 @@ LEAST_COSINE, LEAST_OF_SHORT = 4 / 1024**0.5, 0.02
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those that resemble no language: whose cosine is under LEAST_COSINE, or under half of
     the 1 % quantile of learned documents of that language and about as many letters (of all languages, if under 100 are)."""
-    found = language_id.predict(docs, language_id.learn(docs.filter(~language_id.held_out())))
     letters = F.char_length(F.regexp_replace("text", r"\P{L}+", ""))
     size = F.least(F.floor(F.log2(F.greatest(letters, F.lit(1)))), F.lit(12)).cast("int")
-    found = written(found.withColumn("_size", size), "languages")
-    known = found.filter(~language_id.held_out() & (F.col("lang") == F.col("lang_pred")))
+    found = language_id.predict(docs, language_id.learn(docs.filter(~language_id.held_out()))).withColumn("_size", size)
+    # texts are predicted again for the result, which takes less than keeping a copy of them on disk
+    known = written(found.filter(~language_id.held_out() & (F.col("lang") == F.col("lang_pred"))).select("lang_pred", "_size", "score"), "languages")
     low = F.percentile_approx("score", 0.01, 10_000)
     own = known.groupBy("lang_pred", "_size").agg(low.alias("_own"), F.count("*").alias("_n")).filter("_n >= 100").drop("_n")
     every = known.groupBy("_size").agg(low.alias("_every"))
