@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, licenses, mixing, quality, secret_scan, set_join, suffix_dedup, warc
+from . import chat_format, decontaminate, exact_dedup, language_id, licenses, mixing, quality, secret_scan, set_join, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,5 +167,24 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {"op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_licenses": op3_licenses, "op4_suffix_dedup": op4_suffix_dedup, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_language": op7_language, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_exact_dedup": op10_exact_dedup}
-SQL = {"op2_decontaminate": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op9_secrets": op9_sql(), "op5_warc": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation -1 holds the template's own control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.format_conversations(rows.unionByName(own)), in_order=True)
+
+
+OP11_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS shown, replace(regexp_replace(role, '<(\\*)(n?)\|', '<\\\1\2|', 'g'), chr(10), '<n|') AS named FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(named) + 1 + length(shown) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+QUERIES = {"op11_chat_format": op11_chat_format, "op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_licenses": op3_licenses, "op4_suffix_dedup": op4_suffix_dedup, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_language": op7_language, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_exact_dedup": op10_exact_dedup}
+SQL = {"op11_chat_format": OP11_SQL, "op2_decontaminate": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op9_secrets": op9_sql(), "op5_warc": OP5_SQL, "op10_exact_dedup": OP10_SQL}
