@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, licenses, mixing, quality, secret_scan, set_join, suffix_dedup, warc
+from . import chat_format, decontaminate, exact_dedup, language_id, licenses, mixing, prefix_trie, quality, secret_scan, set_join, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -186,5 +186,33 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-QUERIES = {"op11_chat_format": op11_chat_format, "op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_licenses": op3_licenses, "op4_suffix_dedup": op4_suffix_dedup, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_language": op7_language, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_exact_dedup": op10_exact_dedup}
-SQL = {"op11_chat_format": OP11_SQL, "op2_decontaminate": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op9_secrets": op9_sql(), "op5_warc": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("turn_of", "turn_at")
+
+
+def op13_sql() -> str:
+    """crc32 of decimal ids by its table of 256 numbers, itself made by eight steps for each."""
+    return r"""
+WITH RECURSIVE bits AS (SELECT i AS x, i AS v, 0 AS k FROM range(0, 256) t(i) UNION ALL SELECT x, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY x) AS t FROM bits WHERE k = 8),
+r AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, c - c % 20 AS b, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda a, s: xor(a >> 8, t[CAST(xor(a & 255, s) + 1 AS INTEGER)])), 4294967295) % 4 AS h
+  FROM (SELECT c, count(*) AS n FROM r GROUP BY c), crc),
+heads AS (SELECT ids.c, r.i AS d, r.role, r.text FROM ids JOIN r ON r.c = ids.b AND r.i <= ids.h), g AS (SELECT c, count(*) AS g FROM heads GROUP BY c),
+built AS (SELECT * FROM heads UNION ALL SELECT r.c, coalesce(g.g, 0) + r.i - ids.h, r.role, r.text FROM r JOIN ids USING (c) LEFT JOIN g USING (c) WHERE r.i > ids.h),
+steps AS (SELECT c, d, len(list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda w: w <> '')) AS words, sha256(string_agg(sha256(role) || sha256(text), '' ) OVER (PARTITION BY c ORDER BY d)) AS key FROM built
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+nodes AS (SELECT d, key, min(c) AS c, count(*) AS n, any_value(words) AS words FROM steps GROUP BY d, key),
+up AS (SELECT nodes.*, p.key AS parent_key, pn.c AS parent FROM nodes LEFT JOIN steps p ON p.c = nodes.c AND p.d = nodes.d - 1 LEFT JOIN nodes pn ON pn.d = p.d AND pn.key = p.key),
+kids AS (SELECT d - 1 AS d, parent_key AS key, count(*) AS n_children FROM up WHERE d > 0 GROUP BY ALL),
+flags AS (SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (d, key)),
+sums AS (SELECT a.d, a.key, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n - 1) * f.words) AS saved FROM flags f JOIN steps a ON a.c = f.c AND a.d <= f.d GROUP BY a.d, a.key),
+ends AS (SELECT d, key, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS e FROM (SELECT c, max(d) AS d, arg_max(key, d) AS key FROM steps GROUP BY c) GROUP BY d, key)
+SELECT c AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM flags JOIN sums USING (d, key) LEFT JOIN ends USING (d, key)
+"""
+
+
+QUERIES = {"op13_prefix_trie": op13_prefix_trie, "op11_chat_format": op11_chat_format, "op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_licenses": op3_licenses, "op4_suffix_dedup": op4_suffix_dedup, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_language": op7_language, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_exact_dedup": op10_exact_dedup}
+SQL = {"op13_prefix_trie": op13_sql(), "op11_chat_format": OP11_SQL, "op2_decontaminate": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op9_secrets": op9_sql(), "op5_warc": OP5_SQL, "op10_exact_dedup": OP10_SQL}
