@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, licenses, mixing, prefix_trie, quality, secret_scan, set_join, suffix_dedup, warc
+from . import chat_format, collocations, decontaminate, exact_dedup, language_id, licenses, mixing, prefix_trie, quality, secret_scan, set_join, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -186,6 +186,25 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), threshold=100, max_words=5, top=2000)
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM p, range(1, 6) t(size) WHERE len(w) >= size))
+  GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+cuts AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM f WHERE size >= 2),
+scored AS (SELECT c.lang, c.size, c.phrase, c.a, c.k, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score FROM cuts c JOIN totals USING (lang)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.lang = b.lang AND g.size > b.size AND 100 * g.f >= 100 * b.a AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept QUALIFY rank <= 2000
+"""
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("turn_of", "turn_at")
 
@@ -201,7 +220,8 @@ ids AS (SELECT c, c - c % 20 AS b, n, xor(list_reduce(list_prepend(4294967295::B
   FROM (SELECT c, count(*) AS n FROM r GROUP BY c), crc),
 heads AS (SELECT ids.c, r.i AS d, r.role, r.text FROM ids JOIN r ON r.c = ids.b AND r.i <= ids.h), g AS (SELECT c, count(*) AS g FROM heads GROUP BY c),
 built AS (SELECT * FROM heads UNION ALL SELECT r.c, coalesce(g.g, 0) + r.i - ids.h, r.role, r.text FROM r JOIN ids USING (c) LEFT JOIN g USING (c) WHERE r.i > ids.h),
-steps AS (SELECT c, d, len(list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda w: w <> '')) AS words, sha256(string_agg(sha256(role) || sha256(text), '' ) OVER (PARTITION BY c ORDER BY d)) AS key FROM built
+steps AS (SELECT c, d, len(list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda w: w <> '')) AS words, sha256(string_agg(sha256(role) || sha256(text), '' ) OVER (PARTITION BY c ORDER BY d)) AS key FROM built
   UNION ALL SELECT c, 0, 0, '' FROM ids),
 nodes AS (SELECT d, key, min(c) AS c, count(*) AS n, any_value(words) AS words FROM steps GROUP BY d, key),
 up AS (SELECT nodes.*, p.key AS parent_key, pn.c AS parent FROM nodes LEFT JOIN steps p ON p.c = nodes.c AND p.d = nodes.d - 1 LEFT JOIN nodes pn ON pn.d = p.d AND pn.key = p.key),
@@ -214,5 +234,5 @@ FROM flags JOIN sums USING (d, key) LEFT JOIN ends USING (d, key)
 """
 
 
-QUERIES = {"op13_prefix_trie": op13_prefix_trie, "op11_chat_format": op11_chat_format, "op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_licenses": op3_licenses, "op4_suffix_dedup": op4_suffix_dedup, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_language": op7_language, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_exact_dedup": op10_exact_dedup}
-SQL = {"op13_prefix_trie": op13_sql(), "op11_chat_format": OP11_SQL, "op2_decontaminate": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op9_secrets": op9_sql(), "op5_warc": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+QUERIES = {"op12_collocations": op12_collocations, "op13_prefix_trie": op13_prefix_trie, "op11_chat_format": op11_chat_format, "op1_mix": op1_mix, "op2_decontaminate": op2_decontaminate, "op3_licenses": op3_licenses, "op4_suffix_dedup": op4_suffix_dedup, "op5_warc": op5_warc, "op6_jaccard_join": op6_jaccard_join, "op7_language": op7_language, "op8_quality": op8_quality, "op9_secrets": op9_secrets, "op10_exact_dedup": op10_exact_dedup}
+SQL = {"op12_collocations": OP12_SQL, "op13_prefix_trie": op13_sql(), "op11_chat_format": OP11_SQL, "op2_decontaminate": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op6_jaccard_join": OP6_SQL, "op9_secrets": op9_sql(), "op5_warc": OP5_SQL, "op10_exact_dedup": OP10_SQL}
