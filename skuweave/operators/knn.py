@@ -1,14 +1,12 @@
-"""k nearest neighbours by cosine, exact and approximate.
+"""k nearest neighbours by cosine, exact (operators.vector_index has the approximate search).
 
-Exact: queries and catalog are cut into blocks inside their categories; each pair of blocks is one group of a cogroup,
+Queries and catalog are cut into blocks inside their categories; each pair of blocks is one group of a cogroup,
 multiplied as float matrices in Arrow batches, and gives the best k of each query; a window then ranks what the blocks gave.
 A block holds about block_rows vectors, so memory is bounded; a large category becomes many pairs of blocks.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,36 +90,3 @@ def catalog_knn(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig = Match
 def index_statistics(catalog: DataFrame) -> DataFrame:
     """Vectors and megabytes (four bytes a number) of each category."""
     return catalog.groupBy("category").agg(F.count("embedding").alias("vectors"), F.round(F.sum(F.size("embedding") * 4) / 1e6, 3).alias("mb"))
-
-
-@functools.cache
-def _planes(dims: int, n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dims, n))
-
-
-def approximate_knn(queries: DataFrame, catalog: DataFrame, k: int, bits: int = 4, tables: int = 20, seed: int = 5, block_rows: int = 4096) -> DataFrame:
-    """(q_id, c_id, cosine, rank) among rows that share the signs of `bits` random projections in one of `tables` tables, with
-    exact cosines. Every row is in the index; recall against knn_join rises with tables and falls with bits. Rows with equal
-    signs are multiplied in blocks, like those of a key in knn_join."""
-
-    def hashed(batches):
-        for batch in batches:
-            vectors, codes = batch.column(2), np.zeros((batch.num_rows, tables), np.int64)
-            size = np.diff(vectors.offsets.to_numpy())
-            for d in np.unique(size):
-                at = np.flatnonzero(size == d)
-                m = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
-                signs = ((m @ _planes(int(d), bits * tables, seed)) > 0).reshape(len(at), tables, bits)
-                codes[at] = signs @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * tables, pa.int32()), pa.array(codes.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["id", "key", "embedding", "codes"])
-
-    def coded(df: DataFrame) -> DataFrame:
-        df = usable(df).select("id", "key", "embedding")
-        out = df.mapInArrow(hashed, df.withColumn("codes", F.array().cast("array<bigint>")).schema).withColumn("code", F.explode("codes"))
-        return out.select("id", F.concat_ws(":", "code", "key").alias("key"), "embedding")
-
-    found = best(coded(queries.filter("key is not null")), coded(catalog.filter("key is not null")), k, -1.0, block_rows)
-    found = found.groupBy("q_id", "c_id").agg(F.max("cosine").alias("cosine"))  # pairs meet in several tables
-    rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("cosine"), "c_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)

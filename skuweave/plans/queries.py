@@ -12,7 +12,8 @@ from ..config import MatchConfig
 from ..functions import history as H
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import histories, knn, link, maintain, match, reports
+from ..operators import histories, knn, link, maintain, match, reports, vector_index
+from ..shared import new_path
 from ..sources import csv, ingest, snapshots
 from . import sql as S
 from .catalog import Catalog
@@ -672,8 +673,34 @@ def active_union(c: Catalog) -> DataFrame:
     return snapshots.info({"old": c.historical, "new": c.new})
 
 
+def _indexed(c: Catalog) -> tuple[vector_index.VectorIndex, DataFrame]:
+    """An index of all vectors, appended in two batches, and the queries: rows whose id is divisible by 20."""
+    rows = c.features.select(F.col("product_id").alias("id"), F.lit("").alias("key"), "embedding")
+    index = vector_index.VectorIndex(c.spark, new_path(c.spark, "vectors"))
+    index.fit(rows)
+    for part in (0, 1):
+        index.append(rows.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == part))
+    index.tune(rows)
+    return index, rows.filter("id % 20 = 0")
+
+
 @query()
 def approximate_knn_topk(c: Catalog) -> DataFrame:
-    """The ten nearest of all vectors, through signs of random projections; rows only."""
-    rows = c.features.select(F.col("product_id").alias("id"), F.lit("").alias("key"), "embedding")
-    return knn.approximate_knn(rows, rows, 10).select("q_id", "c_id", F.round("cosine", 6).alias("cosine"), "rank")
+    """The ten nearest of all vectors through the index; rows only, as SQL would find the exact ones."""
+    index, asked = _indexed(c)
+    return index.search(asked, 10).select("q_id", "c_id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query("SELECT count(*) AS queries, true AS recall_of_90_percent, true AS cosines_are_exact FROM embeddings WHERE vec_id % 20 = 0")
+def approximate_knn_recall(c: Catalog) -> DataFrame:
+    """What the index finds, held against the exact neighbours of the same queries."""
+    index, asked = _indexed(c)
+    found = index.search(asked, 10).select("q_id", "c_id", F.col("cosine").alias("found"))
+    exact = knn.knn_join(asked, c.features.select(F.col("product_id").alias("id"), F.lit("").alias("key"), "embedding"), 10)
+    both = exact.join(found, ["q_id", "c_id"], "left")
+    return both.agg(F.count_distinct("q_id").alias("queries"), (F.count("found") >= 0.9 * F.count("*")).alias("recall_of_90_percent"), F.every(F.coalesce(F.abs(F.col("found") - F.col("cosine")) < 1e-6, F.lit(True))).alias("cosines_are_exact"))
+
+
+@query("SELECT '' AS key, count(*) AS vectors, round(count(*) * 64 / 4 / 1e6, 3) AS code_mb, round(count(*) * 64 * 4 / 1e6, 3) AS vector_mb FROM embeddings")
+def vector_index_statistics(c: Catalog) -> DataFrame:
+    return _indexed(c)[0].statistics().drop("cells", "bins")
