@@ -40,7 +40,7 @@ TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c in (9, 32) else 10 if c in b"
 WORDS = bytes(32 if c == 10 else c for c in TABLE)
 CHUNK = 1 << 19  # bytes of text that are hashed together
 HELD = 1 << 22  # n-grams that a task collects before it makes summaries of them
-LEAST_PARTS, MOST_MASS, MOST_BITS = 64, 1 << 29, 30  # partitions, n-grams in one of them, bits of the bitmap
+LEAST_PARTS, MOST_PARTS, MASS, MOST_BITS = 64, 1 << 15, 1 << 26, 30  # partitions, n-grams for each of them, bits of the bitmap
 
 
 def n_grams(texts: list[bytes], salts: np.ndarray, max_words: int) -> tuple[bytes, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -204,7 +204,7 @@ def survivors(docs: DataFrame, threshold: int, max_words: int, parts: int, capac
 def bitmap(found: DataFrame, parts: int, bits: int) -> tuple[np.ndarray, int]:
     """The survivors as bits, and the number of a hash's first bits that tell its place."""
     n = found.agg(F.sum("n")).first()[0] or 0
-    wide = max(int(math.log2(parts)) + 3, min(bits, MOST_BITS, math.ceil(math.log2(16 * n + 1))))
+    wide = max(int(math.log2(parts)) + 3, min(bits, MOST_BITS, math.ceil(math.log2(256 * n + 1))))  # one in 256 others gets through
     within = wide - int(math.log2(parts))
     less = U(bits - int(math.log2(parts)) - within)
 
@@ -226,7 +226,7 @@ def frequencies(docs: DataFrame, threshold: int, max_words: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     mass = (docs.agg(F.sum((F.coalesce(F.octet_length("text"), F.lit(0)) + 1) / 2)).first()[0] or 0) * max_words
-    parts = max(LEAST_PARTS, 1 << math.ceil(math.log2(mass / MOST_MASS + 1)))
+    parts = min(MOST_PARTS, max(LEAST_PARTS, 1 << math.ceil(math.log2(mass / MASS + 1))))
     bits = min(63, max(32, math.ceil(math.log2(mass + 1)) + 1))
     capacity = math.ceil(2 * mass / parts / threshold) + 1000
     known, wide = bitmap(survivors(rows, threshold, max_words, parts, capacity, bits), parts, bits)
@@ -257,7 +257,7 @@ def frequencies(docs: DataFrame, threshold: int, max_words: int) -> DataFrame:
                         sizes[k] = c
                         text = b" ".join(joined[start[j] : end[j]] for j in range(i, i + size))
                         first[k] = (langs[int(np.searchsorted(ends, start[i], side="right"))], text.decode("utf-8", "replace"), size)
-            if len(sizes) > 1_000_000:
+            if len(sizes) > 500_000:
                 yield told()
                 sizes, totals, first = {}, {}, {}
         if totals:

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +19,7 @@ _own_folder: list[str] = []
 
 _written: list[str] = []
 _tables: list[str] = []
+_paths: dict[int, tuple] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,7 +45,32 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     tables, so they stay until remove_written()."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() has made, once all that was computed from them is written as well."""
+    for df in tables:
+        held, path = _paths.pop(id(df), (lambda: None, None))
+        if held() is df and path in _written:
+            _written.remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
+
+
+def slices(batch: pa.RecordBatch, column: int | str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about `most` bytes of text."""
+    if batch.num_rows:
+        at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
 
 
 def new_table(name: str) -> str:
@@ -50,10 +81,9 @@ def new_table(name: str) -> str:
 def remove_written(spark: SparkSession) -> int:
     """Deletes what this process has written to the shared folder, and its own tables (not an index that a caller has named);
     for the time when results have been used. The number of folders and tables."""
-    hadoop, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    n = 0
     while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += bool(path.getFileSystem(hadoop).delete(path, True))
+        n += _delete(spark, _written.pop())
     while _tables:
         n += spark.catalog.tableExists(_tables[-1])
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 CHUNK = 300_000  # characters of texts that are counted together
 SPACE = 32
 
@@ -76,7 +78,7 @@ class Encoder:
         else:
             kinds, at = np.unique(codes, return_inverse=True)
         out = np.zeros((n, self.dims), np.float32)
-        step = max(1, 8_000_000 // max(n, self.dims))  # trigrams whose vectors and counts are held at once
+        step = max(1, 2_000_000 // max(n, self.dims))  # trigrams whose vectors and counts are held at once
         for a in range(0, len(kinds), step):
             part = kinds[a : a + step]
             here = (at >= a) & (at < a + step) if len(kinds) > step else slice(None)
@@ -110,7 +112,7 @@ def learn(docs: DataFrame, dims: int = 1024, seed: int = 11, max_languages: int
 
     def run(batches):
         encoder, sums = Encoder(dims, seed), {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             langs = batch.column(1).to_pylist()
             names = sorted(set(langs))
             number = {x: i for i, x in enumerate(names)}
@@ -133,16 +135,18 @@ def learn(docs: DataFrame, dims: int = 1024, seed: int = 11, max_languages: int
     return dict(sorted(out.items()))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 11, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (the cosine, 0 at least), which replace columns of those names."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 11, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with lang_pred and score (the cosine, 0 at least), which replace columns of those names. keep_text: whether the
+    text is among the columns of the result."""
     docs = docs.drop("lang_pred", "score")
+    kept = [c for c in docs.columns if keep_text or c != text]
     names = list(prototypes)
     dims = len(prototypes[names[0]]) if names else 1
     table = docs.sparkSession.sparkContext.broadcast(np.array([prototypes[x] for x in names], np.float32).reshape(-1, dims))
 
     def run(batches):
         encoder, langs = Encoder(dims, seed), table.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             pred, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             for at, got in _chunks(batch.column(text).to_pylist() if names else [], encoder):
                 sums = encoder.sums(got, list(range(len(got))), len(got))
@@ -150,9 +154,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 11,
                 best = cosines.argmax(1)
                 for i, b, c in zip(at, best, cosines.max(1), strict=True):
                     pred[i], score[i] = names[b], min(1.0, max(0.0, float(c)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(pred), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema)
+    return docs.mapInArrow(run, docs.select(*(F.col(f"`{c}`") for c in kept), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
 
 
 def held_out(id: str = "doc_id"):

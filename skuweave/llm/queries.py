@@ -153,7 +153,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prototypes = language_id.learn(docs.filter(~language_id.held_out()))
-    found = language_id.predict(docs.select("doc_id", "text"), prototypes)
+    found = language_id.predict(docs.select("doc_id", "text"), prototypes, keep_text=False)
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, lookup, without, written
+from .common import forget, likely, lookup, slices, without, written
 
 #: A-Z to a-z, white space to a space.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
@@ -132,7 +132,7 @@ def profiles(docs: DataFrame, k: int, percent: int, share: float, id: str = "doc
     limit = U(min(int(share * 2**64), 2**64 - 1))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, 4 << 20)):
             n, a, b, firsts, tokens = [], [], [], [], []
             for s in sets_of(batch.column(1).cast(pa.large_binary()).to_pylist(), k):
                 first = int(np.searchsorted(s, limit))
@@ -278,6 +278,7 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node that links reach."""
     pairs = written(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
     label = written(pairs.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("c")).select(F.col("src").alias("node"), "c"), "label")
+    last = None
     for _ in range(most_rounds):
         seen = pairs.join(label, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("c").alias("near"))
         hooked = label.join(seen, F.col("node") == F.col("src")).select("node", "c", F.least("c", "near").alias("d"))
@@ -286,10 +287,11 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         better = hooked.join(roots, F.col("node") == F.col("root"), "left").select("node", "c", F.least("d", F.coalesce("low", "d")).alias("d"))
         better = written(better, "better")
         jump = better.select(F.col("node").alias("up"), F.col("d").alias("top"))
-        after = better.join(jump, F.col("d") == F.col("up")).select("node", "c", F.col("top").alias("d"))
-        after = written(after, "after")
-        label = after.select("node", F.col("d").alias("c"))
+        after = written(better.join(jump, F.col("d") == F.col("up")).select("node", "c", F.col("top").alias("d")), "after")
+        forget(hooked, better, label if last is None else last)
+        label, last = after.select("node", F.col("d").alias("c")), after
         if after.filter("c <> d").isEmpty():
+            forget(pairs)
             return label.withColumnRenamed("c", "component")
     raise RuntimeError("the components did not settle")
 
@@ -312,14 +314,24 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, share: float | None = N
 
 def _joined(base: DataFrame, k: int, percent: int, share: float, most_sets: int, most_tokens: int, id: str, text: str) -> DataFrame:
     """join() of documents whose ids differ."""
-    rows = written(profiles(base, k, percent, share, id, text), "profiles")
-    grouped = rows.filter("n > 0").groupBy("set_a", "set_b").agg(F.min(id).alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("n_first").alias("n_first"), F.any_value("tokens").alias("tokens"))
-    classes = written(grouped, "classes")
-    index = written(entries(classes.filter("rep is not null"), percent), "index")
+    full = written(profiles(base, k, percent, share, id, text), "profiles")
+    rows = written(full.select(id, "n", "set_a", "set_b"), "sets")
+    classes = rows.filter("n > 0").groupBy("set_a", "set_b").agg(F.min(id).alias("rep"), F.count("*").alias("copies"))
+    classes = written(classes, "classes")
+    # tokens stay where they are but for those of documents that may be copies
+    others = rows.filter("n > 0").join(classes.select(F.col("rep").alias(id)), id, "left_anti").select(F.col(id).alias("rep"))
+    firsts = without(full.filter(F.col(id).isNotNull() & (F.col("n") > 0)), written(others, "copies"), id)
+    index = written(entries(firsts.withColumnRenamed(id, "rep"), percent), "index")
+    forget(full)
     members = written(memberships(index, percent), "members")
+    forget(index)
     pieces = written(tasks(members, percent, most_sets, most_tokens), "pieces")
+    forget(members)
     texts = likely(base, pieces.select("rep").distinct(), id).select(F.col(id).alias("rep"), F.col(text).alias("text"))
-    found = components(written(edges(pieces, texts, k, percent), "edges"))
+    links = written(edges(pieces, texts, k, percent), "edges")
+    forget(pieces)
+    found = components(links)
+    forget(links)
     named = classes.select("set_a", "set_b", "rep", "copies").join(found, F.col("rep") == F.col("node"), "left")
     named = named.select(F.struct("set_a", "set_b").alias("set"), F.coalesce("component", "rep").alias("c"), "copies")
     rows = rows.select(id, F.col("n").alias("n_shingles"), F.struct("set_a", "set_b").alias("set"))
