@@ -29,45 +29,54 @@ def usable(df: DataFrame) -> DataFrame:
     return df.filter(feature_error(F.col("embedding")).isNull())
 
 
+def block_pairs(a: DataFrame, b: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides (id, key and further columns) with key, q_block and c_block, a row for each pair of blocks that it is part of.
+    Keys that only one side has are gone."""
+    a, b = _blocks(a, block_rows), _blocks(b, block_rows)
+    na, nb = a.select("key", F.col("blocks").alias("na")).distinct(), b.select("key", F.col("blocks").alias("nb")).distinct()
+    left = a.withColumnRenamed("block", "q_block").join(nb, "key").withColumn("c_block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    right = b.withColumnRenamed("block", "c_block").join(na, "key").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
+    right = right.drop("blocks", "na")
+    return left.drop("blocks", "nb"), right.select(*(F.col(c).alias(c) for c in right.columns))  # names of its own, if both are one table
+
+
+def matrix_of(t: pa.Table, column: str) -> np.ndarray:
+    return t[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+
+
 def best(queries: DataFrame, catalog: DataFrame, k: int, least_cosine: float = -1.0, block_rows: int = 4096) -> DataFrame:
-    """(q_id, c_id, cosine, usable): the best k of each query in each block of its key. Vectors meet only those of the same
-    length. usable: whether neither vector is zero; a zero vector has cosine 0 with all."""
+    """(q_id, c_id, cosine, usable): the best k of each query in each block of its key, all if k is 0. Vectors meet only those of
+    the same length. usable: whether neither vector is zero; a zero vector has cosine 0 with all."""
     long = lambda df: usable(df).select("id", F.struct("key", F.size("embedding").alias("dims")).alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
-    a, b = _blocks(long(queries), block_rows), _blocks(long(catalog), block_rows)
-    na, nb = a.select("key", F.col("blocks").alias("na")).distinct(), b.select("key", F.col("blocks").alias("nb")).distinct()
-    left = a.join(nb, "key").withColumn("c_block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    left = left.select("key", F.col("block").alias("q_block"), "c_block", "id", "embedding")
-    right = b.join(na, "key").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
-    right = right.select(F.col("key").alias("r_key"), F.col("q_block").alias("r_q"), F.col("block").alias("r_c"), F.col("id").alias("c_id"), F.col("embedding").alias("vector"))
-
-    def matrix(t: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-        lists = t[column].combine_chunks()
-        m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+    left, right = block_pairs(long(queries), long(catalog), block_rows)
+
+    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        m = matrix_of(t, "embedding")
         size = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(size > 0, size, 1), size[:, 0] > 0
 
     def found(q: pa.Table, c: pa.Table) -> pa.Table:
         out = []
         if q.num_rows and c.num_rows:
-            qi, ci = q["id"].to_numpy(), c["c_id"].to_numpy()
+            qi, ci = q["id"].to_numpy(), c["id"].to_numpy()
             order = np.argsort(ci)
-            (qm, q_fine), (cm, c_fine) = matrix(q, "embedding"), matrix(c, "vector")
+            (qm, q_fine), (cm, c_fine) = matrix(q), matrix(c)
             ci, cm, c_fine = ci[order], cm[order], c_fine[order]
             scores = np.clip(np.round(qm @ cm.T, 12), -1, 1)  # equal vectors get equal scores wherever they stand
             scores[qi[:, None] == ci[None, :]] = -np.inf
             scores[scores < least_cosine] = -np.inf
             for i in range(len(qi)):
                 row = scores[i]
-                edge = np.partition(row, -k)[-k] if k < len(row) else -np.inf
+                edge = np.partition(row, -k)[-k] if 0 < k < len(row) else -np.inf
                 at = np.flatnonzero((row >= edge) & (row > -np.inf))
-                at = at[np.argsort(-row[at], kind="stable")][:k]
+                at = at[np.argsort(-row[at], kind="stable")][: k or None]
                 out.append((np.full(len(at), qi[i]), ci[at], row[at], c_fine[at] & q_fine[i]))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[]] * 4
         kinds = {"q_id": pa.int64(), "c_id": pa.int64(), "cosine": pa.float64(), "usable": pa.bool_()}
         return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), cols, strict=True)})
 
     key = ["key", "q_block", "c_block"]
-    return left.groupBy(*key).cogroup(right.groupBy("r_key", "r_q", "r_c")).applyInArrow(found, "q_id long, c_id long, cosine double, usable boolean")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(found, "q_id long, c_id long, cosine double, usable boolean")
 
 
 def knn_join(queries: DataFrame, catalog: DataFrame, k: int, least_cosine: float = -1.0, block_rows: int = 4096) -> DataFrame:

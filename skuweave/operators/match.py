@@ -18,8 +18,8 @@ from ..config import MatchConfig
 from ..functions import text as T
 from ..functions import vectors as V
 from ..shared import written
-from . import knn
-from .candidates import keyed_catalog, keyed_queries, prefixed
+from . import bounds, kernels, knn
+from .candidates import NONE, keyed_catalog, keyed_queries, prefixed
 
 CANDIDATE = ["image_path", "category", "product_name", "sku", "created_at"]
 PAIRS_PER_TASK = 400_000  # about; decides the partitions of the queries, not results
@@ -46,9 +46,9 @@ def prepared(rows: DataFrame) -> DataFrame:
     return written(rows.select("id", *CANDIDATE, *(F.col(c).cast("double").alias(c) for c in ("price", "sales")), *(x.alias(c) for c, x in cleaned.items())), "products")
 
 
-def metadata_pairs(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Candidate pairs of prepared() products with name_score, in narrow rows: ids and what scores need. keep: further catalog
-    columns to carry. Queries are dealt by id into so many partitions that a task scores about PAIRS_PER_TASK pairs, also
+def _met(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Narrow rows of queries (q_*) and catalog (c_*) with their keys, and the scores of all pairs of distinct cleaned names,
+    where these are few. Queries are dealt by id into so many partitions that a task scores about PAIRS_PER_TASK pairs, also
     where the catalog is small enough to be broadcast."""
     need = ["id", "category", "clean", "nsku", "ncategory", "price", "sales"]
     left = prefixed(keyed_queries(queries.select(need), catalog, cfg).drop("category"), "q_")
@@ -58,16 +58,39 @@ def metadata_pairs(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig, kee
     few = few if cfg.distinct_names is None else cfg.distinct_names
     left = left.repartition(max(1, -(-pairs // PAIRS_PER_TASK)), "q_id")
     if not few:
-        score = T.cleaned_name_similarity(F.col("q_clean"), F.col("c_clean"))
-        return left.join(right, "key").filter("q_id <> c_id").withColumn("name_score", score).drop("q_clean", "c_clean")
+        return left, right, None
     blank = F.lit("\x00")
     left, right = left.withColumn("q_clean", F.coalesce("q_clean", blank)), right.withColumn("c_clean", F.coalesce("c_clean", blank))
     names = left.select("key", "q_clean").distinct().join(right.select("key", "c_clean").distinct(), "key")
     bare = lambda c: F.when(F.col(c) != blank, F.col(c))
     names = written(names.withColumn("name_score", T.cleaned_name_similarity(bare("q_clean"), bare("c_clean"))), "names")
+    return left, right, names
+
+
+def _paired(left: DataFrame, right: DataFrame, names: DataFrame | None) -> DataFrame:
+    if names is None:
+        score = T.cleaned_name_similarity(F.col("q_clean"), F.col("c_clean"))
+        return left.join(right, "key").filter("q_id <> c_id").withColumn("name_score", score).drop("q_clean", "c_clean")
     return left.join(names, ["key", "q_clean"]).join(right, ["key", "c_clean"]).filter("q_id <> c_id").drop("q_clean", "c_clean")
 
 
+def metadata_pairs(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All candidate pairs of prepared() products with name_score, in narrow rows: ids and what scores need. keep: further
+    catalog columns to carry."""
+    return _paired(*_met(queries, catalog, cfg, keep))
+
+
+def metadata_best(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, bounds.Pruned | None]:
+    """The best candidates of prepared() queries, and what was pruned: with a limit or a threshold, and where names are
+    few, pairs are formed only where their bounds allow (operators.bounds)."""
+    left, right, names = _met(queries, catalog, cfg)
+    rank = lambda scored: top(scored, cfg.threshold, cfg.limit)
+    if names is None or not (cfg.limit or cfg.threshold):
+        return rank(metadata_scored(_paired(left, right, names), cfg)), None
+    pruned = bounds.Pruned(left, right, names, cfg, metadata_scored)
+    return pruned.best(rank), pruned
+
+
 def metadata_scored(pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
     """Pairs with the five scores and similarity_score. Cheap scores come first: a pair that could not reach the threshold
     even with the best SKU and name is dropped before its SKUs are compared."""
@@ -112,7 +135,7 @@ def metadata_matches(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig =
     """The metadata mode, for any number of queries at once. Pairs are scored once, in narrow rows; the candidates' columns
     join what the ranking leaves."""
     catalog = prepared(catalog)
-    best = top(metadata_scored(metadata_pairs(prepared(queries), catalog, cfg), cfg), cfg.threshold, cfg.limit)
+    best, _ = metadata_best(prepared(queries), catalog, cfg)
     best = best.select("q_id", "c_id", "rank", "similarity_score", *METADATA_SCORES, *(F.lit(0.0).alias(c) for c in VISUAL_SCORES))
     shown = prefixed(catalog.select("id", *CANDIDATE, "price", "sales"), "c_")
     out = record(best.join(shown, "c_id"), [*METADATA_SCORES, *VISUAL_SCORES], "metadata", "c_price", "c_sales")
@@ -145,17 +168,25 @@ def penalized(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
     return scored.withColumn("similarity_score", F.when(bare, F.col("raw_score") * cfg.uncategorized_factor).otherwise(F.col("raw_score")))
 
 
+def _split(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, DataFrame]:
+    """Both sides with keys that tell rows without any category from those whose category means none: only the former lose a
+    part of their score, so that the best of each key hold the best of all."""
+    named = (F.col("key") == NONE) & (F.coalesce("category", F.lit("")) != "")
+    keys = F.when(F.col("key") == NONE, F.array("key", F.concat("key", F.lit("named")))).otherwise(F.array("key"))
+    left = keyed_queries(queries, catalog, cfg).withColumn("key", F.explode(keys))
+    return left, keyed_catalog(catalog).withColumn("key", F.when(named, F.concat("key", F.lit("named"))).otherwise(F.col("key")))
+
+
 def visual_matches(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig(), embeddings: bool = True) -> DataFrame:
-    """The visual mode over columns embedding, or color, shape and texture; rows with bad vectors are not candidates. With a
-    limit, embeddings are multiplied in blocks: candidates of one key lose the same part of their score, so the best of each
-    key hold the best of all."""
-    if not embeddings or not cfg.limit:
-        scored = (embedding_scored if embeddings else visual_scored)(candidate_pairs(queries, catalog, cfg), cfg).filter("error_code is null")
-        return record(top(penalized(scored, cfg), cfg.floor, cfg.limit), VISUAL_SCORES, "visual")
-    near = knn.best(keyed_queries(queries, catalog, cfg), keyed_catalog(catalog), cfg.limit)
-    pairs = near.join(prefixed(catalog.select("id", *CANDIDATE), "c_"), "c_id").withColumn("raw_score", V.scaled(F.when(F.col("usable"), F.col("cosine")), cfg.score_scale))
-    scored = pairs.withColumns({c: F.col("raw_score") for c in VISUAL_SCORES})
-    return record(top(penalized(scored, cfg), cfg.floor, cfg.limit), VISUAL_SCORES, "visual")
+    """The visual mode over columns embedding, or color, shape and texture, scored in blocks (operators.knn and operators.kernels);
+    rows with bad vectors are not candidates."""
+    left, right = _split(queries, catalog, cfg)
+    near = knn.best(left, right, cfg.limit) if embeddings else kernels.best(left, right, cfg.limit, cfg.feature_weights)
+    pairs = near.join(prefixed(catalog.select("id", *CANDIDATE), "c_"), "c_id")
+    if embeddings:
+        pairs = pairs.withColumn("raw_score", V.scaled(F.when(F.col("usable"), F.col("cosine")), cfg.score_scale))
+        pairs = pairs.withColumns({c: F.col("raw_score") for c in VISUAL_SCORES})
+    return record(top(penalized(pairs, cfg), cfg.floor, cfg.limit), VISUAL_SCORES, "visual")
 
 
 def hybrid_merged(visual: DataFrame, metadata: DataFrame, cfg: MatchConfig, floor: float) -> DataFrame:

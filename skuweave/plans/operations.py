@@ -18,7 +18,7 @@ from ..sources import csv, ingest, sinks, snapshots
 from ..streaming.arrivals import match_arrivals
 from . import sql as S
 from .catalog import Catalog
-from .queries import AS_OF, FIRST, HYBRID, LINES, M10, TOP, _images, _lines, _matches, _rows, query, v
+from .queries import AS_OF, COLOR, FIRST, HISTS, HYBRID, LINES, M10, SHAPE, TEXTURE, TOP, _images, _lines, _matches, _rows, query, v
 
 NOW = datetime.datetime(2024, 6, 15, tzinfo=datetime.timezone.utc)
 
@@ -226,6 +226,13 @@ def metadata_match_threshold(c: Catalog) -> DataFrame:
     return found.select("new_product_id", "matched_product_id", "rank", F.round("similarity_score", 6).alias("similarity_score"))
 
 
+@query(v("SELECT q_id AS new_product_id, c_id AS matched_product_id, CAST(rank AS INTEGER) AS rank, round(similarity_score, 6) AS similarity_score FROM metadata_ranked WHERE rank <= 10", S.METADATA))
+def metadata_match_pruned(c: Catalog) -> DataFrame:
+    """The best ten with bounds before pairs, whatever the number of distinct names."""
+    found = match.metadata_matches(c.with_latest(c.new), c.with_latest(c.historical), MatchConfig(limit=10, distinct_names=True))
+    return found.select("new_product_id", "matched_product_id", "rank", F.round("similarity_score", 6).alias("similarity_score"))
+
+
 RECORDS = """, r AS (SELECT * FROM metadata_ranked WHERE rank <= 10)
 SELECT q_id AS new_product_id, c_id AS matched_product_id, CAST(rank AS INTEGER) AS rank, round(sku_score, 6) AS sku_score, round(name_score, 6) AS name_score, round(category_score, 6) AS category_score, round(price_score, 6) AS price_score, round(performance_score, 6) AS performance_score,
 CAST(0 AS DOUBLE) AS color_score, '[METADATA_ONLY]' AS image_path, c_category AS category, c_name AS product_name, c_sku AS sku, similarity_score > 90 AS is_potential_duplicate, coalesce(c_category, '') = '' AS is_uncategorized,
@@ -244,6 +251,16 @@ def visual_index_scores(c: Catalog) -> DataFrame:
     return knn.catalog_knn(c.with_features(c.new), c.with_features(c.historical), TOP).select("q_id", "c_id", F.round("score", 6).alias("score"))
 
 
+LEGACY = f"""{HISTS}, legacy AS (SELECT q_id, c_id, qv, cv, (0.5 * {COLOR} + 0.3 * {SHAPE} + 0.2 * {TEXTURE}) * (SELECT CASE WHEN coalesce(category, '') = '' THEN 0.9 ELSE 1.0 END FROM products WHERE id = c_id) AS score FROM hists)"""
+
+
+@query(v("SELECT q_id AS new_product_id, c_id AS matched_product_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS similarity_score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, c_id) AS rank FROM legacy WHERE score >= 30) WHERE rank <= 10", S.VECTORS, LEGACY))
+def descriptor_match_topk(c: Catalog) -> DataFrame:
+    """The visual mode over colour, shape and texture."""
+    found = match.visual_matches(c.with_features(c.new), c.with_features(c.historical), TOP, embeddings=False)
+    return found.select("new_product_id", "matched_product_id", "rank", F.round("similarity_score", 6).alias("similarity_score"))
+
+
 def _sides(c: Catalog) -> list[DataFrame]:
     return [c.with_latest(p).join(c.described.withColumnRenamed("product_id", "id"), "id", "left") for p in (c.new, c.historical)]
 

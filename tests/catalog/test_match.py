@@ -4,9 +4,8 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from __spark_entry__ import queries
 from skuweave.config import MatchConfig
-from skuweave.operators import knn, match
+from skuweave.operators import kernels, knn, match
 from skuweave.plans.catalog import Catalog
 
 from .plain import metadata
@@ -91,5 +90,51 @@ def test_knn_leaves_out_unusable_vectors(spark):
 
 def test_candidate_pairs_are_joined_once(spark):
     catalog, new = spark.createDataFrame(rows(60, 1), SCHEMA), spark.createDataFrame(rows(40, 2, 1000), SCHEMA)
-    plan = match.metadata_matches(new, catalog)._jdf.queryExecution().optimizedPlan().toString()
+    plan = match.metadata_matches(new, catalog, MatchConfig(distinct_names=False))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1
+
+
+def test_bounds_leave_out_no_match(spark):
+    """Odd prices, sales and SKUs; limits and thresholds; against all pairs."""
+    rnd = random.Random(9)
+    odd = lambda n, first: [(*r[:5], r[5], r[6], rnd.choice([None, -1.0, 0.0, 9.5, 10.0, 11.0, float("nan")]), rnd.choice([None, 0, -4, -8, 5, 50])) for r in rows(n, first, first)]
+    catalog, new = spark.createDataFrame(odd(150, 1), SCHEMA), spark.createDataFrame(odd(40, 1000), SCHEMA)
+    for kind in ({"limit": 3}, {"limit": 10, "threshold": 55.0}, {"limit": 0, "threshold": 70.0}, {"limit": 5, "match_against_all": True}):
+        got = [sorted(tuple(r) for r in match.metadata_matches(new, catalog, MatchConfig(distinct_names=d, **kind)).select("new_product_id", "matched_product_id", "rank", "similarity_score").collect()) for d in (True, False)]
+        assert got[0] == got[1]
+
+
+def test_fewer_pairs_are_formed(spark):
+    c = Catalog(spark, "/root/testdata/sf0.1")
+    sides = [match.prepared(c.with_latest(p)) for p in (c.new.filter("id % 100 = 0"), c.historical)]
+    best, pruned = match.metadata_best(*sides, MatchConfig(limit=10))
+    report = pruned.report().first()
+    assert report.pairs >= 5 * report.formed >= 5 * report.seeded > 0 and best.count() == 10 * sides[0].count()
+
+
+def described(spark, n, start, seed):
+    rng = np.random.default_rng(seed)
+    odd = lambda i, m: [None, [], [float("nan")] * m, [0.0] * m][i % 4] if i % 11 == 0 else rng.random(m if i % 13 else m + 1).tolist()
+    return spark.createDataFrame([(*r, odd(i, 12), rng.standard_normal(7).tolist(), odd(i + 5, 12)) for i, r in enumerate(rows(n, seed, start))], SCHEMA + ", color array<double>, shape array<double>, texture array<double>")
+
+
+@pytest.mark.parametrize("limit", [0, 4])
+def test_descriptor_blocks_equal_all_pairs(spark, limit):
+    catalog, new = described(spark, 120, 0, 3), described(spark, 50, 1000, 4)
+    cfg = MatchConfig(limit=limit, min_threshold=20)
+    scored = match.visual_scored(match.candidate_pairs(new, catalog, cfg), cfg).filter("error_code is null")
+    want = {(r.q_id, r.c_id): r.similarity_score for r in match.top(match.penalized(scored, cfg), cfg.floor, cfg.limit).collect()}
+    got = {(r.new_product_id, r.matched_product_id): r.similarity_score for r in match.visual_matches(new, catalog, cfg, embeddings=False).collect()}
+    assert got == pytest.approx(want) and want
+    if limit:
+        few = kernels.best(*match._split(new, catalog, cfg), limit, block_rows=1000)
+        assert few.agg({"asked": "avg"}).first()[0] < 0.8 * catalog.count() / 3
+
+
+def test_categories_that_mean_none_are_not_penalized(spark):
+    """A row without category loses a tenth; one whose category is `n/a` shares its key and does not."""
+    vector = lambda x: [float(x), 1.0]
+    catalog = spark.createDataFrame([(i, "", None if i < 5 else "n/a", "x", "s", True, None, vector(2 if i < 5 else 2.1)) for i in range(10)], SCHEMA.split(", price")[0] + ", embedding array<double>")
+    new = spark.createDataFrame([(100, "", "mugs", "x", "s", False, None, vector(2))], catalog.schema)
+    got = match.visual_matches(new, catalog, MatchConfig(limit=5)).collect()
+    assert {r.matched_product_id for r in got} == {5, 6, 7, 8, 9}
