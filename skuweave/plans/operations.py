@@ -269,7 +269,12 @@ MODES = """SELECT q_id AS new_product_id, c_id AS matched_product_id, CAST(rank
 FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, c_id) AS rank FROM hybrid WHERE s >= 30 AND q_id IN (SELECT product_id FROM features)) WHERE rank <= 10"""
 
 
-@query(v(f"{MODES} UNION ALL SELECT q_id, c_id, CAST(rank AS INTEGER), round(similarity_score, 6), 'metadata' FROM metadata_ranked WHERE rank <= 10 AND q_id NOT IN (SELECT product_id FROM features)", S.METADATA, S.VECTORS, HYBRID))
+#: Both ranked tables are used twice; with these words they are computed once.
+ONCE = [x.replace("metadata_ranked AS (", "metadata_ranked AS MATERIALIZED (").replace("hybrid AS (", "hybrid AS MATERIALIZED (").replace("visual_all AS (", "visual_all AS MATERIALIZED (") for x in (S.METADATA, S.VECTORS, HYBRID)]
+
+
+@query(v(f"""{MODES.replace("q_id IN (SELECT product_id FROM features)", "EXISTS (SELECT 1 FROM features f WHERE f.product_id = q_id)")}
+UNION ALL SELECT q_id, c_id, CAST(rank AS INTEGER), round(similarity_score, 6), 'metadata' FROM metadata_ranked WHERE rank <= 10 AND NOT EXISTS (SELECT 1 FROM features f WHERE f.product_id = q_id)""", *ONCE))
 def match_by_features(c: Catalog) -> DataFrame:
     """Products with vectors are matched by hybrid, the others by metadata."""
     found, _, _ = match.match(*_sides(c), TOP)
