@@ -51,7 +51,7 @@ def last_rows(history: DataFrame, n: int = KEEP) -> DataFrame:
     return history.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def _trend(now: Column, before: Column, margin: float) -> Column:
+def trend(now: Column, before: Column, margin: float) -> Column:
     return F.when(now > before * (1 + margin), "up").when(now < before * (1 - margin), "down").otherwise("stable")
 
 
@@ -64,7 +64,7 @@ def price_statistics(prices: DataFrame) -> DataFrame:
     )
     return out.select(
         "product_id", F.round("lo", 2).alias("min_price"), F.round("hi", 2).alias("max_price"), half_up(F.col("mean"), 2).alias("average_price"),
-        F.round("now.price", 2).alias("current_price"), _trend(F.col("now.price"), F.col("now.before"), 0.05).alias("trend"), "data_points",
+        F.round("now.price", 2).alias("current_price"), trend(F.col("now.price"), F.col("now.before"), 0.05).alias("trend"), "data_points",
     )
 
 
@@ -78,8 +78,8 @@ def performance_statistics(performance: DataFrame) -> DataFrame:
     return out.select(
         "product_id", "total_sales", "total_views", F.round("revenue", 2).alias("total_revenue"), F.round("rate", 2).alias("avg_conversion"),
         F.round(F.col("total_sales") / F.col("data_points"), 1).alias("avg_sales_per_period"),
-        _trend(F.col("now.sales"), F.col("now.sales_before"), 0.1).alias("sales_trend"),
-        _trend(F.col("now.conversion_rate"), F.col("now.rate_before"), 0.05).alias("conversion_trend"), "data_points",
+        trend(F.col("now.sales"), F.col("now.sales_before"), 0.1).alias("sales_trend"),
+        trend(F.col("now.conversion_rate"), F.col("now.rate_before"), 0.05).alias("conversion_trend"), "data_points",
     )
 
 

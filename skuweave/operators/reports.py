@@ -133,7 +133,8 @@ def search(products: DataFrame, query: str, fields: tuple[str, ...] = ("product_
 
 
 def ranked_search(products: DataFrame, latest_prices: DataFrame, query: str, limit: int = 100) -> DataFrame:
-    """Hits in the name first, then in the SKU, then in the category; with the latest price."""
+    """Hits in the name first, then in the SKU, then in the category; with the latest price. products may be the hits of an
+    index (operators.search_index)."""
     hits = products.filter(_holds(["product_name", "sku", "category"], query))
     rank = F.when(_holds(["product_name"], query), 0).when(_holds(["sku"], query), 1).otherwise(2)
     best = hits.withColumn("search_rank", rank).orderBy("search_rank", F.asc_nulls_first("product_name"), "id").limit(limit)

@@ -12,7 +12,7 @@ from ..config import MatchConfig
 from ..functions import history as H
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import histories, knn, link, maintain, match, reports, vector_index
+from ..operators import histories, history_state, knn, link, maintain, match, reports, search_index, vector_index
 from ..shared import new_path
 from ..sources import csv, ingest, snapshots
 from . import sql as S
@@ -263,6 +263,29 @@ def performance_statistics(c: Catalog) -> DataFrame:
     return histories.performance_statistics(c.performance_history)
 
 
+def _state(c: Catalog, kind: str, rows: DataFrame) -> history_state.HistoryState:
+    """Histories merged in three batches by month, one of them twice."""
+    state = history_state.HistoryState(c.spark, new_path(c.spark, f"{kind}-state"), kind, 4)
+    for batch in (0, 1, 2, 1):
+        state.merge(rows.filter(F.month("date") % 3 == batch), f"batch-{batch}")
+    return state
+
+
+@query(v("SELECT * FROM price_stats", STATS))
+def merged_price_statistics(c: Catalog) -> DataFrame:
+    return _state(c, "price", c.price_history).statistics()
+
+
+@query(v("SELECT * FROM sales_stats", STATS))
+def merged_performance_statistics(c: Catalog) -> DataFrame:
+    return _state(c, "performance", c.performance_history).statistics()
+
+
+@query(v("SELECT * FROM latest_price"), dated=True)
+def merged_latest_price(c: Catalog) -> DataFrame:
+    return _state(c, "price", c.price_history).latest()
+
+
 @query(v("SELECT m.new_product_id, m.matched_product_id, round(similarity_score, 6) AS similarity_score, CASE WHEN similarity_score > 95 THEN 'Very likely duplicate' ELSE 'Possible duplicate' END AS recommendation, p.current_price, p.trend AS price_trend, s.total_sales, s.sales_trend FROM m LEFT JOIN price_stats p ON p.product_id = m.matched_product_id LEFT JOIN sales_stats s ON s.product_id = m.matched_product_id WHERE similarity_score > 90", S.METADATA, M10, STATS))
 def duplicate_report(c: Catalog) -> DataFrame:
     got = reports.duplicate_report(_matches(c), histories.price_statistics(c.price_history), histories.performance_statistics(c.performance_history))
@@ -590,6 +613,25 @@ def search_products(c: Catalog) -> DataFrame:
     return reports.search(c.products, "Red").select("id", "product_name", "sku", "category")
 
 
+def _search_index(c: Catalog) -> search_index.SearchIndex:
+    """All products under other names, then, as a second batch, as they are."""
+    index = search_index.SearchIndex(c.spark, new_path(c.spark, "search"), 4)
+    index.append(c.products.withColumn("product_name", F.concat(F.lit("red herring "), F.col("id").cast("string"))), 1)
+    index.append(c.products, 2)
+    return index
+
+
+@query(v("SELECT id, product_name, sku, category FROM products WHERE contains(lower(coalesce(product_name, '')), 'red') OR contains(lower(coalesce(sku, '')), 'red') OR contains(lower(coalesce(category, '')), 'red') ORDER BY created_at DESC, id LIMIT 100"))
+def indexed_search(c: Catalog) -> DataFrame:
+    return reports.search(_search_index(c).hits("Red"), "Red").select("id", "product_name", "sku", "category")
+
+
+@query(v("SELECT p.id, p.product_name, CASE WHEN contains(lower(p.product_name), 'brand-1') THEN 0 WHEN contains(lower(coalesce(p.sku, '')), 'brand-1') THEN 1 ELSE 2 END AS search_rank, lp.price FROM products p LEFT JOIN latest_price lp ON lp.product_id = p.id WHERE contains(lower(p.product_name), 'brand-1') OR contains(lower(coalesce(p.sku, '')), 'brand-1') OR contains(lower(coalesce(p.category, '')), 'brand-1') ORDER BY search_rank, p.product_name, p.id LIMIT 100"))
+def indexed_ranked_search(c: Catalog) -> DataFrame:
+    hits = _search_index(c).hits("Brand-1")
+    return reports.ranked_search(hits, histories.latest_prices(c.price_history), "Brand-1").select("id", "product_name", "search_rank", "price")
+
+
 @query(v("SELECT p.id, p.product_name, CASE WHEN contains(lower(p.product_name), 'e') THEN 0 WHEN contains(lower(coalesce(p.sku, '')), 'e') THEN 1 ELSE 2 END AS search_rank, lp.price FROM products p LEFT JOIN latest_price lp ON lp.product_id = p.id WHERE contains(lower(p.product_name), 'e') OR contains(lower(coalesce(p.sku, '')), 'e') OR contains(lower(coalesce(p.category, '')), 'e') ORDER BY search_rank, p.product_name, p.id LIMIT 100"))
 def ranked_search(c: Catalog) -> DataFrame:
     return reports.ranked_search(c.products, histories.latest_prices(c.price_history), "e").select("id", "product_name", "search_rank", "price")
