@@ -4,24 +4,26 @@ First pass. Each task turns its texts into n-grams of 1 to max_words words and p
 into summaries, one for each partition of the hash range; a summary is a sorted list of hashes and counts, sent as the
 differences of neighbours, a byte or two each. Each partition merges its summaries into one Misra-Gries summary: when it holds
 more than `capacity` counters, the count of the next largest is taken from all and what reaches 0 goes. No n-gram is counted
-short by more than the sum of what was taken, and that is below mass / capacity, so with a capacity above
-mass / threshold each n-gram of the threshold survives; capacity is set to twice that, from an upper bound of the mass, and a
-partition whose error would reach the threshold (it cannot, unless hashes are dealt unevenly) stops the job.
+short by more than the sum of what was taken, and that is below mass / capacity, so with a capacity above mass / threshold
+each n-gram of the threshold survives; capacity is set to twice that, from an upper bound of the mass, and a partition whose
+error would reach the threshold (it cannot, unless hashes are dealt unevenly) stops the job.
 
-Second pass. The hashes that survive are a bitmap, of at most 2 ** MOST_BITS bits, which tasks get by broadcast; where it fills up,
-more n-grams than needed are counted, never fewer. N-grams that it lets through are counted exactly, by their words: in a task by
-64-bit hash, then by Spark. Every part of a frequent phrase is as frequent, so its counts are there too. Scores are 38-digit
-decimals, which fail instead of overflowing. A phrase that a longer one contains as often is also contained as often by one that is
-one word longer, so only these are compared.
+Second pass. The hashes that survive are a bitmap, of at most 2 ** MOST_BITS bits, which tasks get by broadcast; where it
+fills up, more n-grams than needed are counted, never fewer. N-grams that it lets through are counted exactly: in a task by
+64-bit hash, then by their words in the partition of their hash, to which each task sends one compressed table. Every part of
+a frequent phrase is as frequent, so its counts are there too. Scores are 38-digit decimals, which fail instead of
+overflowing. A phrase that a longer one contains as often is also contained as often by one that is one word longer, so only
+these are compared.
 
 Defined cases: null texts are empty; a null language is `und`, and so is that value; words may hold any characters but those
-that separate; a long text is read whole, by the task that holds it; ties of score and frequency go by UTF-8 bytes; repeated rows
-count as often as they come; an empty table gives no rows; further columns are ignored, whatever their names.
+that separate; a long text is read whole, by the task that holds it; ties of score and frequency go by UTF-8 bytes; repeated
+rows count as often as they come; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -157,6 +159,16 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(numbers[:n], dtype=U), numbers[n:].astype(np.int64) + 1
 
 
+def _table(rows) -> bytes:
+    """Rows (part, lang, phrase, size, f) without the part, as compressed Arrow."""
+    columns = list(zip(*rows, strict=True))[1:]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "size", "f"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def survivors(docs: DataFrame, threshold: int, max_words: int, parts: int, capacity: int, bits: int) -> DataFrame:
     """part, n, keys: for each partition of the hash range the hashes (their first `bits` bits) that may be frequent."""
     shift, low = U(64 - bits), bits - int(math.log2(parts))
@@ -230,7 +242,7 @@ def frequencies(docs: DataFrame, threshold: int, max_words: int) -> DataFrame:
     bits = min(63, max(32, math.ceil(math.log2(mass + 1)) + 1))
     capacity = math.ceil(2 * mass / parts / threshold) + 1000
     known, wide = bitmap(survivors(rows, threshold, max_words, parts, capacity, bits), parts, bits)
-    sent = spark.sparkContext.broadcast(known)
+    sent, log = spark.sparkContext.broadcast(known), int(math.log2(parts))
 
     def count(batches):
         table, sizes, totals, n = sent.value, {}, {}, 0
@@ -238,9 +250,15 @@ def frequencies(docs: DataFrame, threshold: int, max_words: int) -> DataFrame:
         first: dict[int, tuple] = {}
 
         def told():
-            rows = [(*first[k], c) for k, c in sizes.items()]
-            rows += [(lang, "", 0, c) for lang, c in totals.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "size", "f"])
+            rows = [(k >> (64 - log), *first[k], c) for k, c in sizes.items()]
+            rows += [(0, lang, "", 0, c) for lang, c in totals.items()]
+            rows.sort(key=lambda r: r[0])
+            for part, some in itertools.groupby(rows, key=lambda r: r[0]):
+                yield part, _table(some)
+
+        def packed():
+            some = list(told())
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int32()), pa.array([t for _, t in some], pa.binary())], names=["part", "counts"])
 
         for langs, texts, (joined, start, end, hashes) in _texts(batches, max_words):
             ends = np.cumsum([len(t) + 1 for t in texts])
@@ -258,13 +276,32 @@ def frequencies(docs: DataFrame, threshold: int, max_words: int) -> DataFrame:
                         text = b" ".join(joined[start[j] : end[j]] for j in range(i, i + size))
                         first[k] = (langs[int(np.searchsorted(ends, start[i], side="right"))], text.decode("utf-8", "replace"), size)
             if len(sizes) > 500_000:
-                yield told()
+                yield packed()
                 sizes, totals, first = {}, {}, {}
         if totals:
+            yield packed()
+
+    def add(batches):
+        part, sums = None, {}
+
+        def told():
+            some = [(*k, n) for k, n in sums.items() if n >= threshold or not k[2]]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*some, strict=True) if some else [[]] * 4, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "size", "f"])
+
+        for batch in batches:
+            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if p != part:
+                    if sums:
+                        yield told()
+                    part, sums = p, {}
+                for *k, n in zip(*(c.to_pylist() for c in pa.ipc.open_stream(blob.as_buffer()).read_all().columns), strict=True):
+                    sums[tuple(k)] = sums.get(tuple(k), 0) + n
+        if sums:
             yield told()
 
-    counts = rows.mapInArrow(count, "lang string, phrase string, size int, f long").groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
-    return written(counts.filter((F.col("f") >= threshold) | (F.col("size") == 0)), "frequencies")
+    # what a task has counted goes to a partition of the hash range as one row
+    sent_counts = rows.mapInArrow(count, "part int, counts binary").repartition(parts, "part").sortWithinPartitions("part")
+    return written(sent_counts.mapInArrow(add, "lang string, phrase string, size int, f long"), "frequencies")
 
 
 def candidates(counts: DataFrame, threshold: int = 100) -> DataFrame:
