@@ -23,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bound, running
+from .common import ascii_lower, bound, masked, running
 from .license_rules import rules as written_rules
 
 #: Phrases whose places are always reported, and their labels (fixed values).
@@ -138,17 +138,20 @@ KIND = "array<struct<start:int,end:int,label:string,rule:int,tier:int,confidence
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words and detections: array of start, end (words, end exclusive), label, rule, tier, confidence, base, kept."""
+    rows, names = masked(docs.drop("n_words", "detections"))
     words, padded = F.col("_words"), F.col("_padded")
     table = F.from_json(F.lit(json.dumps(rules())), f"array<{RULE}>")
     grouped = F.from_json(F.lit(json.dumps(families())), f"array<struct<gate:array<string>,rules:array<{RULE}>>>")
-    out = docs.drop("n_words", "detections").withColumn("_words", words_text(F.col(text))).withColumn("_padded", F.concat(F.lit(" "), words, F.lit(" ")))
+    out = rows.withColumn("_words", words_text(F.col(names[text]))).withColumn("_padded", F.concat(F.lit(" "), words, F.lit(" ")))
     gaps = F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit("")))
     gate = functools.reduce(lambda a, b: a | b, (padded.contains(k) for k in gate_keywords()))
     some = lambda keys: F.exists(keys, lambda k: padded.contains(k))
     open_ = F.flatten(F.transform(F.filter(grouped, lambda f: some(f["gate"])), lambda f: f["rules"]))
     tried = F.filter(open_, lambda r: some(r["keywords"]) & F.rlike(words, r["regex"]))
     found = F.flatten(F.transform(tried, lambda r: _found(words, r)))
-    return out.withColumns({
-        "n_words": F.when(words == "", 0).otherwise(gaps + 1).cast("long"),
-        "detections": F.when(gate, _resolved(found, table)).otherwise(F.array().cast(KIND)),
-    }).drop("_words", "_padded")
+    out = out.withColumns({
+        "_n_words": F.when(words == "", 0).otherwise(gaps + 1).cast("long"),
+        "_detections": F.when(gate, _resolved(found, table)).otherwise(F.array().cast(KIND)),
+    })
+    # a select of its own: columns of docs may have the names used above
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()), F.col("_n_words").alias("n_words"), F.col("_detections").alias("detections"))

@@ -25,7 +25,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bound, likely, running, written
+from .common import ascii_lower, bound, likely, masked, running, written
 
 #: kind, regex, the group whose length counts, its least length. The first three are the base rules. For `hex` and `access`
 #: a match shorter than the least length is a whole run, so the length may stand in the regex; for `assign` it may not.
@@ -194,8 +194,10 @@ def _found(text: Column, rules: list[dict], chosen=lambda kind: F.lit(True)) ->
 
 def scan(docs: DataFrame, rules=RULES, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with spans: array of start, end, kind."""
-    docs, table, body, none = docs.drop("spans"), queries(rules), F.coalesce(F.col(text), F.lit("")), F.array().cast(SPANS)
-    slotted = with_slots(docs, 64 * max(1, -(-docs.count() // 64)), id, text)
+    rows, names = masked(docs.drop("spans"))
+    id, text = names[id], names[text]
+    table, body, none = queries(rules), F.coalesce(F.col(text), F.lit("")), F.array().cast(SPANS)
+    slotted = with_slots(rows, 64 * max(1, -(-docs.count() // 64)), id, text)
     found = written(candidates(written(postings(slotted, rules, text), "postings"), rules), "candidates")
     near = likely(slotted.select("_key", "_key2", "_slot", body.alias("_body")), found.select(F.col("slot").alias("rep")), "_slot")
     some = _found(F.col("_body"), [r for r in table if r["query"]], lambda kind: F.array_contains("kinds", kind))
@@ -204,4 +206,5 @@ def scan(docs: DataFrame, rules=RULES, id: str = "doc_id", text: str = "text") -
     out = slotted.withColumn("_full", _found(body, [r for r in table if not r["query"]])).join(verified, ["_key", "_key2"], "left")
     every = F.array_sort(F.concat("_full", F.coalesce("_some", none)))
     spans = F.transform(every, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["kind"].alias("kind")))
-    return out.withColumn("spans", spans).select(*docs.columns, "spans")
+    out = out.withColumn("_spans", spans)  # a select of its own: columns of docs may have the names used above
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()), F.col("_spans").alias("spans"))

@@ -162,3 +162,12 @@ def test_trigram_queries():
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == [[["aki", "kia"]]]
     assert secret_scan.trigram_query("(?:abc|xyz)[0-9]+def") == [[["abc"], ["xyz"]], [["def"]]]
     assert secret_scan.trigram_query("(?:abc|[0-9]+)x") == []
+
+
+def test_columns_of_any_names_are_kept(spark):
+    names = ["_words", "_padded", "_slot", "_key", "_key2", "_full", "_some", "kinds", "_column0", "_body", "slot"]
+    docs = spark.createDataFrame([(1, "password = hunter22 and cc by", *names), (2, None, *names)], ["doc_id", "text", *names])
+    for found in (licenses.scan(docs), secret_scan.scan(docs)):
+        rows = found.orderBy("doc_id").collect()
+        assert found.columns[: len(docs.columns)] == docs.columns and all(tuple(r[2 : 2 + len(names)]) == tuple(names) for r in rows)
+    assert licenses.scan(docs).filter("size(detections) > 0").count() == 1 == secret_scan.scan(docs).filter("size(spans) > 0").count()
