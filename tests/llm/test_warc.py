@@ -51,6 +51,7 @@ def test_round_trip(spark, tmp_path):
     back = W.read(spark, f"{tmp_path}/a").collect()
     assert all(r.intact for r in back)
     text = {r.source_id: r.payload for r in back if r.record_type == "response"}
+    text = {i: bytes(x).decode() for i, x in text.items()}
     assert text[9] == "same é" and text[6] == rows[6][1] and text[8] == rows[9][1] and text[4] == ""
     named = {r.record_id: r.source_id for r in back}
     assert all(named[r.refers_to_record] == r.refers_to for r in back if r.record_type == "revisit")
@@ -103,10 +104,39 @@ def test_archives_of_others(spark, tmp_path):
     (tmp_path / "in/members.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
     (tmp_path / "in/whole.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
     (tmp_path / "in/plain.warc").write_bytes(b"".join(parts))
-    got = [tuple(r) for r in W.read(spark, str(tmp_path / "in")).select("record_id", "record_type", "payload_bytes", "intact", "payload").collect()]
-    assert sorted(got) == sorted(3 * [("urn:a", "response", 5, True, "hello"), ("urn:b", "response", 19, False, "hello �\r\n\r\nWARC/1.0"), ("urn:c", "response", 5, True, "hello"), ("urn:r", "revisit", 5, True, None)])
+    got = [(*r[:4], r.payload and bytes(r.payload)) for r in W.read(spark, str(tmp_path / "in")).select("record_id", "record_type", "payload_bytes", "intact", "payload").collect()]
+    assert sorted(got) == sorted(3 * [("urn:a", "response", 5, True, b"hello"), ("urn:b", "response", 19, False, b"hello \xff\r\n\r\nWARC/1.0"), ("urn:c", "response", 5, True, b"hello"), ("urn:r", "revisit", 5, True, None)])
     W.rewrite(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     again = W.read(spark, str(tmp_path / "out")).collect()
+    assert all(r.intact for r in again) and {bytes(r.payload) for r in again if r.record_id == "urn:b" and r.payload} == {b"hello \xff\r\n\r\nWARC/1.0"}
     full = [r for r in again if r.record_type == "response"]
     assert len(again) == 12 and sorted(r.record_id for r in full) == ["urn:b", "urn:c"]
     assert {r.refers_to_record for r in again if r.record_type == "revisit"} == {"urn:b", "urn:c"}
+
+
+def test_rewriting_keeps_bytes_headers_and_other_records(spark, tmp_path):
+    png, gone = b"\x89PNG\r\n\x1a\n\x00\xff\xfe" * 9, b"HTTP/1.1 404 Not Found\r\nContent-Type: image/png\r\nX-Odd: \xff\r\n\r\n"
+
+    def record(kind, name, block, content_type):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nContent-Type: {content_type}\r\nX-Own: é\r\nContent-Length: {len(block)}".encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    web = "application/http; msgtype=response"
+    parts = [record("warcinfo", "urn:i", b"software: x\r\n\r\nmore \xfe", "application/warc-fields"), record("response", "urn:1", gone + png, web), record("response", "urn:2", gone + png, web),
+             record("request", "urn:q", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "application/http; msgtype=request"), record("response", "urn:d", b"\x00\x01 dns", "text/dns")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    W.rewrite(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    got = {r.record_id: r for r in W.read(spark, str(tmp_path / "out"), others=True).collect()}
+    assert got.keys() == {"urn:i", "urn:1", "urn:2", "urn:q", "urn:d"} and all(r.intact for r in got.values())
+    assert bytes(got["urn:2"].payload) == png and bytes(got["urn:2"].http) == gone and got["urn:2"].record_type == "response"
+    assert got["urn:1"].record_type == "revisit" and got["urn:1"].refers_to_record == "urn:2" and bytes(got["urn:1"].http) == gone
+    assert bytes(got["urn:d"].payload) == b"\x00\x01 dns" and got["urn:d"].content_type == "text/dns" and got["urn:d"].http is None
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "out").glob("*.gz"))
+    assert parts[0] in raw and parts[3] in raw
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"{i} " + "x" * (200_000 if i % 10 == 0 else 10)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    W.write(W.records_of(df), f"{tmp_path}/a", file_bytes=450_000)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "a").glob("*.gz")]
+    assert max(sizes) <= 450_000 and len(sizes) > 3 and W.read(spark, f"{tmp_path}/a").count() == 40
