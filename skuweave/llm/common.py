@@ -56,10 +56,11 @@ def forget(*tables: DataFrame) -> None:
         held, path = _paths.pop(id(df), (lambda: None, None))
         if held() is df and path in _written:
             _written.remove(path)
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
-def _delete(spark: SparkSession, path: str) -> bool:
+def delete(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder; whether there was one."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
 
@@ -83,7 +84,7 @@ def remove_written(spark: SparkSession) -> int:
     for the time when results have been used. The number of folders and tables."""
     n = 0
     while _written:
-        n += _delete(spark, _written.pop())
+        n += delete(spark, _written.pop())
     while _tables:
         n += spark.catalog.tableExists(_tables[-1])
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")

@@ -12,12 +12,13 @@ whatever their names, are ignored by `dedup` and kept by `kept_rows`.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, likely, lookup, masked, new_table, unlikely, unmasked, written
+from .common import ascii_lower, delete, likely, lookup, masked, new_path, new_table, unlikely, unmasked, written
 
 
 def digest_column(text: str):
@@ -25,13 +26,17 @@ def digest_column(text: str):
 
 
 class DigestIndex:
-    """A table (digest, keep_id, keep_row, n, batch), bucketed and sorted by digest. batch is the run that appended the row."""
+    """A table (digest, keep_id, keep_row, n, batch), bucketed and sorted by digest, in a folder of `path` (the shared folder by
+    default). batch is the run that appended the row."""
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None, path: str | None = None):
+        self.spark, self.path = spark, path
         self.table = table or new_table("digest_index")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def _folder(self) -> str:
+        return f"{self.path}/{uuid.uuid4().hex}" if self.path else new_path(self.spark, "digest_index")
+
     def rows(self) -> DataFrame | None:
         return self.spark.table(self.table) if self.spark.catalog.tableExists(self.table) else None
 
@@ -41,19 +46,24 @@ class DigestIndex:
         if (known := self.rows()) is not None:
             groups = groups.join(known.select("digest").hint("merge"), "digest", "left_anti")
         batch = groups.withColumn("batch", F.lit(name)).repartition(self.buckets, "digest")
-        batch.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        out = batch.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
+        (out if known is not None else out.option("path", self._folder())).saveAsTable(self.table)
         return name
 
     def compact(self) -> None:
         """One sorted file for each bucket: the rows are written to a new table, which takes the name of the old one."""
         rows, new = self.rows(), f"{self.table}_{uuid.uuid4().hex}"
         if rows is not None:
-            rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(new)
+            rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", self._folder()).saveAsTable(new)
             self.drop()
             self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.table}")
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        """The table and its files."""
+        if self.rows() is not None:
+            place = self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.table}").filter("col_name = 'Location'").first().data_type
+            self.spark.sql(f"DROP TABLE {self.table}")
+            delete(self.spark, place)
 
 
 def dedup(docs: DataFrame, index: DigestIndex, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,6 +82,21 @@ def dedup(docs: DataFrame, index: DigestIndex, id: str = "doc_id", text: str = "
     )
 
 
+def dedup_in_batches(docs: DataFrame, index: DigestIndex, batches: int = 2, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """dedup() of rows that arrive as several batches, those of the largest ids first, so that the second and later ones meet the
+    index by its anti-join. group_size counts the rows of all batches."""
+    cuts = docs.agg(F.percentile_approx(id, [1 - (i + 1) / batches for i in range(batches - 1)] or [0.0], 10_000).alias("c")).first().c or []
+    above, parts = None, []
+    for cut in [*cuts[: batches - 1], None]:
+        part = docs if cut is None else docs.filter(F.col(id) >= cut)
+        part = part if above is None else part.filter(F.col(id).isNull() | (F.col(id) < above))
+        parts.append(dedup(part, index, id, text).drop("group_size"))
+        above = cut if cut is not None else above
+    every = written(functools.reduce(lambda a, b: a.unionByName(b), parts), "batches")
+    sizes = every.groupBy("text_sha256").agg(F.count("*").alias("group_size"))
+    return lookup(every, sizes, "text_sha256", "group_size").select(id, "keep_id", "group_size", "kept", "text_sha256")
+
+
 def kept_rows(docs: DataFrame, index: DigestIndex, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns. Rows whose id is not among those of dropped rows stay where they are;
     the others are told apart by digest."""

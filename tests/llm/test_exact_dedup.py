@@ -35,3 +35,26 @@ def test_index_persists_across_batches(spark):
     assert index.rows().count() == 3 and E.dedup(frame([]), index).count() == 0
     plan = spark.sql(f"describe extended {index.table}").collect()
     assert {r.col_name.strip(): r.data_type for r in plan}["Num Buckets"] == "3"
+
+
+def test_batches_meet_the_index_by_an_anti_join(spark, monkeypatch):
+    rows = [(i, f"text {i % 7}") for i in range(40)] + [(None, "text 0"), (None, None), (50, "only"), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, append = [], E.DigestIndex.append
+
+    def seen(self, groups):
+        if (known := self.rows()) is not None:
+            plans.append(groups.join(known.select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString())
+        return append(self, groups)
+
+    monkeypatch.setattr(E.DigestIndex, "append", seen)
+    for n in (1, 2, 4):
+        index = E.DigestIndex(spark)
+        key = lambda r: (r[4], r[0] is None, r[0])
+        got = sorted((tuple(r) for r in E.dedup_in_batches(docs, index, n).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=key)
+        want = sorted((tuple(r) for r in E.dedup(docs, E.DigestIndex(spark)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=key)
+        assert got == want and index.rows().count() == 9
+        index.drop()
+        assert index.rows() is None
+    assert len(plans) == 4 and all("SortMergeJoin" in p and "LeftAnti" in p for p in plans)
+    assert E.dedup_in_batches(docs.limit(0), E.DigestIndex(spark)).count() == 0
