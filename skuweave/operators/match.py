@@ -283,6 +283,32 @@ def run_counters(scored: DataFrame, threshold: float) -> DataFrame:
     return out.withColumn("total_issues", issues).withColumnRenamed("q_id", "new_product_id")
 
 
+def quality_counters(queries: DataFrame, catalog: DataFrame, cfg: MatchConfig = MatchConfig(), embeddings: bool = True) -> DataFrame:
+    """For each query of the visual mode, over all its candidates: missing_features, corrupted_features (numbers that are none or
+    infinite), computation_errors (vectors of other lengths), missing_metadata (no name or SKU), invalid_categories (a category
+    that means none), successful, failed, total_issues and success_rate. Catalog rows are counted by key and kind first, so no
+    pair is formed."""
+    vectors = ["embedding"] if embeddings else ["color", "shape", "texture"]
+    code = lambda: F.coalesce(*(V.feature_error(F.col(c)) for c in vectors))
+    sizes = lambda: F.when(code().isNull(), F.struct(*(F.size(c).alias(c) for c in vectors)))
+    bare = (F.coalesce("product_name", F.lit("")) == "") | (F.coalesce("sku", F.lit("")) == "")
+    odd = F.coalesce(T.blank_to_null(F.col("category")).isNotNull() & T.normalize_category(F.col("category")).isNull(), F.lit(False))
+    kinds = keyed_catalog(catalog).select("key", F.col("id").alias("c_id"), code().alias("code"), sizes().alias("sizes"), bare.alias("bare"), odd.alias("odd"))
+    kinds = kinds.groupBy("key", "code", "sizes", "bare", "odd").agg(F.count("*").alias("n"))
+    left = keyed_queries(queries, catalog, cfg).select("key", F.col("id").alias("q_id"), sizes().alias("q_sizes"))
+    met = left.join(kinds, "key")
+    total = lambda hit: F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
+    gone, damaged = F.col("code").isin("MISSING_FEATURES", "EMPTY_FEATURES"), F.col("code").isin("NAN_FEATURES", "INF_FEATURES")
+    other = F.col("code").isNull() & ~F.col("sizes").eqNullSafe(F.col("q_sizes"))
+    out = met.groupBy("q_id").agg(
+        F.sum("n").alias("total_candidates"), total(gone).alias("missing_features"), total(damaged).alias("corrupted_features"), total(other).alias("computation_errors"),
+        total(F.col("bare")).alias("missing_metadata"), total(F.col("odd")).alias("invalid_categories"),
+    )
+    failed = F.col("missing_features") + F.col("corrupted_features") + F.col("computation_errors")
+    out = out.withColumns({"failed": failed, "successful": F.col("total_candidates") - failed, "total_issues": failed + F.col("missing_metadata") + F.col("invalid_categories")})
+    return out.withColumn("success_rate", F.round(F.col("successful") / F.col("total_candidates") * 100, 1)).withColumnRenamed("q_id", "new_product_id")
+
+
 def match_statistics(matches: DataFrame, most: int = 1000) -> DataFrame:
     """For each query over its best `most` matches."""
     rank = F.row_number().over(W.partitionBy("new_product_id").orderBy(F.desc("similarity_score"), "matched_product_id"))

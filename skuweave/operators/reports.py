@@ -245,15 +245,18 @@ def import_summary(raw: DataFrame, errors: int = 0) -> DataFrame:
 
 
 def import_warnings(rows: DataFrame) -> DataFrame:
-    """(row, warning): negative prices, unreadable dates in price_history, repeated SKUs with their number. rows have `row`."""
-    n = F.count("*").over(W.partitionBy("sku"))
+    """(row, warning): negative prices, unreadable dates in price_history, repeated SKUs with their number. rows have `row`. SKUs
+    are counted in partial sums and only repeated ones joined; rows without a SKU, a key of any size, meet no join."""
+    again = rows.filter("sku <> ''").groupBy("sku").agg(F.count("*").alias("_n")).filter("_n > 1")
     entries = F.filter(F.split("price_history", ";"), lambda x: x != "")
     bad = F.exists(entries, lambda x: parse_date(F.get(F.split(x, ":"), 0)).isNull())
     found = F.array_compact(F.array(
         F.when(T.strip(F.col("price")).startswith("-"), "negative price"), F.when(bad, "invalid date in price history"),
         F.when((F.col("sku") != "") & (F.col("_n") > 1), F.concat(F.lit("duplicate SKU: "), "sku", F.lit(" x"), F.col("_n").cast("string"))),
     ))
-    return rows.withColumn("_n", n).select("row", F.explode(found).alias("warning"))
+    named = F.coalesce(F.col("sku") != "", F.lit(False))
+    counted = rows.filter(named).join(again, "sku", "left").unionByName(rows.filter(~named).withColumn("_n", F.lit(None).cast("long")))
+    return counted.select("row", F.explode(found).alias("warning"))
 
 
 def images_by_folder(images: DataFrame) -> DataFrame:

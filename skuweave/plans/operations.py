@@ -15,7 +15,7 @@ from ..functions import vectors as V
 from ..operators import histories, images, knn, link, maintain, match, reports
 from ..shared import new_path
 from ..sources import csv, ingest, sinks, snapshots
-from ..streaming.arrivals import match_arrivals
+from ..streaming.arrivals import current_matches, match_arrivals
 from . import sql as S
 from .catalog import Catalog
 from .queries import AS_OF, COLOR, FIRST, HISTS, HYBRID, LINES, M10, SHAPE, TEXTURE, TOP, _images, _lines, _matches, _rows, query, v
@@ -291,6 +291,20 @@ def hybrid_batch(c: Catalog) -> DataFrame:
     return rows.unionByName(failed.select("new_product_id", F.lit(0).alias("matched_product_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("similarity_score"), "error_code"))
 
 
+BROKEN = "CASE WHEN c.id % 7 = 0 THEN 'gone' WHEN c.id % 7 = 1 THEN 'damaged' WHEN c.id % 7 = 2 THEN 'short' END"
+
+
+@query(v(f"""SELECT q_id AS new_product_id, CAST(count(*) AS BIGINT) AS total_candidates, count(*) FILTER (kind = 'gone') AS missing_features, count(*) FILTER (kind = 'damaged') AS corrupted_features, count(*) FILTER (kind = 'short') AS computation_errors,
+count(*) FILTER (sku IS NULL) AS missing_metadata, 0 AS invalid_categories, count(*) FILTER (kind IS NOT NULL) AS failed, count(*) FILTER (kind IS NULL) AS successful, count(*) FILTER (kind IS NOT NULL) + count(*) FILTER (sku IS NULL) AS total_issues,
+round(count(*) FILTER (kind IS NULL) / count(*) * 100, 1) AS success_rate FROM (SELECT q.id AS q_id, c.sku, {BROKEN} AS kind FROM products q JOIN features f ON f.product_id = q.id, products c JOIN features g ON g.product_id = c.id
+WHERE NOT q.is_historical AND c.is_historical AND (q.category IS NULL OR c.category IS NULL OR lower(trim(q.category)) = lower(trim(c.category)))) GROUP BY 1"""))
+def visual_run_counters(c: Catalog) -> DataFrame:
+    """Counters of the visual mode, with three in seven catalog vectors made unusable."""
+    k, e = F.col("id") % 7, F.col("embedding").cast("array<double>")
+    broken = F.when(k == 0, None).when(k == 1, F.transform(e, lambda x, i: F.when(i == 0, float("nan")).otherwise(x))).when(k == 2, F.slice(e, 1, 5)).otherwise(e)
+    return match.quality_counters(c.with_features(c.new), c.with_features(c.historical).withColumn("embedding", broken))
+
+
 @query(v("SELECT run_id, mode, count(*) AS n, count(DISTINCT new_product_id) AS products FROM m, (SELECT 'metadata' AS mode), (SELECT unnest(['run-1', 'run-2']) AS run_id) GROUP BY 1, 2", S.METADATA, M10))
 def matches_written_by_run(c: Catalog) -> DataFrame:
     """Two runs, the first written twice."""
@@ -326,6 +340,30 @@ def streamed_matches(c: Catalog) -> DataFrame:
     return c.spark.read.parquet(f"{path}/out").groupBy("new_product_id").agg(F.count("*").alias("n"), F.max("mode").alias("mode"))
 
 
+@query(v("SELECT new_product_id, matched_product_id, CAST(rank AS INTEGER) AS rank FROM m", S.METADATA, M10))
+def streamed_again(c: Catalog) -> DataFrame:
+    """Products that arrive under other names first and as they are in a later batch, which replaces their matches."""
+    path, rows = new_path(c.spark, "stream"), c.with_latest(c.new)
+    rows.withColumn("product_name", F.lit("another name")).coalesce(1).write.parquet(f"{path}/in")
+    schema = c.spark.read.parquet(f"{path}/in").schema
+    for later in (False, True):
+        stream = c.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        match_arrivals(stream, lambda: c.with_latest(c.historical), f"{path}/out", f"{path}/state", TOP).awaitTermination()
+        if not later:
+            rows.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return current_matches(c.spark, f"{path}/out").select("new_product_id", "matched_product_id", "rank")
+
+
+@query("SELECT p_partkey || '.jpg' AS filename, p_type AS category, p_name || chr(10) || ' \"' || p_brand || '\"' || chr(10) AS name FROM part")
+def csv_line_breaks(c: Catalog) -> DataFrame:
+    """Cells with line breaks and quotes, in files that are read by ranges."""
+    path, k = new_path(c.spark, "import"), F.col("p_partkey").cast("string")
+    name = F.concat("p_name", F.lit('\n "'), "p_brand", F.lit('"\n'))
+    rows = c.table("part").select(F.concat(k, F.lit(".jpg")).alias("filename"), F.col("p_type").alias("category"), F.lit("").alias("sku"), name.alias("name"))
+    rows.repartition(3).write.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return csv.read(c.spark, path, multi_line=True).select("filename", "category", "name")
+
+
 # Vectors of images
 
 
