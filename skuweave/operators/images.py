@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,26 +34,46 @@ def suggestions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(SUGGESTIONS.items()), "error_code string, suggestion string")
 
 
+def webp_sides(head: Column) -> Column:
+    """(width, height) by the header of a WebP file, from the first 30 bytes as hexadecimal digits; null where it is none. Lossy
+    files (VP8) hold 14 bits for each side after a start code, lossless ones (VP8L) two fields of 14 bits less 1, extended ones
+    (VP8X) 24 bits less 1 for each."""
+    byte = lambda i: F.conv(F.substring(head, 2 * i + 1, 2), 16, 10).cast("int")
+    number = lambda i, n: sum((byte(i + j) * 256**j for j in range(1, n)), byte(i))
+    kind = F.substring(head, 25, 8)
+    sides = lambda w, h: F.struct(w.cast("int").alias("width"), h.cast("int").alias("height"))
+    lossless = (byte(21).cast("long") + byte(22) * F.lit(256).cast("long") + byte(23) * F.lit(65536).cast("long") + byte(24) * F.lit(16777216).cast("long"))
+    return (
+        F.when((kind == "56503820") & (F.substring(head, 47, 6) == "9D012A") & (F.length(head) >= 60), sides(number(26, 2) % 16384, number(28, 2) % 16384))
+        .when((kind == "5650384C") & (F.substring(head, 41, 2) == "2F") & (F.length(head) >= 50), sides(lossless % 16384 + 1, F.floor(lossless / 16384) % 16384 + 1))
+        .when((kind == "56503858") & (F.length(head) >= 60), sides(number(24, 3) + 1, number(27, 3) + 1))
+    )
+
+
 def audit(manifest: DataFrame, folder: str) -> DataFrame:
     """manifest (path, and further columns) with format, width, height and error_code (null: fine). Files are read by Spark
     under folder; paths are compared by what follows it."""
     spark = manifest.sparkSession
     tail = lambda c: F.substring_index(F.regexp_replace(c, r"^\w+:/*", "/"), folder.split(":")[-1].rstrip("/") + "/", -1)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(tail(F.col("path")).alias("path"), "length", F.hex(F.substring("content", 1, 12)).alias("magic"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(tail(F.col("path")).alias("path"), "length", F.hex(F.substring("content", 1, 12)).alias("magic"), F.hex(F.substring("content", 1, 30)).alias("head"))
     kind = F.when(F.col("magic").startswith(MAGIC["JPEG"]), "JPEG").when(F.col("magic").startswith(MAGIC["PNG"]), "PNG").when(F.col("magic").startswith(MAGIC["WEBP"]) & F.col("magic").endswith("57454250"), "WEBP")
-    files = files.select("path", "length", kind.alias("format"))
+    files = files.select("path", "length", kind.alias("format"), F.when(kind == "WEBP", webp_sides(F.col("head"))).alias("sides"))
     decoded = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder)
     decoded = decoded.select(tail(F.col("image.origin")).alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"))
     out = manifest.join(files, "path", "left").join(decoded, "path", "left")
     code = (
         F.when(F.col("length").isNull() | (F.col("length") == 0), "MISSING_OR_EMPTY")
         .when(F.col("format").isNull(), "UNSUPPORTED_FORMAT")
-        .when(F.col("format") == "WEBP", None)  # not decoded here
+        .when((F.col("format") == "WEBP") & F.col("sides").isNull(), "CORRUPTED_IMAGE")
+        .when((F.col("format") == "WEBP") & (F.least("sides.width", "sides.height") < LEAST_SIDE), "IMAGE_TOO_SMALL")
+        .when(F.col("format") == "WEBP", None)  # pixels are not decoded here; a WebP file is RGB or RGBA
         .when(F.coalesce("height", F.lit(-1)) < 0, "CORRUPTED_IMAGE")
         .when(F.least("width", "height") < LEAST_SIDE, "IMAGE_TOO_SMALL")
         .when(~F.col("channels").isin(1, 3, 4), "UNSUPPORTED_MODE")
     )
-    return out.withColumn("error_code", code).drop("channels")
+    by_header = F.col("format") == "WEBP"
+    sides = {c: F.when(by_header, F.col(f"sides.{c}")).otherwise(F.col(c)) for c in ("width", "height")}
+    return out.withColumn("error_code", code).withColumns(sides).drop("channels", "sides")
 
 
 def hsv(pixels: np.ndarray) -> np.ndarray:

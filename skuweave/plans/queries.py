@@ -12,7 +12,7 @@ from ..config import MatchConfig
 from ..functions import history as H
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import histories, history_state, knn, link, maintain, match, reports, search_index, vector_index
+from ..operators import histories, history_state, knn, link, maintain, match, pages, reports, search_index, vector_index
 from ..shared import new_path
 from ..sources import csv, ingest, snapshots
 from . import sql as S
@@ -613,6 +613,15 @@ def search_products(c: Catalog) -> DataFrame:
     return reports.search(c.products, "Red").select("id", "product_name", "sku", "category")
 
 
+@query(v("SELECT id, product_name, row, (SELECT count(*) FROM products) AS total, (SELECT CAST(ceil(count(*) / 25) AS BIGINT) FROM products) AS total_pages FROM (SELECT id, product_name, row_number() OVER (ORDER BY product_name, id) AS row FROM products) WHERE row > 50 AND row <= 75 UNION ALL SELECT id, product_name, row, 0, 0 FROM (SELECT id, product_name, row_number() OVER (ORDER BY product_name, id) AS row FROM products) WHERE row > 75 AND row <= 85"))
+def pages_by_range(c: Catalog) -> DataFrame:
+    """The third page by name, and ten rows that follow it."""
+    store = pages.Pages(c.spark, new_path(c.spark, "pages"))
+    store.write(c.products.select("id", "product_name"), F.col("product_name"), F.col("id"))
+    zero = F.lit(0)
+    return store.page(3, 25).select("id", "product_name", "row", "total", "total_pages").unionByName(store.after(75, 10).select("id", "product_name", "row", zero.alias("total"), zero.alias("total_pages")))
+
+
 def _search_index(c: Catalog) -> search_index.SearchIndex:
     """All products under other names, then, as a second batch, as they are."""
     index = search_index.SearchIndex(c.spark, new_path(c.spark, "search"), 4)
