@@ -22,9 +22,16 @@ from skuweave.llm.queries import curriculum, table
 LEAST_COSINE, LEAST_OF_SHORT = 4 / 1024**0.5, 0.02
 
 
+def shorter_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts take less memory when they hold fewer rows than Spark's default of 10,000."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those that resemble no language: whose cosine is under LEAST_COSINE, or under half of
     the 1 % quantile of learned documents of that language and about as many letters (of all languages, if under 100 are)."""
+    shorter_batches(spark)
     rows, names = masked(docs)
     id, text, lang = (F.col(names[c]) for c in ("doc_id", "text", "lang"))
     letters = F.char_length(F.regexp_replace(text, r"\P{L}+", ""))
@@ -53,12 +60,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of at least 0.8 over five-word shingles connect, that with the smallest doc_id stays."""
+    shorter_batches(spark)
     drop = written(set_join.join(docs, k=5, percent=80).filter("doc_id <> component_id").select(F.col("doc_id").alias("rep")), "near")
     return without(docs, drop, "doc_id").select(docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 10 words and more that benchmark items have; drops documents that consist of them by more than half."""
+    shorter_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), min_len=10, max_coverage=0.5)
 
 
