@@ -6,10 +6,12 @@ count n-grams, Spark adds them up by n-gram, and the lower orders count the dist
 an order with the totals of their contexts and with the probabilities of the order below.
 
 Scoring joins, too. Documents are written in chunks of about chunk_chars characters, a table bucketed by chunk. Each chunk asks
-once for each distinct n-gram in it, so frequent n-grams are pre-aggregated to one row a chunk. Questions and the model are
-sharded by the character before the one that is predicted, so that all orders of an n-gram and its contexts are in one shard
-(single characters are in all), and meet by shard and block of chunks; the answers return to their chunk, whose documents stand
-where they were written. So neither the driver nor any task holds the model or more than a chunk and a shard.
+once for each distinct n-gram in it, so frequent n-grams are pre-aggregated. Questions and the model are sharded by a hash of the
+two characters before the one that is predicted, so that all orders of an n-gram and its contexts are in one shard (characters
+and pairs of them are in all). A shard is one sorted partition: its part of the model comes first and is held, then the
+questions of one chunk after the other stream by, so each row of the model is shuffled once, however many chunks there are. The
+answers return to their chunk, whose documents stand where they were written. So neither the driver nor any task holds the
+model or more than a chunk and a shard.
 
 A document's mean negative logarithm is shrunk towards the mean of its language by `prior` characters, so that short texts are
 not judged by a few characters. It passes if it lies between two quantiles of the trusted documents of its language: the upper
@@ -32,12 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, new_table, written
+from .common import likely, new_path, new_table, written
 from .set_join import U, mixed
 
 START, END = "\x02", "\x03"
 DIGITS = str.maketrans("123456789", "000000000")
 CHUNK = 400_000  # characters that are counted or scored together
+SHARD_ROWS = 200_000  # n-grams of the model in a shard
 
 
 def normal(text: str) -> str:
@@ -121,8 +124,7 @@ def train(trusted: DataFrame, order: int = 5, text: str = "text") -> tuple[DataF
         below = written(out, "order")
         p, w = below.select("gram", F.log("p").alias("v")), sums.select(F.col("context").alias("gram"), F.log("weight").alias("v"))
         probabilities = p if probabilities is None else probabilities.unionByName(p)
-        if k > 1:
-            weights = w if weights is None else weights.unionByName(w)
+        weights = w if weights is None else weights.unionByName(w)  # that of the empty context is of use for unseen characters
     return written(probabilities, "probabilities"), written(weights, "weights")
 
 
@@ -166,9 +168,24 @@ def hash_rows(points: np.ndarray) -> np.ndarray:
     return h
 
 
-def tables(model: tuple[DataFrame, DataFrame], shards: int) -> DataFrame:
-    """(shard, kind, k, h, v): the model with hashed n-grams, sharded by the character before the last in probabilities and by
-    the last of a context; single characters are in every shard."""
+def shard_of(characters: list[np.ndarray], shards: int) -> np.ndarray:
+    """By a hash of the last characters of a context."""
+    h = np.zeros(len(characters[0]), U)
+    for c in characters:
+        h = mixed(h * U(3) + c.astype(U) + U(1))
+    return (h % U(shards)).astype(np.int32)
+
+
+def tail(order: int) -> int:
+    """How many characters of a context decide the shard: two, so that no frequent character is a hot shard."""
+    return min(2, order - 1)
+
+
+def tables(model: tuple[DataFrame, DataFrame], order: int, shards: int) -> DataFrame:
+    """(shard, kind, k, h, v): the model with hashed n-grams, sharded by the last characters of the context, those before the last
+    character in probabilities. What is too short for that is in every shard: characters, pairs of them, and weights of single
+    characters, whose number does not grow with the text."""
+    t = tail(order)
 
     def run(batches):
         for batch in batches:
@@ -178,11 +195,14 @@ def tables(model: tuple[DataFrame, DataFrame], shards: int) -> DataFrame:
             for k, all_ in enumerate(hashes(points, int(length.max(initial=0)))):
                 h[length == k] = all_[start[length == k]]
             p = np.array(batch.column(0).to_pylist()) == "p" if grams else np.zeros(0, bool)
-            at = np.where(p, start + length - 2, start + length - 1)
-            shard = np.where(p & (length == 1), -1, (points[np.maximum(at, 0)] % U(shards)).astype(np.int64) if len(points) else -1)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch.column(0), pa.array(length), pa.array(h.view(np.int64)), batch.column(2).cast(pa.float32())], names=["shard", "kind", "k", "h", "v"])
-
-    rows = model[0].select(F.lit("p").alias("kind"), "gram", "v").unionByName(model[1].select(F.lit("w").alias("kind"), "gram", "v"))
+            end = start + length - p  # of the context
+            shard = np.full(len(grams), -1, np.int32)
+            some = np.flatnonzero(length - p >= t)
+            if len(some):
+                shard[some] = shard_of([points[end[some] - t + i] for i in range(t)], shards)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), pa.array(length), pa.array(h.view(np.int64)), batch.column(2).cast(pa.float32())], names=["shard", "kind", "k", "h", "v"])
+
+    rows = model[0].select(F.lit("p").alias("kind"), "gram", "v").unionByName(model[1].filter("gram <> ''").select(F.lit("w").alias("kind"), "gram", "v"))
     out = rows.mapInArrow(run, "shard int, kind string, k int, h long, v float")
     every = out.filter("shard < 0").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     return out.filter("shard >= 0").unionByName(every)
@@ -253,18 +273,21 @@ def distinct(pieces, order: int, shards: int) -> tuple[np.ndarray, np.ndarray, n
         h, grams = np.concatenate([h, new]), np.concatenate([grams, points[at[:, None] + np.arange(order)].astype(np.uint32)])
         by = np.argsort(h)
         h, grams = h[by], grams[by]
-    shard = grams[:, order - 2] % np.uint32(shards)
+    shard = shard_of([grams[:, order - 1 - tail(order) + i] for i in range(tail(order))], shards)
     by = np.argsort(shard, kind="stable")
-    return shard[by].astype(np.int32), h[by], grams[by]
+    return shard[by], h[by], grams[by]
 
 
-def _score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int, shards: int, chunk_chars: int, text: str) -> tuple[DataFrame, str]:
+def _score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int, shards: int | None, chunk_chars: int, text: str) -> tuple[DataFrame, str]:
     """score(), and the name of the table of chunks that it reads."""
-    spark, name, block = docs.sparkSession, new_table("chunks"), 32
+    spark, name = docs.sparkSession, new_table("chunks")
     docs = docs.drop("nll", "n_scored")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks(docs, chunk_chars, text).write.option("compression", "zstd").bucketBy(n, "_chunk").sortBy("_chunk").saveAsTable(name)
-    unseen = float(-np.log(model[0].filter(F.char_length("gram") == 1).count() + 1) - 5)
+    chunks(docs, chunk_chars, text).write.option("compression", "zstd").bucketBy(n, "_chunk").sortBy("_chunk").option("path", new_path(spark, "chunks")).saveAsTable(name)
+    # what the model leaves to characters it has not seen: the weight of the empty context, shared by them
+    spared = model[1].filter("gram = ''").first()
+    unseen = float((spared.v if spared else 0.0) - np.log(model[0].filter(F.char_length("gram") == 1).count() + 1))
+    shards = shards or max(n, -(-model[0].count() // SHARD_ROWS))
     rows, columns = spark.table(name), docs.columns
 
     def ask(key, table):
@@ -273,10 +296,28 @@ def _score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int, shar
         parts = [g.tobytes().decode("utf-32-le", "replace").encode() for g in np.split(grams, first[1:])] if len(here) else []
         return pa.table({"_chunk": pa.array(np.full(len(here), key[0].as_py()), pa.int64()), "shard": pa.array(here, pa.int32()), "grams": pa.array(parts, pa.binary())})
 
-    def answer(key, asked, part):
-        scorer = Scorer(order, *(part[c].to_numpy() if c != "h" else part[c].to_numpy().view(U) for c in ("kind", "k", "h", "v")))
-        logs = [scorer.logs(_points(g.decode()).reshape(-1, order), unseen).tobytes() for g in asked["grams"].to_pylist()]
-        return pa.table({"_chunk": asked["_chunk"].combine_chunks(), "shard": asked["shard"].combine_chunks(), "logs": pa.array(logs, pa.binary())})
+    def answer(batches):
+        """Of each shard first the rows of the model, then the questions of one chunk after the other."""
+        shard, held, scorer = None, [], None
+        for batch in batches:
+            sides, whose = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(whose) != 0) | (np.diff(sides) != 0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if whose[a] != shard:
+                    shard, held, scorer = whose[a], [], None
+                part = batch.slice(a, b - a)
+                if not sides[a]:
+                    held.append(part.select(["kind", "k", "h", "v"]))
+                    continue
+                if scorer is None:
+                    rows = pa.Table.from_batches(held) if held else part.slice(0, 0).select(["kind", "k", "h", "v"])
+                    kind, k, h, v = (rows[c].to_numpy() if held else rows.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "k", "h", "v"))
+                    scorer, held = Scorer(order, kind, k, h.astype(np.int64).view(U), v.astype(np.float32)), []
+                for chunk, grams in zip(part.column("_chunk").to_pylist(), part.column("grams").to_pylist(), strict=True):
+                    logs = scorer.logs(_points(grams.decode()).reshape(-1, order), unseen).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([shard], pa.int32()), pa.array([logs], pa.binary())], names=["_chunk", "shard", "logs"])
 
     def add_up(key, table, answers):
         kept, nll, scored = [], np.zeros(table.num_rows), np.zeros(table.num_rows, np.int64)
@@ -294,18 +335,21 @@ def _score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int, shar
             nll[rows], scored[rows] = -np.add.reduceat(values, np.cumsum(n) - n), n
         return pa.table([*(table[c] for c in columns), pa.array(nll), pa.array(scored)], names=[*columns, "nll", "n_scored"])
 
-    blocks = -(-rows.select("_chunk").distinct().count() // block) or 1
     asked = rows.select("_chunk", F.col(text).alias("_text")).groupBy("_chunk").applyInArrow(ask, "_chunk long, shard int, grams binary")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("_chunk"), F.lit(blocks)))
-    parts = tables(model, shards).withColumnRenamed("shard", "of").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    answers = asked.groupBy("shard", "block").cogroup(parts.groupBy("of", "at")).applyInArrow(answer, "_chunk long, shard int, logs binary")
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = asked.select("shard", F.lit(1).alias("side"), none("string").alias("kind"), none("int").alias("k"), none("long").alias("h"), none("float").alias("v"), "_chunk", "grams")
+    parts = tables(model, order, shards).select("shard", F.lit(0).alias("side"), "kind", "k", "h", "v", none("long").alias("_chunk"), none("binary").alias("grams"))
+    # each row of the model is shuffled once, whatever the number of chunks
+    both = parts.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "side")
+    answers = both.mapInArrow(answer, "_chunk long, shard int, logs binary")
     schema = docs.withColumns({"nll": F.lit(0.0), "n_scored": F.lit(0).cast("long")}).schema
     return rows.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(add_up, schema), name
 
 
-def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int = 5, shards: int = 16, chunk_chars: int = 8_000_000, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple[DataFrame, DataFrame], order: int = 5, shards: int | None = None, chunk_chars: int = 8_000_000, text: str = "text") -> DataFrame:
     """docs with nll (the summed negative logarithm) and n_scored (characters, and one for the end), which replace columns of
-    those names; 0 for null and empty texts. shards and chunk_chars bound what a task holds; they change no result. The rows read
+    those names; 0 for null and empty texts. shards (by default one for SHARD_ROWS n-grams of the model, and one for each shuffle
+    partition at least) and chunk_chars bound what a task holds; they change no result. The rows read
     a table of chunks, which common.remove_written() drops when they have been used."""
     return _score(docs, model, order, shards, chunk_chars, text)[0]
 
@@ -317,7 +361,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, order: int = 5, low: float
     ids = trusted_ids.select(F.col(id).alias("rep")).filter("rep is not null").distinct().withColumn("held", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(5)) == 0)
     fitted = ids.filter("not held").select("rep")
     trusted = likely(base.select("doc", "text"), fitted, "doc").filter("text is not null").join(fitted, F.col("doc") == F.col("rep"))
-    scored, chunk_table = _score(base, train(trusted, order), order, 16, 8_000_000, "text")
+    scored, chunk_table = _score(base, train(trusted, order), order, None, 8_000_000, "text")
     scored = written(scored.drop("text"), "scored")
     base.sparkSession.sql(f"DROP TABLE IF EXISTS {chunk_table}")
     known = written(scored.join(ids.withColumnRenamed("rep", "doc"), "doc"), "known")

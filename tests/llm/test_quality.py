@@ -77,3 +77,15 @@ def test_edge_cases(spark):
     ids = spark.createDataFrame([(1,), (2,)], "doc_id long")
     assert K.classify(docs, ids).count() == 4 and all(r.passes for r in K.classify(docs, ids.filter("doc_id = 9")).collect())
     assert K.classify(docs.filter("doc_id = 9"), ids).count() == 0
+
+
+def test_no_shard_is_hot_and_each_row_of_the_model_is_shuffled_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = K.train(docs, 5)
+    shards = 8
+    rows = K.tables(model, 5, shards).groupBy("shard").count().collect()
+    assert len(rows) == shards and max(r["count"] for r in rows) <= 2 * sum(r["count"] for r in rows) / shards
+    whole = model[0].count() + model[1].filter("gram <> ''").count()
+    assert sum(r["count"] for r in rows) <= 1.2 * whole
+    plans = [K._score(d, model, 5, shards, 100_000, "text")[0]._jdf.queryExecution().optimizedPlan().toString() for d in (docs, docs.unionByName(docs))]
+    assert all(p.count("Generate explode") == 1 for p in plans)  # only what is in every shard is copied
