@@ -138,3 +138,12 @@ def test_categories_that_mean_none_are_not_penalized(spark):
     new = spark.createDataFrame([(100, "", "mugs", "x", "s", False, None, vector(2))], catalog.schema)
     got = match.visual_matches(new, catalog, MatchConfig(limit=5)).collect()
     assert {r.matched_product_id for r in got} == {5, 6, 7, 8, 9}
+
+
+def test_hybrid_arms_meet_in_narrow_rows(spark):
+    """The candidates' columns join what the ranking leaves, not every match of both arms."""
+    catalog, new = vectors(spark, 60, 0, 5), vectors(spark, 40, 1000, 6)
+    plan = match.hybrid_matches(new, catalog, MatchConfig(limit=3))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    met = next(i for i, x in enumerate(plan) if "Join FullOuter" in x)
+    ranked = max(i for i, x in enumerate(plan[:met]) if "Window [" in x)
+    assert ranked < met and not any("product_name" in x for x in plan[ranked:met])
