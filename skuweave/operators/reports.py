@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.history import parse_date
+from ..shared import written
 
 
 def newest(df: DataFrame) -> DataFrame:
@@ -137,8 +138,10 @@ def ranked_search(products: DataFrame, latest_prices: DataFrame, query: str, lim
     index (operators.search_index)."""
     hits = products.filter(_holds(["product_name", "sku", "category"], query))
     rank = F.when(_holds(["product_name"], query), 0).when(_holds(["sku"], query), 1).otherwise(2)
-    best = hits.withColumn("search_rank", rank).orderBy("search_rank", F.asc_nulls_first("product_name"), "id").limit(limit)
-    return best.join(latest_prices.select(F.col("product_id").alias("id"), "price"), "id", "left")
+    best = written(hits.withColumn("search_rank", rank).orderBy("search_rank", F.asc_nulls_first("product_name"), "id").limit(limit), "hits")
+    # the semi join goes below what the latest prices are made from: only histories of the rows shown are grouped
+    prices = latest_prices.select(F.col("product_id").alias("id"), "price").join(best.select("id"), "id", "left_semi")
+    return best.join(prices, "id", "left")
 
 
 SORTS = {"newest": lambda: (F.desc("created_at"),), "oldest": lambda: (F.asc("created_at"),), "name_asc": lambda: (F.asc("_name"),), "name_desc": lambda: (F.desc("_name"),), "category": lambda: (F.asc_nulls_first("category"),)}

@@ -17,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 
 FIELDS = ["product_name", "sku", "category"]
 BLOCK = 16  # bits of an id inside its block
+SPAN = 12  # bits of an id inside a range that one task cuts into trigrams
 RAREST = 4  # trigrams of a term that are looked up
 
 
@@ -37,14 +38,25 @@ class SearchIndex:
         """Adds products (id, FIELDS and any other columns). Of the rows of an id those of the largest version count, so a batch
         that is appended again under its version changes nothing."""
         block = F.shiftright("id", BLOCK)
-        fields = F.array(*(F.struct(F.lit(i).alias("field"), trigrams(F.col(c)).alias("grams")) for i, c in enumerate(FIELDS)))
-        each = products.select("id", F.inline(fields)).select("id", "field", F.explode("grams").alias("gram"))
-        low = F.col("id").bitwiseAND(F.lit(2**BLOCK - 1)).cast("int")
-        lists = each.groupBy("gram", "field", block.alias("block")).agg(F.sort_array(F.collect_set(low)).alias("ids")).withColumn("n", F.size("ids"))  # 65,536 ids at most
+        lists = self.postings(products)
         part = F.pmod(F.xxhash64("gram"), F.lit(self.buckets)).cast("int")
         # rows last: a search sees a product only when its postings are there
         lists.withColumn("part", part).repartition(self.buckets, "part").sortWithinPartitions("gram").write.mode("append").partitionBy("part").parquet(f"{self.path}/postings")
-        products.withColumns({"_version": F.lit(version), "_block": block}).write.mode("append").partitionBy("_block").parquet(f"{self.path}/rows")
+        rows = products.withColumns({"_version": F.lit(version), "_block": block}).repartition(self._tasks(), "_block")
+        rows.write.mode("append").partitionBy("_block").parquet(f"{self.path}/rows")
+
+    def _tasks(self) -> int:
+        """A few for each core: products are few bytes and much work, and Spark's own choice goes by bytes."""
+        return max(4 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def postings(self, products: DataFrame) -> DataFrame:
+        """gram, field, block, ids and their number n. Products are dealt by short ranges of ids, whatever files they come from."""
+        block = F.shiftright("id", BLOCK)
+        dealt = products.select("id", *FIELDS).repartition(self._tasks(), F.shiftright("id", SPAN))
+        fields = F.array(*(F.struct(F.lit(i).alias("field"), trigrams(F.col(c)).alias("grams")) for i, c in enumerate(FIELDS)))
+        each = dealt.select("id", F.inline(fields)).select("id", "field", F.explode("grams").alias("gram"))
+        low = F.col("id").bitwiseAND(F.lit(2**BLOCK - 1)).cast("int")
+        return each.groupBy("gram", "field", block.alias("block")).agg(F.sort_array(F.collect_set(low)).alias("ids")).withColumn("n", F.size("ids"))  # 65,536 ids at most
 
     def remove(self, ids: DataFrame, version: int) -> None:
         """Takes products (id) out: their last version is empty."""
