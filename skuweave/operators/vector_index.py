@@ -10,9 +10,10 @@ into bins of about BIN_ROWS rows, so that copies of one vector, a large cell or
 table bucketed and sorted by bin; a second table lists the bins. An append that died before it listed its bins left rows that
 no search meets.
 
-Search. Queries go to the bins of their nearest cells. There the codes alone are read and scored by table look-ups, the
-best `refine` of a query over all bins are then multiplied with its vector, exactly. Only one side is shuffled: the bucketed table
-stays where it is.
+Search. The codes alone are read, dealt by id into shelves of about SHELF_ROWS rows of a key, and met by blocks of Q_ROWS queries.
+A query scores those of its nearest cells by table look-ups, and at most `refine` rows for each query leave a shelf, so what is
+shuffled grows with shelves, not with cells or rows. The best `refine` of a query over all shelves are then multiplied with its
+vector, exactly; the bucketed table of vectors stays where it is.
 
 Rows whose vectors are null, empty, NaN or infinite, or of another length than the model's, are no candidates. An id does not match
 itself.
@@ -31,9 +32,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .knn import knn_join, usable
+from .knn import block_pairs, knn_join, tasks, usable
 
 PIECE, WORDS, BIN_ROWS, MOST_CELLS = 4, 256, 4096, 4096
+Q_ROWS, SHELF_ROWS, AT_ONCE = 512, 32_768, 64  # queries and codes that a task holds, queries scored at once
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -83,10 +85,10 @@ class Model:
 
     def guessed(self, q: np.ndarray, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Scores of each query with each code, from tables of the query's products with the centroids and all code words."""
-        out = (q @ self.cells.T).astype(np.float32)[:, cells]
+        out = (self.cells @ q.T).astype(np.float32).take(cells, axis=0)
         for j, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
-            out += (q[:, a:b] @ self.books[j].T).astype(np.float32)[:, codes[:, j]]
-        return out
+            out += (self.books[j] @ q[:, a:b].T).astype(np.float32).take(codes[:, j], axis=0)
+        return out.T
 
     def _measured(self, m: np.ndarray, target: float, rng: np.random.Generator, k: int = 10) -> tuple[int, int]:
         """Probes and refine that together reach the target on the sample."""
@@ -246,29 +248,45 @@ class VectorIndex:
 
     def guesses(self, queries: DataFrame, refine: int | None = None, probes: int | None = None) -> DataFrame:
         """q_id, bin, c_id, rank: the pairs that are worth an exact product, at most `refine` for each query."""
-        blob, dims = self.spark.sparkContext.broadcast(self.model), _model(self.model).dims
         refine = refine or _model(self.model).refine
+        rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("guess"), "c_id"))
+        return self.scored(queries, refine, probes).withColumn("rank", rank).filter(F.col("rank") <= refine).select("q_id", "bin", "c_id", "rank")
+
+    def scored(self, queries: DataFrame, refine: int, probes: int | None = None) -> DataFrame:
+        """q_id, bin, c_id, guess: at most `refine` pairs of each query and shelf."""
+        blob, dims = self.spark.sparkContext.broadcast(self.model), _model(self.model).dims
+        probes = probes or _model(self.model).probes
 
         def run(q: pa.Table, rows: pa.Table) -> pa.Table:
             model, out = _model(blob.value), []
             if q.num_rows and rows.num_rows:
-                ids, cells = rows["id"].to_numpy(), rows["cell"].to_numpy()
+                ids, cells, bins = (rows[c].to_numpy() for c in ("id", "cell", "bin"))
                 codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
-                asked, vectors = q["q_id"].to_numpy(), unit(_matrix(q["embedding"].combine_chunks(), dims))
-                for a in range(0, len(asked), 256):
-                    scores = model.guessed(vectors[a : a + 256], cells, codes)
-                    scores[asked[a : a + 256, None] == ids[None, :]] = -np.inf
-                    for i, row in enumerate(scores):
-                        at = np.argpartition(-row, refine - 1)[:refine] if len(row) > refine else np.arange(len(row))
-                        at = at[row[at] > -np.inf]
-                        out.append((np.full(len(at), asked[a + i]), np.full(len(at), rows["bin"][0].as_py()), ids[at], row[at].astype(np.float64)))
+                vectors = unit(_matrix(q["embedding"].combine_chunks(), dims))
+                near = model.near(vectors)[:, :probes]
+                order = np.argsort(near[:, 0], kind="stable")  # queries of one cell share their cells
+                asked, vectors, near = q["id"].to_numpy()[order], vectors[order], near[order]
+                for a in range(0, len(asked), AT_ONCE):
+                    own = asked[a : a + AT_ONCE]
+                    met = np.zeros((len(own), len(model.cells)), bool)
+                    met[np.arange(len(own))[:, None], near[a : a + AT_ONCE]] = True
+                    here = np.flatnonzero(met.any(0)[cells])
+                    scores = model.guessed(vectors[a : a + AT_ONCE], cells[here], codes[here])
+                    scores = np.where(met[:, cells[here]] & (own[:, None] != ids[here][None]), scores, -np.inf)
+                    col = np.argpartition(-scores, refine - 1, axis=1)[:, :refine] if len(here) > refine else np.tile(np.arange(len(here)), (len(own), 1))
+                    got = np.take_along_axis(scores, col, 1).ravel()
+                    row, col, fine = np.repeat(np.arange(len(own)), col.shape[1]), here[col.ravel()], got > -np.inf
+                    out.append((own[row[fine]], bins[col[fine]], ids[col[fine]], got[fine].astype(np.float64)))
             cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[]] * 4
             return pa.table({n: pa.array(c, t) for n, c, t in zip(("q_id", "bin", "c_id", "guess"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
-        asked = self.probed(queries, probes).drop("place")
-        met = asked.groupBy("bin").cogroup(self.rows().select("bin", "id", "cell", "codes").groupBy("bin")).applyInArrow(run, "q_id long, bin long, c_id long, guess double")
-        rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("guess"), "c_id"))
-        return met.withColumn("rank", rank).filter(F.col("rank") <= refine).select("q_id", "bin", "c_id", "rank")
+        key = F.struct("key").alias("key")
+        chosen = usable(queries).filter(F.size("embedding") == dims).select("id", key, F.col("embedding").cast("array<float>").alias("embedding"))
+        listed = self.spark.read.parquet(f"{self.path}/bins").select("bin")
+        coded = self.rows().join(listed, "bin", "left_semi").select("id", key, "bin", "cell", "codes")
+        asked, rows = block_pairs(chosen, coded, Q_ROWS, SHELF_ROWS)
+        by, n = ["key", "q_block", "c_block"], tasks(self.spark)
+        return asked.repartition(n, *by).groupBy(*by).cogroup(rows.repartition(n, *by).groupBy(*by)).applyInArrow(run, "q_id long, bin long, c_id long, guess double")
 
     def search(self, queries: DataFrame, k: int, refine: int | None = None) -> DataFrame:
         """(q_id, c_id, cosine, rank) of the k nearest that are found, with exact cosines."""
